@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cubelark.llm import fingerprints, pieces
+from cubelark.llm import fingerprints, language, pieces
 from cubelark.llm.common import table
 
 
@@ -13,12 +13,17 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_language_id": op2_language_id,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
