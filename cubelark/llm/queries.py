@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubelark.llm import fingerprints, language, nearest, pieces, webtrust
+from cubelark.llm import fingerprints, language, nearest, pieces, warc, webtrust
 from cubelark.llm.common import table
 
 
@@ -36,6 +36,16 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records against a replica in which the last byte of every 97th payload is another one."""
+    pages = table(spark, sf_dir, "pages")
+    html = F.coalesce("html", F.lit(""))
+    damaged = F.when((F.col("page_id") % 97 == 0) & (html != ""), F.concat(F.expr("left(html, length(html) - 1)"), F.lit("#"))).otherwise(html)
+    ours = pages.select("page_id", warc.record(F.col("url"), html).alias("record"))
+    theirs = pages.select("page_id", warc.record(F.col("url"), damaged).alias("record"))
+    return warc.audit(ours, theirs, "page_id", "record")
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -45,10 +55,30 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op7_url_filter": op7_url_filter,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_warc_fixity": op9_warc_fixity,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_warc_fixity": """
+        WITH damaged AS (
+            SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
+                CASE WHEN page_id % 97 = 0 AND coalesce(html, '') <> '' THEN left(html, length(html) - 1) || '#' ELSE coalesce(html, '') END AS other
+            FROM pages
+        ), records AS (
+            SELECT page_id, CAST(floor(page_id / 4096) AS BIGINT) AS archive,
+                chr(13) || chr(10) AS e,
+                'WARC/1.1' || e || 'WARC-Type: resource' || e || 'WARC-Target-URI: ' || url || e || 'Content-Type: text/html' || e || 'Content-Length: ' AS head,
+                head || strlen(html) || e || e || html || e || e AS ours,
+                head || strlen(other) || e || e || other || e || e AS theirs
+            FROM damaged
+        )
+        SELECT archive, page_id,
+            CAST(sum(strlen(ours)) OVER (PARTITION BY archive ORDER BY page_id) - strlen(ours) AS BIGINT) AS start,
+            CAST(strlen(ours) AS BIGINT) AS length, sha256(ours) AS digest, sha256(theirs) AS replica_digest,
+            CASE WHEN ours = theirs THEN 'ok' ELSE 'corrupt' END AS verdict
+        FROM records
+    """,
     "op8_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS e
