@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubelark.llm import fingerprints, language, nearest, pieces, warc, webtrust
+from cubelark.llm import fingerprints, language, nearest, packing, pieces, warc, webtrust
 from cubelark.llm.common import table
 
 
+#: Vocabulary, ranks and pattern of the tokenizer of op4.
+BYTE_BPE = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 #: Verdict, host and path of the contract's rules.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -53,6 +61,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op7_url_filter": op7_url_filter,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_warc_fixity": op9_warc_fixity,
