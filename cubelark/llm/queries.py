@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubelark.llm import fingerprints, language, nearest, packing, pieces, warc, webtrust
+from cubelark.llm import automata, fingerprints, language, nearest, packing, pieces, suffixes, warc, webtrust
 from cubelark.llm.common import table
 
 
@@ -22,10 +22,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op5_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automata.digests(table(spark, sf_dir, "documents"))
+
+
 #: Verdict, host and path of the contract's rules.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -61,7 +69,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_automaton_dedup": op5_automaton_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_warc_fixity": op9_warc_fixity,
