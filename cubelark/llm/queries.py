@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubelark.llm import automata, fingerprints, language, nearest, packing, pieces, suffixes, warc, webtrust
+from cubelark.llm import automata, fingerprints, jaccard, language, nearest, packing, pieces, suffixes, warc, webtrust
 from cubelark.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.clustered(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
+
+
 #: Verdict, host and path of the contract's rules.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -72,6 +76,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_automaton_dedup": op5_automaton_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_url_filter": op7_url_filter,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_warc_fixity": op9_warc_fixity,
