@@ -73,7 +73,7 @@ def _packed(rows: DataFrame, blocks: int, most: int) -> DataFrame:
             yield from out(now, held)
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    return dealt.repartition("block").sortWithinPartitions("block").select("block", "key", "v").mapInArrow(run, PACKED)
+    return dealt.repartition("block").sortWithinPartitions("block", "key").select("block", "key", "v").mapInArrow(run, PACKED)
 
 
 def _search(k: int, dims: int):
