@@ -9,10 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from cubelark.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The Parquet table ``name`` of ``sf_dir``; workers get this package."""
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
