@@ -5,16 +5,18 @@ threshold must share are enumerated, so that partners meet at a common subset. F
 would be far too many; they are entered into inverted lists, and the lists scanned. The boundary is
 the size up to which subsets cost less (see ``boundary``); sizes that partner across it do both.
 
-Lists of single shingles would hold every document that shares a passage. A heavy set is therefore
-dealt by hash into more parts than two sets over the threshold can differ in shingles: some part is
-then equal in both (the pigeonhole principle), and a list is that of a whole part. Parts that are
-empty in both prove nothing, so there is one more part than needed, and sets with several empty
-parts use further hashes as well; no pair is lost.
-
-Lists are scanned in sorted streams, copies inside a task before the shuffle. A list of m sets gives
-m - 1 edges, not all pairs; the components of these edges are blocks, inside of which all links lie.
-Blocks are cut into tiles of ``TILE`` sets, and each pair of tiles is verified exactly by a product of
-incidence matrices, in its own group. Links leave a group as stars of its components, too.
+A heavy set enters the lists of its prefix alone: its rarest shingles, one more than it can lack of a
+partner's (two sets over the threshold share a shingle of both prefixes, whatever the common order).
+Rarity is exact, over all sets: shingles go in sorted, packed runs to ranges of hashes, where they are
+counted, and those that occur again go back to their chunk of documents. A shingle that occurs once
+has no list; most documents have enough of these to fill their prefix, and take no further part.
+Shingles that are common in a chunk are counted there first, so that no range receives a shingle more
+often than there are chunks.
+
+Lists are scanned in sorted streams. A list of m sets gives m - 1 edges, not all pairs; the components
+of these edges are blocks, inside of which all links lie. Blocks are cut into tiles of ``TILE`` sets,
+and each pair of tiles is verified exactly by a product of incidence matrices, in its own group. Links
+leave a group as stars of its components, too.
 
 Defined results: a text without words (null, empty) has an empty set, which is linked with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; equal sets are one node
@@ -34,20 +36,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubelark.llm import repeats
-from cubelark.llm.common import ints, slices, utf8
-from cubelark.llm.common import written
+from cubelark.llm.common import ints, parts, slices, utf8, written
 from cubelark.llm.components import components
 
 U = np.uint64
 SLICE = 1 << 18
-COMBINED = 400_000
-#: Rows that a subset may cost for each row of a part: lists have to be verified, subsets almost never.
+#: Shingles, and sets, of a chunk of documents.
+CHUNK, CHUNK_SETS = 1 << 21, 1 << 16
+#: Rows that a light set's subsets may cost for each list of a prefix: a list has to be verified.
 WORTH = 4
-#: Sizes of a level of parts differ by this factor at most.
-STEP = 1.5
-HASHES = 4
+#: From this count on, a shingle is counted within its chunk before it goes to its range.
+COMMON = 64
+BITS = 48  # of a shingle's hash, where it is counted
+MARK = 1 << 31
 TILE = 512
-SIGNATURE, EDGE = -1, -2
+FILTER = 1 << 23  # bits of the filter of documents that take part in verification
+#: Kinds of rows, in ``n``; a document's is its size.
+SIGNATURE, EDGE, COUNTED, INFO = -1, -2, -3, -4
 
 
 @dataclass(frozen=True)
@@ -69,29 +74,20 @@ class Rule:
     def subset_sizes(self, a: int) -> list[int]:
         return sorted({c for b in self.partners(a) if (c := self.overlap(a, b)) <= min(a, b)})
 
-    def parts(self, largest: int) -> int:
-        """Parts for sets of up to this size: one more than can differ, and one that may be empty."""
-        return (self.den - self.num) * 2 * largest // (self.den + self.num) + 2
+    def prefix(self, a: int) -> int:
+        """How many of its rarest shingles a set must enter."""
+        return a - -(-self.num * a // self.den) + 1
 
 
 @lru_cache(maxsize=8)
 def boundary(rule: Rule) -> int:
-    """The largest size up to which enumerating subsets costs less than lists of parts."""
+    """The largest size up to which enumerating subsets costs less than the lists of a prefix."""
     size = 0
-    while sum(comb(size + 1, c) for c in rule.subset_sizes(size + 1)) <= WORTH * rule.parts(size + 1):
+    while sum(comb(size + 1, c) for c in rule.subset_sizes(size + 1)) <= WORTH * rule.prefix(size + 1):
         size += 1
     return size
 
 
-@lru_cache(maxsize=8)
-def levels(rule: Rule) -> np.ndarray:
-    """Largest sizes of the levels of heavy sets; the first is that of the light ones."""
-    out = [boundary(rule)]
-    while out[-1] < 1 << 40:
-        out.append(max(out[-1] + 1, int(out[-1] * STEP)))
-    return np.array(out)
-
-
 def shingle_sets(data: np.ndarray, at: np.ndarray, n_words: int) -> list[np.ndarray]:
     """The sorted hashes of the distinct shingles of each text; A-Z count as lower case."""
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
@@ -108,54 +104,35 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n_words: int) -> list[np.ndar
     return out
 
 
-def signatures(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the set, and key, of every list that each set is entered into."""
-    light = boundary(rule)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owners, keys = [], []
-    salt = lambda *x: U(sum(v * m for v, m in zip(x, (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB), strict=False)) % (1 << 64))
-    for i in np.flatnonzero((sizes > 0) & (sizes <= rule.den * light // rule.num)).tolist():
-        mixed = repeats.mix(sets[i])
-        n = len(mixed)
-        for c in rule.subset_sizes(n):
-            total = mixed.sum(dtype=U)
-            # a subset by what it leaves out, of which there is less
-            out = np.array([mixed[list(left)].sum(dtype=U) for left in combinations(range(n), n - c)], U) if n > c else np.zeros(1, U)
-            keys.append(repeats.mix(total - out + salt(1, c)))
-            owners.append(np.full(len(out), i))
-    heavy = np.flatnonzero(sizes > light)
-    if len(heavy):
-        tops = levels(rule)
-        level = np.searchsorted(tops, sizes[heavy])
-        # a set that can be the smaller partner of one in the next level is entered there too
-        up = heavy[rule.den * sizes[heavy] >= rule.num * (tops[level] + 1)]
-        which, at = np.concatenate([heavy, up]), np.concatenate([level, np.searchsorted(tops, sizes[up]) + 1])
-        for turn in range(HASHES):
-            if not len(which):
-                break
-            parts = np.array([rule.parts(int(tops[x])) for x in at], np.int64)
-            tokens = np.concatenate([sets[i] for i in which])
-            row = np.repeat(np.arange(len(which)), sizes[which])
-            first = np.r_[0, np.cumsum(parts)]
-            hashed = repeats.mix(tokens + salt(turn + 2))
-            slot = first[row] + (hashed % parts[row].astype(U)).astype(np.int64)
-            total = np.zeros(first[-1], U)
-            np.add.at(total, slot, repeats.mix(hashed + U(turn)))
-            filled = np.bincount(slot, minlength=first[-1]) > 0
-            owner = np.repeat(np.arange(len(which)), parts)
-            empty = np.bincount(owner[~filled], minlength=len(which))
-            entered = filled if turn < HASHES - 1 else np.ones(len(filled), bool)
-            number = np.arange(first[-1]) - first[owner]
-            key = repeats.mix(total + (number.astype(U) * salt(0, 1) + at[owner].astype(U) * salt(0, 0, 1) + salt(0, 0, 0, turn)))
-            keys.append(key[entered])
-            owners.append(which[owner[entered]])
-            which, at = which[empty > 1], at[empty > 1]
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    return np.concatenate(owners), np.concatenate(keys)
-
-
-ROWS = "key bigint, node bigint, other bigint, n bigint"
+def subsets(shingles: np.ndarray, rule: Rule) -> np.ndarray:
+    """Keys of all the subsets that a light set is entered under."""
+    mixed, keys = repeats.mix(shingles), []
+    n, total = len(mixed), mixed.sum(dtype=U)
+    for c in rule.subset_sizes(n):
+        # a subset by what it leaves out, of which there is less
+        out = np.array([mixed[list(left)].sum(dtype=U) for left in combinations(range(n), n - c)], U) if n > c else np.zeros(1, U)
+        keys.append(repeats.mix(total - out + U(c * 0x9E3779B97F4A7C15 % (1 << 64))))
+    return np.concatenate(keys)
+
+
+def pack(hashes: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted hashes as differences, with 32-bit columns, byte plane by byte plane, compressed."""
+    planes = [np.diff(hashes, prepend=U(0)).view(np.uint8).reshape(-1, 8).T] + [c.astype("<u4").view(np.uint8).reshape(-1, 4).T for c in columns]
+    return len(hashes).to_bytes(8, "little") + pa.compress(b"".join(p.tobytes() for p in planes), codec="zstd", asbytes=True)
+
+
+def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    data = np.frombuffer(pa.decompress(blob[8:], n * (8 + 4 * columns), codec="zstd", asbytes=True), np.uint8)
+    hashes = np.cumsum(np.ascontiguousarray(data[: 8 * n].reshape(8, n).T).view("<u8").reshape(-1), dtype=U)
+    return [hashes] + [np.ascontiguousarray(data[(8 + 4 * i) * n : (12 + 4 * i) * n].reshape(4, n).T).view("<u4").reshape(-1).astype(np.int64) for i in range(columns)]
+
+
+ROWS = "key bigint, node bigint, other bigint, n bigint, packed binary"
+
+
+def batch_of(names: str, *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.binary() if isinstance(c, list) else pa.int64()) for c in columns], names.split())
 
 
 def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -163,66 +140,169 @@ def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([repeats.mix(np.array([repeats.mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(s))], U))[0] for s in sets], U).view(np.int64) if sets else np.zeros(0, np.int64)
 
 
-def entries(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Of ``doc, text``: a row for each document (its node and size) and each list that its node is in."""
-
-    def combined(held: list[tuple]) -> pa.RecordBatch:
-        key, node = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        new = np.ones(len(key), bool)
-        new[1:] = key[1:] != key[:-1]
-        leader = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-        edge = node != leader
-        keep = new | edge
-        key, node, leader, edge = key[keep], node[keep], leader[keep], edge[keep]
-        spread = repeats.mix(node.astype(U) + U(5)).view(np.int64)
-        return batch_of(np.where(edge, spread, key), node, np.where(edge, leader, 0), np.where(edge, EDGE, SIGNATURE))
-
-    def batch_of(*columns: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["key", "node", "other", "n"])
+def entries(docs: DataFrame, rule: Rule, ranges: int) -> DataFrame:
+    """Of ``doc, text``: rows of documents, subsets of light sets, and shingles of heavy ones by range of hashes."""
+    light = boundary(rule)
+    both = rule.den * light // rule.num
+    shift = U(BITS - ranges.bit_length() + 1)
+    names = "key node other n packed"
+
+    def rows(key, node, other, n, packed=None):
+        key = np.asarray(key)
+        return batch_of(names, key.view(np.int64), *(np.broadcast_to(np.asarray(c, np.int64), len(key)) for c in (node, other, n)), packed or [None] * len(key))
+
+    def counted(nodes: list[int], sets: list[np.ndarray], chunk: int):
+        """A chunk's shingles to their ranges, and what its documents are to the chunk's own number."""
+        hashes = np.concatenate(sets) >> U(64 - BITS)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+        count = np.diff(np.r_[first, len(hashes)])
+        common = np.repeat(count >= COMMON, count)
+        kept = pack(hashes[common], owner[common])
+        once = first[count >= COMMON]
+        token = np.concatenate([hashes[~common], hashes[once]])
+        who = np.concatenate([owner[~common], MARK + count[count >= COMMON]])
+        order = np.argsort(token, kind="stable")
+        token, who = token[order], who[order]
+        part = (token >> shift).astype(np.int64)
+        edge = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)]
+        packed = [pack(token[a:b], who[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        yield rows(part[edge[:-1]], chunk, 0, COUNTED, packed)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        info = np.array(nodes, np.int64).tobytes() + sizes.tobytes()
+        yield rows([chunk, chunk], chunk, [0, 1], INFO, [info, kept])
 
     def run(batches):
-        held, n = [], 0
+        from pyspark import TaskContext
+
+        chunk, size = TaskContext.get().partitionId() << 24, 0
+        sets, nodes, known = [], [], set()
         for batch in slices(batches, SLICE):
-            sets = shingle_sets(*utf8(batch.column("text")), rule.words)
-            docs, nodes = ints(batch.column("doc")), nodes_of(sets)
-            yield batch_of(repeats.mix(docs.astype(U)).view(np.int64), nodes, docs, np.array([len(s) for s in sets]))
-            owner, key = signatures(sets, rule)
-            held.append((key.view(np.int64), nodes[owner]))
-            n += len(key)
-            if n >= COMBINED:
-                yield combined(held)
-                held, n = [], 0
-        if n:
-            yield combined(held)
+            found = shingle_sets(*utf8(batch.column("text")), rule.words)
+            docs, own = ints(batch.column("doc")), nodes_of(found)
+            yield rows(repeats.mix(docs.astype(U)), own, docs, [len(s) for s in found])
+            entered = [(subsets(s, rule), node) for s, node in zip(found, own.tolist(), strict=True) if 0 < len(s) <= both]
+            if entered:
+                yield rows(np.concatenate([k for k, _ in entered]), np.repeat([v for _, v in entered], [len(k) for k, _ in entered]), 0, SIGNATURE)
+            for s, node in zip(found, own.tolist(), strict=True):
+                if len(s) > light and node not in known:
+                    known.add(node)
+                    sets.append(s)
+                    nodes.append(node)
+                    size += len(s)
+            if size >= CHUNK or len(sets) >= CHUNK_SETS:
+                yield from counted(nodes, sets, chunk)
+                sets, nodes, known, size, chunk = [], [], set(), 0, chunk + 1
+        if sets:
+            yield from counted(nodes, sets, chunk)
 
     return docs.mapInArrow(run, ROWS)
 
 
+KNOWN = "node bigint, other bigint, n bigint, packed binary"
+
+
+def again(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Of one range: to each chunk, those of its shingles that occur more than once, with their counts."""
+    chunks = np.array([c for c, _ in blobs], np.int64)
+    parts = [unpack(b, 1) for _, b in blobs]
+    token, who = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    order = np.argsort(token, kind="stable")
+    token, who, source = token[order], who[order], source[order]
+    first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    total = np.add.reduceat(np.where(who >= MARK, who - MARK, 1), first)
+    count = np.repeat(total, np.diff(np.r_[first, len(token)]))
+    order = np.flatnonzero(count > 1)
+    order = order[np.argsort(source[order], kind="stable")]
+    token, who, source, count = token[order], who[order], source[order], np.minimum(count[order], MARK)
+    edge = np.r_[np.flatnonzero(np.r_[True, source[1:] != source[:-1]]), len(source)] if len(source) else np.zeros(1, np.int64)
+    packed = [pack(token[a:b], who[a:b], count[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+    to = chunks[source[edge[:-1]]]
+    return batch_of("node other n packed", to, np.full(len(to), 2), np.full(len(to), COUNTED), packed)
+
+
 def scanned(rows: DataFrame) -> DataFrame:
-    """``node, other, n``: documents (``n`` at least 0), and edges from the sets of each list to its first."""
+    """Edges from the sets of each list to its first; ranges counted; other rows as they are."""
 
     def run(batches):
-        key0 = leader0 = node0 = None
+        key0 = leader0 = node0 = at = None
+        blobs: list[tuple[int, bytes]] = []
         for batch in batches:
             key, node, other, n = (ints(batch.column(c)) for c in ("key", "node", "other", "n"))
+            packed = batch.column("packed")
+            for i in np.flatnonzero(n == COUNTED).tolist():
+                if blobs and key[i] != at:
+                    yield again(blobs)
+                    blobs = []
+                at = key[i]
+                blobs.append((int(node[i]), packed[i].as_py()))
             lists = n == SIGNATURE
             k, v = key[lists], node[lists]
             new = np.ones(len(k), bool)
             new[1:] = k[1:] != k[:-1]
             leader = v[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))] if len(k) else v
-            again = np.zeros(len(k), bool)
-            again[1:] = ~new[1:] & (v[1:] == v[:-1])
+            twice = np.zeros(len(k), bool)
+            twice[1:] = ~new[1:] & (v[1:] == v[:-1])
             if len(k):
                 if k[0] == key0:
                     leader = np.where(k == key0, leader0, leader)
-                    again[0] = v[0] == node0
+                    twice[0] = v[0] == node0
                 key0, leader0, node0 = k[-1], leader[-1], v[-1]
-            edge = (v != leader) & ~again
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b])) for a, b in ((node[~lists], v[edge]), (other[~lists], leader[edge]), (n[~lists], np.full(int(edge.sum()), EDGE)))], ["node", "other", "n"])
+            edge = (v != leader) & ~twice
+            yield batch_of("node other n packed", v[edge], leader[edge], np.full(int(edge.sum()), EDGE), [None] * int(edge.sum()))
+            rest = (n >= 0) | (n == INFO)
+            yield batch_of("node other n packed", node[rest], other[rest], n[rest], packed.filter(pa.array(rest)))
+        if blobs:
+            yield again(blobs)
+
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, KNOWN)
+
+
+def prefixes(known: DataFrame, rule: Rule) -> DataFrame:
+    """The lists that heavy sets enter, as rows of signatures: by chunk, from what occurs again there."""
+
+    def entered(parts: dict[int, list[bytes]]):
+        info = np.frombuffer(parts[0][0], np.int64)
+        nodes, sizes = info[: len(info) // 2], info[len(info) // 2 :]
+        found = [unpack(b, 2) for b in parts.get(2, [])]
+        if not found:
+            return nodes[:0].view(U), nodes[:0]
+        token, who, count = (np.concatenate([f[i] for f in found]) for i in (0, 1, 2))
+        marked = who >= MARK
+        if marked.any():  # common shingles: their documents are in the chunk's own list
+            order = np.argsort(token[marked])
+            hot, hot_count = token[marked][order], count[marked][order]
+            kept, owner = unpack(parts[1][0], 1)
+            token, who, count = np.concatenate([token[~marked], kept]), np.concatenate([who[~marked], owner]), np.concatenate([count[~marked], hot_count[np.searchsorted(hot, kept)]])
+        need = np.array([rule.prefix(int(s)) for s in sizes]) - (sizes - np.bincount(who, minlength=len(sizes)))
+        open_ = need[who] > 0
+        token, who, count = token[open_], who[open_], count[open_]
+        order = np.lexsort((token, count, who))
+        token, who = token[order], who[order]
+        first = np.searchsorted(who, np.arange(len(sizes)))
+        take = np.arange(len(who)) - first[who] < need[who]
+        return repeats.mix(token[take] + U(0x5DEECE66D)), nodes[who[take]]
+
+    def run(batches):
+        now, parts = None, {}
+        for batch in batches:
+            for node, other, packed in zip(*(batch.column(c).to_pylist() for c in ("node", "other", "packed")), strict=True):
+                if node != now:
+                    if parts:
+                        yield rows(*entered(parts))
+                    now, parts = node, {}
+                parts.setdefault(other, []).append(packed)
+        if parts:
+            yield rows(*entered(parts))
+
+    def rows(key, node):
+        return batch_of("key node other n packed", key.view(np.int64), node, np.zeros(len(key)), np.full(len(key), SIGNATURE), [None] * len(key))
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "node bigint, other bigint, n bigint")
+    dealt = known.where(F.col("n").isin(COUNTED, INFO)).select("node", "other", "packed").repartition("node").sortWithinPartitions("node")
+    return dealt.mapInArrow(run, ROWS)
 
 
 def linked(sets: list[np.ndarray], others: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -264,10 +344,19 @@ def stars(nodes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
 def verified(members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """``src, dst``: stars of linked sets. ``members`` has ``node, doc, block, tiles``: a document for each node."""
 
+    bits = members.select((F.pmod(F.xxhash64("doc"), F.lit(FILTER)) + 1).alias("bit"))  # these functions count from 1
+    rows = bits.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()  # FILTER bits at most
+    width = 32768
+    bitmap = np.zeros(FILTER // 8, np.uint8)
+    for r in rows:
+        bitmap[(r["bucket"] - 1) * width // 8 : r["bucket"] * width // 8] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap, bitorder="little").astype(bool))
+
     def sets(batches):
         for batch in slices(batches, SLICE):
+            batch = batch.filter(pa.array(shared.value[ints(batch.column("bit"))]))
             found = shingle_sets(*utf8(batch.column("text")), rule.words)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("block"), batch.column("tiles"), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "block", "tiles", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "shingles"])
 
     def compare(batches):
         """Streams groups (block, i, j); a group has two tiles at most."""
@@ -309,8 +398,8 @@ def verified(members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     def edges(out):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1)], ["src", "dst"])
 
-    texts = docs.join(members, "doc").select("node", "block", "tiles", "text")
-    found = texts.mapInArrow(sets, "node bigint, block bigint, tiles int, shingles binary")
+    hashed = docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(FILTER)).alias("bit"))
+    found = hashed.mapInArrow(sets, "doc bigint, shingles binary").join(members, "doc").select("node", "block", "tiles", "shingles")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     dealt = found.withColumn("tile", tile).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("block", F.least("tile", "to").alias("i"), F.greatest("tile", "to").alias("j"), (F.col("tile") > F.col("to")).alias("second"), "node", "shingles")
@@ -321,9 +410,11 @@ def verified(members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
 def joined(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc, n_shingles, component_id`` of each row: the smallest id that its links reach."""
     rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    known = written(scanned(entries(rows, rule)), "sets")
+    ranges = 1 << (8 * parts(docs.sparkSession) - 1).bit_length()
+    known = written(scanned(entries(rows, rule, ranges)), "sets")
     of_docs = known.where("n >= 0").select("node", F.col("other").alias("doc"), "n")
-    blocks = components(known.where(F.col("n") == EDGE).select(F.col("node").alias("src"), F.col("other").alias("dst")))
+    edges = known.select("node", "other", "n").unionByName(scanned(prefixes(known, rule)).select("node", "other", "n")).where(F.col("n") == EDGE)
+    blocks = components(edges.select(F.col("node").alias("src"), F.col("other").alias("dst")))
     blocks = written(blocks.withColumnRenamed("label", "block"), "blocks")
     sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
     nodes = written(of_docs.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc")), "nodes")
