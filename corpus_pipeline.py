@@ -1,11 +1,65 @@
-"""The corpus pipeline: documents pass through the stages in order."""
+"""The corpus pipeline: documents pass through the stages in order.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the columns
+of documents. What a stage returns is written as Parquet and read again for the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cubelark.llm import jaccard, language, packing, suffixes
+from cubelark.llm.common import written
+from cubelark.session import ship
+
+#: Near copies: five words to a shingle, four fifths of the shingles in common.
+NEAR = jaccard.Rule(words=5, num=80, den=100)
+TOKENIZER = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language that the network knows: without letters, or with hardly more than a guess."""
+    ship(spark)
+    net = language.learn(docs, F.coalesce(~language.held_out(), F.lit(False)))
+    return language.recognised(docs, net)
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near copies."""
+    ship(spark)
+    return jaccard.distinct(docs, NEAR)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts strings of 100 bytes and more that occur earlier; documents of which nothing is left go."""
+    ship(spark)
+    return suffixes.deduplicated(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' ids into sequences."""
+    ship(spark)
+    return packing.packed(docs, TOKENIZER)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Trained weights, components and packing are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other on the documents of ``sf_dir``."""
+    docs = ship(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, name)
     return docs

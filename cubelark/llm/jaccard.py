@@ -432,3 +432,13 @@ def joined(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text")
 def clustered(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``joined``, under the key's own name."""
     return joined(docs, rule, key, text).select(*(F.when(F.col(c) != -(1 << 63), F.col(c)).alias(n) for c, n in (("doc", key),)), "n_shingles", "component_id")
+
+
+def distinct(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, with all their columns, of the smallest id of each component.
+
+    Rows of one id stay or go together.
+    """
+    copies = joined(docs, rule, key, text).where("doc <> component_id").select(F.col("doc").alias("_copy")).distinct()
+    own = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
+    return docs.join(copies, own == F.col("_copy"), "left_anti")

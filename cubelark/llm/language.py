@@ -162,32 +162,50 @@ def learn(docs: DataFrame, labelled: Column, **names: str) -> Network | None:
     return train(windows, np.array([languages.index(r[2]) for r in rows]), languages)
 
 
+def scores(net: Network | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    n = len(texts)
+    data, at = utf8(texts)
+    names, found = [UNKNOWN] * n, np.zeros(n)
+    letters = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
+    if net is not None and len(data):
+        windows, owner = windows_of(data, at)
+        total = np.zeros((n, len(net.languages)))
+        for i in range(0, len(windows), 128):
+            np.add.at(total, owner[i : i + 128], net.log_softmax(windows[i : i + 128]))
+        mean = total / np.maximum(np.bincount(owner, minlength=n), 1)[:, None]
+        p = np.exp(mean - mean.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        best = p.argmax(axis=1)
+        found = np.where(letters, p[np.arange(n), best], 0.0)
+        names = [net.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
+    return names, found
+
+
 def predict(docs: DataFrame, net: Network | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, ``lang_pred`` and ``score`` of every whole text."""
 
     def run(batches):
         for batch in slices(batches, 1 << 20):
-            data, at = utf8(batch.column("text"))
-            n = batch.num_rows
-            names, scores = [UNKNOWN] * n, np.zeros(n)
-            letters = np.array([bool(t and LETTER.search(t)) for t in batch.column("text").to_pylist()])
-            if net is not None and len(data):
-                windows, owner = windows_of(data, at)
-                total = np.zeros((n, len(net.languages)))
-                for i in range(0, len(windows), 128):
-                    np.add.at(total, owner[i : i + 128], net.log_softmax(windows[i : i + 128]))
-                mean = total / np.maximum(np.bincount(owner, minlength=n), 1)[:, None]
-                p = np.exp(mean - mean.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                best = p.argmax(axis=1)
-                scores = np.where(letters, p[np.arange(n), best], 0.0)
-                names = [net.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names), pa.array(scores)], ["key", "lang_pred", "score"])
+            names, found = scores(net, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(names, pa.string()), pa.array(found)], ["key", "lang_pred", "score"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, lang_pred string, score double").withColumnRenamed("key", key)
 
 
+def recognised(docs: DataFrame, net: Network | None, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose language is known with a score of at least ``least``."""
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for batch in slices(batches, 1 << 20, text):
+            names, found = scores(net, batch.column(at))
+            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in zip(names, found, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Whether a row is kept out of the training: crc32 of the id as text leaves 1 when divided by 3."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1

@@ -129,3 +129,38 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     spans = repeats.repeats(keyed, UNIT, earlier)
     found = repeats.with_spans(keyed, spans).select("doc", "text", "spans").mapInArrow(run, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return found.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def whole_characters(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of UTF-8 bytes cut back to whole characters."""
+    inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80
+    low, high = lo.tolist(), hi.tolist()
+    for k in range(len(low)):
+        while low[k] < high[k] and inside(low[k]):
+            low[k] += 1
+        while high[k] > low[k] and inside(high[k]):
+            high[k] -= 1
+    return np.array(low, np.int64), np.array(high, np.int64)
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
+    """The documents without their repeated strings; those of which nothing is left go."""
+
+    def run(batches):
+        for batch in slices(batches, 1 << 20):
+            data, at = utf8(batch.column("text"))
+            kept: list[str | None] = []
+            for i, (lo, hi) in enumerate(repeats.spans_of(batch)):
+                own = data[at[i] : at[i + 1]]
+                lo, hi = whole_characters(own, np.minimum(lo, len(own)), np.minimum(hi, len(own)))
+                new = b"".join(own[a:b].tobytes() for a, b in zip(np.r_[0, hi], np.r_[lo, len(own)], strict=True)).decode()
+                kept.append(new if new or not len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "text"])
+
+    rest = [c for c in docs.columns if c != text]
+    keyed = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*rest).alias("row"))
+    spans = repeats.repeats(keyed.select("doc", "text"), UNIT, earlier)
+    found = repeats.with_spans(keyed, spans).select("text", "spans", "row")
+    cut = found.mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, text string").where("text is not null")
+    length = F.length("text").cast("bigint")
+    return cut.select(*(F.col("text").alias(c) if c == text else length.alias(c) if c == n_chars else F.col("row")[c].alias(c) for c in docs.columns))
