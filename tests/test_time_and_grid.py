@@ -41,7 +41,7 @@ def test_resampling_is_linear_and_clamped(cube):
 
 
 def test_regridding_is_exact_for_linear_fields(cube):
-    ys, xs = tuple(np.linspace(-80, 80, 5)), tuple(np.arange(0.0, 360.0, 45.0))
+    ys, xs = np.linspace(-80, 80, 5).tolist(), np.arange(0.0, 360.0, 45.0).tolist()
     c = cube([2 * y + 3 for y in ys for _ in xs], ["2000-01-01"], y=ys, x=xs)
     out = regrid.regrid(c, np.array([-50.0, 0.0, 37.0]), np.array([10.0, 350.0]))
     for r in out.df.collect():
