@@ -14,8 +14,8 @@ Shingles that are common in a chunk are counted there first, so that no range re
 often than there are chunks.
 
 Lists are scanned in sorted streams. A list of m sets gives m - 1 edges, not all pairs; the components
-of these edges are blocks, inside of which all links lie. Blocks are cut into tiles of ``TILE`` sets,
-and each pair of tiles is verified exactly by a product of incidence matrices, in its own group. Links
+of these edges are blocks, inside of which all links lie. Blocks are cut into tiles of ``TILE`` sets
+or ``TILE_SHINGLES`` shingles, and each pair of tiles is verified exactly by a product of incidence matrices, in its own group. Links
 leave a group as stars of its components, too.
 
 Defined results: a text without words (null, empty) has an empty set, which is linked with nothing;
@@ -49,7 +49,8 @@ WORTH = 4
 COMMON = 64
 BITS = 48  # of a shingle's hash, where it is counted
 MARK = 1 << 31
-TILE = 512
+#: Sets, and shingles, of a tile on average.
+TILE, TILE_SHINGLES = 256, 1 << 18
 FILTER = 1 << 23  # bits of the filter of documents that take part in verification
 #: Kinds of rows, in ``n``; a document's is its size.
 SIGNATURE, EDGE, COUNTED, INFO = -1, -2, -3, -4
@@ -416,9 +417,10 @@ def joined(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text")
     edges = known.select("node", "other", "n").unionByName(scanned(prefixes(known, rule)).select("node", "other", "n")).where(F.col("n") == EDGE)
     blocks = components(edges.select(F.col("node").alias("src"), F.col("other").alias("dst")))
     blocks = written(blocks.withColumnRenamed("label", "block"), "blocks")
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
-    nodes = written(of_docs.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc")), "nodes")
-    members = blocks.join(sizes, "block").join(nodes, "node").select("node", "doc", "block", F.ceil(F.col("size") / TILE).cast("int").alias("tiles"))
+    nodes = written(of_docs.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n")), "nodes")
+    placed = blocks.join(nodes, "node")
+    tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    members = placed.join(placed.groupBy("block").agg(tiles.alias("tiles")), "block").select("node", "doc", "block", "tiles")
     links = components(verified(members, rows, rule))
     classes = nodes.join(links, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
     classes = written(classes, "classes")
@@ -440,5 +442,5 @@ def distinct(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text
     Rows of one id stay or go together.
     """
     copies = joined(docs, rule, key, text).where("doc <> component_id").select(F.col("doc").alias("_copy")).distinct()
-    own = F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63)))
-    return docs.join(copies, own == F.col("_copy"), "left_anti")
+    own = F.coalesce(docs[key].cast("bigint"), F.lit(-(1 << 63)))
+    return docs.join(copies, own == copies["_copy"], "left_anti")

@@ -141,7 +141,7 @@ def sample(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "l
     picked = rows.where(keep if keep is not None else F.lit(False))
     ranked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))).where(F.col("r") <= TRAIN_DOCS).drop("r")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = texts.join(F.broadcast(ranked), "key")  # TRAIN_DOCS * TRAIN_LANGUAGES short rows at most
+    found = texts.join(F.broadcast(ranked.dropDuplicates(["key"])), "key").dropDuplicates(["key"])  # TRAIN_DOCS * TRAIN_LANGUAGES short rows at most
     pieces = F.transform(
         F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)),
         lambda i: F.expr("text").substr((F.floor(F.greatest(F.col("n") - WINDOW, F.lit(0)) * i / (TRAIN_WINDOWS - 1)) + 1).cast("int"), F.lit(WINDOW)),
