@@ -49,7 +49,8 @@ URL_RULES = [
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return webtrust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    judged = webtrust.judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judged.withColumn("trust", F.round("trust", 9)).withColumn("distrust", F.round("distrust", 9))
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +84,87 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
+def _rounds(name: str, edges: str, seeds: str) -> str:
+    """Common table expressions of all rounds of propagation; the last is ``name``."""
+    out = [f"{name}_0 AS (SELECT host, w / (SELECT sum(w) FROM {seeds}) AS rank FROM {seeds})"]
+    for i in range(1, webtrust.ROUNDS + 1):
+        last = name if i == webtrust.ROUNDS else f"{name}_{i}"
+        out.append(f"""{last} AS (SELECT host, sum(rank) AS rank FROM (
+            SELECT dst AS host, rank * share * {webtrust.DAMPING} AS rank FROM {edges} JOIN {name}_{i - 1} ON src = host
+            UNION ALL SELECT host, rank * (1 - {webtrust.DAMPING}) FROM {name}_0) GROUP BY host)""")
+    return ", ".join(out)
+
+
+_RULE = "CASE " + " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}'" for _, h, p in sorted(URL_RULES, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
+) + " END"
+_VERDICT = "CASE " + " ".join(f"WHEN rule = '{h + p}' THEN '{v}'" for v, h, p in URL_RULES) + " END"
+_UPPER, _LOWER = webtrust.UPPER, webtrust.LOWER
+_TAIL = "CASE WHEN contains({0}, '://') THEN substr({0}, position('://' IN {0}) + 3) END"
+_HOST = f"coalesce(translate(regexp_extract({_TAIL}, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '')"
+_PATH = f"coalesce(regexp_extract({_TAIL}, '(?s)^[^/?#]*([^?#]*)', 1), '')"
+_LINK = "(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']?([a-z][a-z0-9+.-]*://[^\"''\\s>]*)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        b AS (SELECT doc_id, unnest(range(strlen(h) // 2)) AS i, h FROM d),
+        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM b WHERE 2 * i + 200 <= strlen(h)),
+        f AS (SELECT s, min(doc_id * 4294967296 + i) AS first FROM w GROUP BY s),
+        r AS (SELECT doc_id, i FROM w JOIN f ON w.s = f.s WHERE doc_id * 4294967296 + i > first),
+        g AS (
+            SELECT b.doc_id, b.i, substr(h, 2 * b.i + 1, 2) AS x,
+                coalesce(bool_or(r.i IS NOT NULL) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), false) AS gone
+            FROM b LEFT JOIN r ON b.doc_id = r.doc_id AND b.i = r.i
+        ), e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
+        a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
+        SELECT d.doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+        FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+    """,
+    "op5_automaton_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        k AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+        f AS (SELECT s, min(doc_id) AS first FROM k GROUP BY s),
+        gone AS (SELECT DISTINCT doc_id, i + j AS i FROM k JOIN f ON k.s = f.s, range(13) t(j) WHERE first < doc_id),
+        words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+        a AS (
+            SELECT words.doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY words.i) FILTER (WHERE gone.i IS NULL) AS kept
+            FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.i = gone.i GROUP BY words.doc_id
+        )
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+    """,
+    "op6_jaccard_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)
+            UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 2
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT doc_id, b FROM reached JOIN both_ways ON other = a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c ON c.doc_id = d.doc_id
+    """,
+    "op7_url_filter": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path FROM pages),
+        q AS (SELECT *, {_RULE} AS rule FROM p), v AS (SELECT *, {_VERDICT} AS ruled FROM q),
+        found AS (SELECT host AS src, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS link FROM v WHERE host <> ''),
+        parents AS (SELECT DISTINCT host, regexp_extract(host, '^[^.]+\\.(.+\\..+)$', 1) AS parent FROM v WHERE host <> ''),
+        every AS (
+            SELECT src, {_HOST.format('link')} AS dst FROM found
+            UNION ALL SELECT host, parent FROM parents WHERE parent <> '' UNION ALL SELECT parent, host FROM parents WHERE parent <> ''
+        ), edges AS (SELECT src, dst, count(*) AS n FROM every WHERE dst <> '' AND src <> dst GROUP BY src, dst),
+        ahead AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges),
+        back AS (SELECT dst AS src, src AS dst, n / sum(n) OVER (PARTITION BY dst) AS share FROM edges),
+        good AS (SELECT host, count(*) AS w FROM v WHERE ruled = 'allow' AND host <> '' GROUP BY host),
+        bad AS (SELECT host, count(*) AS w FROM v WHERE ruled = 'block' AND host <> '' GROUP BY host),
+        {_rounds('trusted', 'ahead', 'good')}, {_rounds('distrusted', 'back', 'bad')}
+        SELECT page_id, v.host, path, rule, coalesce(ruled, CASE WHEN coalesce(d.rank, 0) > {webtrust.THRESHOLD} * coalesce(t.rank, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+            round(coalesce(t.rank, 0), 9) AS trust, round(coalesce(d.rank, 0), 9) AS distrust
+        FROM v LEFT JOIN trusted t ON t.host = v.host LEFT JOIN distrusted d ON d.host = v.host
+    """,
     "op9_warc_fixity": """
         WITH damaged AS (
             SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
