@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections import OrderedDict
 from concurrent.futures import Future, ThreadPoolExecutor
@@ -30,6 +31,7 @@ class Engine:
         self.catalog = catalog or Catalog(spark)
         self.results: OrderedDict[str, Cube] = OrderedDict()
         self.jobs: dict[str, Future] = {}
+        self.times: list[dict] = []
         self._pool = ThreadPoolExecutor(workers)
 
     def plan(self, request: str | dict | Request) -> dict[str, Cube]:
@@ -39,7 +41,7 @@ class Engine:
         return plan(request, self.catalog)
 
     def execute(self, request: str | dict | Request, response: str = "frame", path: str | None = None, run_async: bool = False):
-        """Runs a request. Responses: ``frame`` (DataFrames), ``dict``, ``xml``, ``object`` (Arrow), ``file`` (Parquet at ``path``).
+        """Runs a request. Responses: ``frame`` (DataFrames), ``dict``, ``xml``, ``object`` (Arrow), ``file`` (Parquet at ``path``), ``netcdf`` (small results).
 
         Asynchronous runs return the job's id at once.
         """
@@ -47,13 +49,22 @@ class Engine:
             job = uuid.uuid4().hex[:12]
             self.jobs[job] = self._pool.submit(self.execute, request, "file" if response == "frame" and path else response, path)
             return job
+        began = time.perf_counter()
         found = self.plan(request)
+        planned = time.perf_counter()
         for rid, cube in found.items():
             self.results[rid] = cube
             self.results.move_to_end(rid)
             while len(self.results) > RESULTS:
                 self.results.popitem(last=False)
-        return {rid: self._formed(rid, cube, response, path) for rid, cube in found.items()}
+        out = {rid: self._formed(rid, cube, response, path) for rid, cube in found.items()}
+        self.times.append({"products": list(found), "response": response, "plan_s": planned - began, "run_s": time.perf_counter() - planned})
+        del self.times[:-RESULTS]
+        return out
+
+    def profile(self) -> list[dict]:
+        """Seconds of planning and running of the latest requests (frames run later), slowest first."""
+        return sorted(self.times, key=lambda t: -(t["plan_s"] + t["run_s"]))
 
     def _formed(self, rid: str, cube: Cube, response: str, path: str | None):
         if response == "frame":
@@ -64,6 +75,12 @@ class Engine:
             target = f"{path.rstrip('/')}/{rid}.parquet"
             cube.df.write.mode("overwrite").parquet(target)
             return target
+        if response == "netcdf":
+            from cubelark.sources.netcdf import write
+
+            if not path:
+                raise CubeError("a NetCDF response needs a path")
+            return write(cube.df, cube, f"{path.removeprefix('file://').rstrip('/')}/{rid}.nc")
         if response == "object":
             return cube.ordered().toArrow()
         rows = cube.ordered().limit(INLINE_ROWS + 1).collect()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubelark.cube import Cube, CubeError, merge
@@ -67,6 +67,17 @@ def deviation(cube: Cube, axes: str = "t") -> Cube:
     return Cube(cube.df.groupBy(*keep).agg(*(F.sqrt(F.try_divide(squares(v), n - 1)).alias(v) for v in cube.values)), keep, cube.values)
 
 
+def by_bin(name: str, cube: Cube, bins: DataFrame, place: Column, value: str = "") -> Cube:
+    """``v op bin's value``: the second operand is looked up by a bin of each cell, as for values against a cycle.
+
+    ``bins`` has the columns ``bin`` and the values; ``place`` gives the bin of a cell.
+    """
+    v = value or cube.values[0]
+    other = bins.select(F.col("bin").alias("_bin"), F.col(v).alias("_other"))
+    df = cube.df.withColumn("_bin", place).join(other, "_bin", "left")
+    return Cube(df, cube.axes, (v,)).with_values({v: combine(name, F.col(v), F.col("_other"))})
+
+
 def union(cubes: list[Cube]) -> Cube:
     """Slabs of one grid after another along time; the order of a long table doesn't matter."""
     first = cubes[0]

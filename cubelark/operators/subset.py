@@ -170,6 +170,11 @@ def intersect(a: tuple[object, object], b: tuple[object, object]) -> tuple[objec
     return (lo, hi) if lo <= hi else None
 
 
+def enclosing(a: tuple[object, object], b: tuple[object, object]) -> tuple[object, object]:
+    """The smallest closed range that holds both."""
+    return min(a[0], b[0]), max(a[1], b[1])
+
+
 def contains(outer: Domain, inner: Domain) -> bool:
     """Whether every cell of ``inner`` is one of ``outer``: what lets a cached region answer for a smaller one."""
     if outer.mask and outer.mask != inner.mask:

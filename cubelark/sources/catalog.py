@@ -1,8 +1,8 @@
 """The catalog: names for datasets, and regions of them that are kept.
 
-A collection is a Parquet file, a directory of such files (also nested), a text file that lists files, or
-a DataFrame, with its axes and variables. NetCDF goes through ``convert`` once, where a reader is
-installed; OPeNDAP needs a network and is refused with that reason.
+A collection is a Parquet file, a directory of such files (also nested), a text file that lists files, a
+classic NetCDF file, or a DataFrame, with its axes and variables. OPeNDAP needs a network and is refused
+with that reason.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ class Collection:
     missing: float | None = None
     title: str = ""
     frame: DataFrame | None = field(default=None, compare=False)
+    file_filter: str = "*.parquet"
 
 
 @dataclass
@@ -51,8 +52,11 @@ class Catalog:
         self.masks: dict[str, object] = {}
         self._frames: dict[str, DataFrame] = {}
 
-    def register(self, name: str, source: str | DataFrame, axes: dict, variables, missing: float | None = None, title: str = "") -> Collection:
-        """Adds or replaces a collection; ``variables`` is a list of columns, or maps names to columns."""
+    def register(self, name: str, source: str | DataFrame, axes: dict | None = None, variables=(), missing: float | None = None, title: str = "", file_filter: str = "*.parquet") -> Collection:
+        """Adds or replaces a collection; ``variables`` is a list of columns, or maps names to columns.
+
+        Of classic NetCDF files (``.nc``) the axes and the missing value are known, and one variable is registered.
+        """
         named = dict(variables) if isinstance(variables, dict) else {v: v for v in variables}
         if isinstance(source, DataFrame):
             found = Collection(name, "frame", "", axes, named, missing, title, source)
@@ -60,10 +64,16 @@ class Catalog:
             uri = source.removeprefix("file:") if source.startswith("file:/") else source
             if uri.startswith("http"):
                 raise CubeError(f"{uri}: OPeNDAP needs a network; register a file that was read from it")
+            if uri.endswith(".nc"):
+                from cubelark.sources.netcdf import scan
+
+                (variable,) = named
+                cube = scan(self.spark, uri, variable)
+                return self.register(name, cube.df, {a: a for a in cube.axes}, named, missing, title)
             if uri.endswith(ARRAY_FILES):
-                raise CubeError(f"{uri}: convert array files to long Parquet tables first")
+                raise CubeError(f"{uri}: only classic NetCDF (.nc) is read; convert others to long Parquet tables")
             kind = "csv" if uri.endswith((".csv", ".txt")) else "parquet" if uri.endswith(".parquet") else "directory"
-            found = Collection(name, kind, uri, axes, named, missing, title)
+            found = Collection(name, kind, uri, axes, named, missing, title, None, file_filter)
         self.collections[name.lower()] = found
         self._frames.pop(name.lower(), None)
         return found
@@ -105,7 +115,7 @@ class Catalog:
                     raise CubeError(f"{c.uri} lists no files")
                 df = self.spark.read.parquet(*paths)
             elif c.kind == "directory":
-                df = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(c.uri)
+                df = self.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", c.file_filter).parquet(c.uri)
             else:
                 df = self.spark.read.parquet(c.uri)
             column = lambda x: F.col(x) if isinstance(x, str) else x

@@ -117,6 +117,7 @@ def test_sources(engine, cube, tmp_path):
     other.catalog.load(str(tmp_path / "catalog.json"))
     assert {c["name"] for c in other.capabilities("collections")} == {"nested", "listed"}
     engine.utility("util.dcol", name="listed")
+    assert Engine(engine.spark).catalog.register("f", f"{tmp_path}/deep", axes, ["v"], file_filter="none*").file_filter == "none*"
     for wrong in ("http://host/x.nc", "/data/x.nc4"):
         with pytest.raises(CubeError):
             engine.catalog.register("w", wrong, axes, ["v"])
@@ -138,3 +139,50 @@ def test_user_operations(engine):
     assert df.count() == 3 and {r["v"] for r in df.collect()} == {0.0}
     assert engine.describe("my.smallest")["options"] == ["axes"]
     assert "cdspark.max" in {k["name"] for k in engine.capabilities()}
+
+
+def test_netcdf_round_trip(engine, cube, tmp_path):
+    c = cube([None if i == 5 else i / 4 for i in range(36)], TIMES)
+    engine.catalog.register("gaps", c.df, {a: a for a in "tzyx"}, ["v"])
+    path = engine.execute(ask('{"name":"CDSpark.subset","result":"all"}', '{"uri":"collection:/gaps","name":"v"}'), "netcdf", str(tmp_path))["all"]
+    engine.catalog.register("again", path, variables=["v"])
+    back = engine.catalog.cube("again")
+    assert back.axes == ("t", "z", "y", "x")
+    assert sorted(map(str, back.df.collect())) == sorted(map(str, c.df.collect()))
+    assert engine.profile()[0]["response"] in ("netcdf", "frame")
+    with pytest.raises(CubeError):
+        engine.catalog.register("none", path, variables=["w"])
+
+
+def test_netcdf_records_and_units(spark, tmp_path):
+    import struct
+
+    from cubelark.sources import netcdf
+
+    n = lambda *x: struct.pack(f">{len(x)}i", *x)
+    t = lambda s: n(len(s)) + s.encode() + b"\0" * (-len(s) % 4)
+    # two record variables (unlimited time, shorts padded to four bytes) and version 1 offsets
+    units = n(12, 1) + t("units") + n(2) + t("days since 2000-01-01")
+    scaled = n(12, 2) + t("scale_factor") + n(6, 1) + struct.pack(">d", 0.5) + t("missing_value") + n(3, 1) + struct.pack(">hxx", -9)
+    make = lambda a, b: b"CDF\x01" + n(3) + n(10, 2) + t("time") + n(0) + t("lat") + n(3) + n(0, 0) + n(11, 2) + t("time") + n(1, 0) + units + n(6, 8, a) + t("v") + n(2, 0, 1) + scaled + n(3, 8, b)
+    start = len(make(0, 0))
+    data = make(start, start + 8) + b"".join(struct.pack(">d", d) + struct.pack(">3hxx", d, -9, 10 * d) for d in (1, 2, 40))
+    (tmp_path / "r.nc").write_bytes(data)
+    rows = netcdf.scan(spark, f"file://{tmp_path}/r.nc", "v").ordered().collect()
+    assert [r["v"] for r in rows] == [0.5, None, 5.0, 1.0, None, 10.0, 20.0, None, 200.0]
+    assert rows[0]["t"].isoformat() == "2000-01-02T00:00:00" and rows[8]["y"] == 2.0
+    with pytest.raises(CubeError):
+        netcdf.Header(b"\x89HDF")
+    with pytest.raises(CubeError):
+        netcdf.seconds(rows, "months since 2000-01-01")
+
+
+def test_command_line(spark, tmp_path, cube, capsys):
+    from cubelark.__main__ import main
+
+    cube([1.0] * 36, TIMES).df.write.parquet(f"file://{tmp_path}/d/p.parquet")
+    catalog = str(tmp_path / "c.json")
+    assert main([catalog, "agg", "d", f"{tmp_path}/d", "t=t,z=z,y=y,x=x", "v"]) == 0 and main([catalog, "list"]) == 0
+    assert '"collection": "d"' in capsys.readouterr().out
+    assert main([catalog, "run", ask('{"name":"CDSpark.sum","axes":"tzyx","result":"s"}', '{"uri":"collection:/d","name":"v"}')]) == 0
+    assert "36.0" in capsys.readouterr().out and main([]) == 2

@@ -66,3 +66,13 @@ def test_names_are_told_by_their_beginnings():
     for wrong in ("minus", "power"):
         with pytest.raises(CubeError):
             named(wrong)
+
+
+def test_values_against_a_cycle(cube):
+    from pyspark.sql import functions as F
+
+    from cubelark.operators import timebin
+
+    a = cube([1.0, 2.0, 5.0, None], TIMES, **GRID, name="a")
+    cycle = timebin.binned(a, "month", "all")
+    assert values(elementwise.by_bin("sub", a, cycle, F.month("t") - 1), "a") == [-0.5, 0.5, 0.0, None]
