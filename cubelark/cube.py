@@ -78,6 +78,12 @@ class Cube:
             self._coordinates[axis] = np.sort(rows)
         return self._coordinates[axis]
 
+    def extent(self, axes: str = "yx") -> dict[str, tuple]:
+        """First and last coordinate of some axes: the bounding box of a grid."""
+        own = [a for a in self.axes if a in axes]
+        row = self.df.agg(*(f(a).alias(f"{a}_{n}") for a in own for n, f in (("lo", F.min), ("hi", F.max)))).first()
+        return {a: (row[f"{a}_lo"], row[f"{a}_hi"]) for a in own}
+
     def ordered(self) -> DataFrame:
         """Rows in the order of the axes, for a sink."""
         return self.df.orderBy(*self.axes) if self.axes else self.df

@@ -78,6 +78,12 @@ def by_bin(name: str, cube: Cube, bins: DataFrame, place: Column, value: str = "
     return Cube(df, cube.axes, (v,)).with_values({v: combine(name, F.col(v), F.col("_other"))})
 
 
+def overlay(a: Cube, b: Cube) -> Cube:
+    """The values of both side by side on the cells that both have; of a name that both use, those of ``b``."""
+    rest = tuple(v for v in a.values if v not in b.values)
+    return merge([Cube(a.df.select(*a.axes, *rest), a.axes, rest), Cube(b.df, b.axes, b.values)]) if rest else b
+
+
 def union(cubes: list[Cube]) -> Cube:
     """Slabs of one grid after another along time; the order of a long table doesn't matter."""
     first = cubes[0]

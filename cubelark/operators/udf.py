@@ -6,11 +6,12 @@ set, partial results of blocks are reduced by a second function. Built-ins never
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubelark.cube import Cube, CubeError
@@ -94,6 +95,16 @@ def user_map(name: str, function: Callable[[pd.Series], pd.Series]) -> Operation
     return register(Operation(name, run, description="user map"))
 
 
-def capabilities() -> DataFrame | list[dict]:
+def load(*packages: str) -> list[str]:
+    """Imports modules, or all modules of packages, whose operations register themselves; returns the new names."""
+    before = set(REGISTRY)
+    for name in packages:
+        module = importlib.import_module(name)
+        for found in pkgutil.iter_modules(getattr(module, "__path__", [])):
+            importlib.import_module(f"{name}.{found.name}")
+    return sorted(set(REGISTRY) - before)
+
+
+def capabilities() -> list[dict]:
     """Names and descriptions of all operations."""
     return [{"name": k, "description": o.description, "options": list(o.options), "inputs": list(o.inputs)} for k, o in sorted(REGISTRY.items())]

@@ -186,3 +186,29 @@ def test_command_line(spark, tmp_path, cube, capsys):
     assert '"collection": "d"' in capsys.readouterr().out
     assert main([catalog, "run", ask('{"name":"CDSpark.sum","axes":"tzyx","result":"s"}', '{"uri":"collection:/d","name":"v"}')]) == 0
     assert "36.0" in capsys.readouterr().out and main([]) == 2
+
+
+def test_operations_of_other_packages(engine, tmp_path, monkeypatch):
+    (tmp_path / "kernels_of_mine").mkdir()
+    (tmp_path / "kernels_of_mine" / "__init__.py").write_text("")
+    (tmp_path / "kernels_of_mine" / "twice.py").write_text(
+        "from cubelark.operators.elementwise import scalar\nfrom cubelark.operators.udf import Operation, register\nregister(Operation('mine.twice', lambda cubes, o: scalar('mul', cubes[0], 2)))\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert udf.load("kernels_of_mine") == ["mine.twice"]
+    (df,) = engine.execute(ask('{"name":"mine.twice"}')).values()
+    assert {r["v"] for r in df.collect()} == {2.0 * i for i in range(7)}
+
+
+def test_a_region_reaches_the_scan(spark, cube, tmp_path):
+    c = cube([float(i) for i in range(36)], TIMES)
+    c.df.withColumn("other", c.df["v"]).write.parquet(f"file://{tmp_path}/f.parquet")
+    engine = Engine(spark)
+    engine.catalog.register("f", f"file:{tmp_path}/f.parquet", {a: a for a in "tzyx"}, ["v", "other"])
+    text = ask('{"name":"CDSpark.average","input":"v","axes":"tzy","domain":"d"}', '{"uri":"collection:/f","name":"v"}', '{"name":"d","time":{"start":"2000-01-15","end":"2000-03-15"},"lat":{"start":-60,"end":0}}')
+    (df,) = engine.execute(text).values()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")
+    assert "GreaterThanOrEqual(t" in pushed[0] and "IsNotNull(y)" in pushed[0]  # Spark cuts the list
+    assert "other" not in pushed[1].split("\n")[0]
+    assert df.count() == 4

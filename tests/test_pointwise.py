@@ -76,3 +76,12 @@ def test_values_against_a_cycle(cube):
     a = cube([1.0, 2.0, 5.0, None], TIMES, **GRID, name="a")
     cycle = timebin.binned(a, "month", "all")
     assert values(elementwise.by_bin("sub", a, cycle, F.month("t") - 1), "a") == [-0.5, 0.5, 0.0, None]
+
+
+def test_overlay_and_extent(cube):
+    a = cube([1.0, 2.0, 3.0, 4.0], TIMES, **GRID, name="a")
+    b = cube([5.0, 6.0, 7.0, 8.0], TIMES, **GRID, name="b")
+    both = elementwise.overlay(a, b)
+    assert both.values == ("a", "b") and values(both, "b") == [5.0, 6.0, 7.0, 8.0]
+    assert values(elementwise.overlay(both, a), "a") == [1.0, 2.0, 3.0, 4.0]
+    assert a.extent() == {"y": (0.0, 0.0), "x": (0.0, 90.0)}
