@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cubelark.cube import Cube, CubeError
+from cubelark.cube import AXIS_LIMIT, Cube, CubeError
 
 
 def resample(cube: Cube, target: Cube) -> Cube:
@@ -19,7 +19,8 @@ def resample(cube: Cube, target: Cube) -> Cube:
     cell = [a for a in cube.axes if a != "t"]
     order = Window.partitionBy(*cell).orderBy("t")
     steps = cube.df.select(*cube.axes, *cube.values, F.lead("t").over(order).alias("_next"), F.lag("t").over(order).alias("_before"), *(F.lead(v).over(order).alias(f"_{v}") for v in cube.values))
-    axis = target.df.agg(F.sort_array(F.collect_set("t")).alias("_times"))  # one row: the steps of an axis
+    times = target.df.agg(F.sort_array(F.collect_set("t")).alias("_times"))  # one row: the steps of an axis
+    axis = times.select(F.when(F.size("_times") <= AXIS_LIMIT, F.col("_times")).otherwise(F.raise_error(F.lit(f"a time axis of over {AXIS_LIMIT} steps"))).alias("_times"))
     steps = steps.join(F.broadcast(axis))
     seconds = lambda c: F.unix_micros(c.cast("timestamp"))
     here = F.filter("_times", lambda x: ((x >= F.col("t")) | F.col("_before").isNull()) & ((x < F.col("_next")) | F.col("_next").isNull()))
