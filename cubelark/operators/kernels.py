@@ -8,7 +8,8 @@ from cubelark.cube import Cube, CubeError, merge
 from cubelark.operators import elementwise, reduce, regrid, subset, timebin
 from cubelark.operators.udf import Operation, register
 
-MODULE, NUMPY, CDMS, EXT = "CDSpark", "python.numpyModule", "python.cdmsModule", "python.cdmsExt"
+#: Families of kernels; ``lookup`` says which other module names mean them.
+MODULE, NUMPY, CDMS = "cube", "numpy", "cdms"
 
 
 def _all(cubes: list[Cube]) -> Cube:
@@ -52,8 +53,8 @@ def _area(cubes: list[Cube], options: dict) -> Cube:
 
 
 register(Operation(f"{NUMPY}.avew", _cosine, (1, 99), "mean weighted by the cosine of the latitude", ("axes",)))
-register(Operation(f"{CDMS}.ave", _area, (1, 99), "area-weighted mean", ("axis", "axes", "weights", "action"), (f"{EXT}.ave",)))
-register(Operation(f"{EXT}.zaDemo", lambda cubes, o: reduce.zonal_season_mean(_all(cubes), str(o.get("season", "DJF"))), (1, 99), "zonal mean of a season", ("season",)))
+register(Operation(f"{CDMS}.ave", _area, (1, 99), "area-weighted mean", ("axis", "axes", "weights", "action")))
+register(Operation(f"{CDMS}.zaDemo", lambda cubes, o: reduce.zonal_season_mean(_all(cubes), str(o.get("season", "DJF"))), (1, 99), "zonal mean of a season", ("season",)))
 
 
 def _dual(name: str):

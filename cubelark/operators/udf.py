@@ -43,9 +43,16 @@ def register(operation: Operation) -> Operation:
 
 
 def lookup(name: str) -> Operation:
-    if name.lower() not in REGISTRY:
-        raise CubeError(f"unknown operation {name}")
-    return REGISTRY[name.lower()]
+    """By full name; else by family and kernel, where a family may end in ``module`` or ``ext``; else the kernel of ``cube``.
+
+    So requests that call kernels by other modules' names are understood.
+    """
+    *path, kernel = name.lower().split(".")
+    family = path[-1].removesuffix("module").removesuffix("ext") if path else "cube"
+    for known in (name.lower(), f"{family}.{kernel}", f"cube.{kernel}"):
+        if known in REGISTRY:
+            return REGISTRY[known]
+    raise CubeError(f"unknown operation {name}")
 
 
 def user_reduction(name: str, map_: Callable[[pd.DataFrame], pd.Series], reduce_: Callable[[pd.Series, pd.Series], pd.Series]) -> Operation:

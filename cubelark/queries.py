@@ -113,21 +113,21 @@ _SQL_AGGREGATES = {
     "rmSum": "sqrt(sum(value) / nullif(count(*) - 1, 0))",
 }
 for _kernel, _sql in _SQL_AGGREGATES.items():
-    request(f"reduce_{_kernel.lower()}_t", ask(f'{{"name":"CDSpark.{_kernel}","input":"value","axes":"t"}}', var("ev", "value")), f"SELECT z, x, {r(_sql, 'value')} FROM ev GROUP BY z, x")
+    request(f"reduce_{_kernel.lower()}_t", ask(f'{{"name":"cube.{_kernel}","input":"value","axes":"t"}}', var("ev", "value")), f"SELECT z, x, {r(_sql, 'value')} FROM ev GROUP BY z, x")
 for _kernel, _sql in {"std": "stddev_pop(value)", "var": "var_pop(value)", "ptp": "max(value) - min(value)", "max": "max(value)", "min": "min(value)", "sum": "sum(value)", "ave": "avg(value)", "maxSer": "max(value)", "maxCustRed": "max(value)"}.items():
-    request(f"numpy_{_kernel.lower()}_tz", ask(f'{{"name":"python.numpyModule.{_kernel}","input":"value","axes":"tz"}}', var("ev", "value")), f"SELECT x, {r(_sql, 'value')} FROM ev GROUP BY x")
+    request(f"numpy_{_kernel.lower()}_tz", ask(f'{{"name":"numpy.{_kernel}","input":"value","axes":"tz"}}', var("ev", "value")), f"SELECT x, {r(_sql, 'value')} FROM ev GROUP BY x")
 
-request("reduce_all_axes", ask('{"name":"CDSpark.average","axes":""}', var("ev", "value")), f"SELECT {r('avg(value)', 'value')} FROM ev")
-request("reduce_many_variables", ask('{"name":"CDSpark.max","axes":"tx"}', var("li", "*")), "SELECT y, max(quantity) AS quantity, max(price) AS price, max(discount) AS discount, max(tax) AS tax FROM (SELECT round(y, 5) AS y, quantity, price, discount, tax FROM li) GROUP BY y")
-request("weighted_cosine", ask('{"name":"CDSpark.average","input":"quantity","axes":"xy","weights":"cosine"}', var("li", "quantity")), f"SELECT t, {r('sum(quantity * cos(radians(y))) / sum(cos(radians(y)))', 'quantity')} FROM li GROUP BY t")
-request("numpy_avew", ask('{"name":"python.numpyModule.avew","input":"quantity","axes":"txy"}', var("li", "quantity")), f"SELECT {r('sum(quantity * cos(radians(y))) / sum(cos(radians(y)))', 'quantity')} FROM li")
+request("reduce_all_axes", ask('{"name":"cube.average","axes":""}', var("ev", "value")), f"SELECT {r('avg(value)', 'value')} FROM ev")
+request("reduce_many_variables", ask('{"name":"cube.max","axes":"tx"}', var("li", "*")), "SELECT y, max(quantity) AS quantity, max(price) AS price, max(discount) AS discount, max(tax) AS tax FROM (SELECT round(y, 5) AS y, quantity, price, discount, tax FROM li) GROUP BY y")
+request("weighted_cosine", ask('{"name":"cube.average","input":"quantity","axes":"xy","weights":"cosine"}', var("li", "quantity")), f"SELECT t, {r('sum(quantity * cos(radians(y))) / sum(cos(radians(y)))', 'quantity')} FROM li GROUP BY t")
+request("numpy_avew", ask('{"name":"numpy.avew","input":"quantity","axes":"txy"}', var("li", "quantity")), f"SELECT {r('sum(quantity * cos(radians(y))) / sum(cos(radians(y)))', 'quantity')} FROM li")
 _AREA = "sin(radians(least(y + 90.0 / n, 90))) - sin(radians(greatest(y - 90.0 / n, -90)))"
-request("cdms_ave", ask('{"name":"python.cdmsModule.ave","input":"price","axis":"y"}', var("li", "price")), f"SELECT t, x, {r('sum(price * w) / sum(w)', 'price')} FROM (SELECT *, {_AREA} AS w FROM li, (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem)) GROUP BY t, x")
+request("cdms_ave", ask('{"name":"cdms.ave","input":"price","axis":"y"}', var("li", "price")), f"SELECT t, x, {r('sum(price * w) / sum(w)', 'price')} FROM (SELECT *, {_AREA} AS w FROM li, (SELECT count(DISTINCT l_suppkey) AS n FROM lineitem)) GROUP BY t, x")
 _ZONAL = f"""SELECT round(y, {DIGITS}) AS y, {r('avg(price)', 'price')} FROM (
     SELECT y, x, sum(price * days) / sum(days) AS price FROM (
         SELECT y, x, avg(price) AS price, day(last_day(min(t))) AS days FROM li WHERE month(t) IN (12, 1, 2) GROUP BY y, x, year(t), month(t)
     ) GROUP BY y, x) GROUP BY y"""
-request("cdms_zonal_season", ask('{"name":"python.cdmsExt.zaDemo","input":"price"}', var("li", "price")), _ZONAL)
+request("cdms_zonal_season", ask('{"name":"cdms.zaDemo","input":"price"}', var("li", "price")), _ZONAL)
 
 for _name, _sql in {"maxmag": "max(abs(element))", "minmag": "min(abs(element))", "mean": "sum(element) / count(*)", "count": "count(element)"}.items():
 
@@ -157,19 +157,19 @@ def _difference(e: Engine) -> Cube:
 # Regions ------------------------------------------------------------------------------------
 
 _JANUARY = '{"name":"d0","time":{"start":"2024-01-03","end":"2024-01-12T12:00:00","system":"values"}}'
-request("subset_time", ask('{"name":"CDSpark.subset","input":"value","domain":"d0"}', var("ev", "value"), _JANUARY), "SELECT t, z, x, value FROM ev WHERE t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-12 12:00:00'")
-request("average_in_time", ask('{"name":"CDSpark.average","input":"value","domain":"d0","axes":"tz"}', var("ev", "value"), _JANUARY), f"SELECT x, {r('avg(value)', 'value')} FROM ev WHERE t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-12 12:00:00' GROUP BY x")
+request("subset_time", ask('{"name":"cube.subset","input":"value","domain":"d0"}', var("ev", "value"), _JANUARY), "SELECT t, z, x, value FROM ev WHERE t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-12 12:00:00'")
+request("average_in_time", ask('{"name":"cube.average","input":"value","domain":"d0","axes":"tz"}', var("ev", "value"), _JANUARY), f"SELECT x, {r('avg(value)', 'value')} FROM ev WHERE t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-12 12:00:00' GROUP BY x")
 _COORDS = "(SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT x FROM ev))"
-request("subset_indices", ask('{"name":"CDSpark.subset","input":"value","domain":"d0"}', var("ev", "value"), '{"name":"d0","lon":{"start":3,"end":9,"system":"indices"}}'), f"SELECT t, z, ev.x, value FROM ev JOIN {_COORDS} c ON ev.x = c.x WHERE i BETWEEN 3 AND 9")
+request("subset_indices", ask('{"name":"cube.subset","input":"value","domain":"d0"}', var("ev", "value"), '{"name":"d0","lon":{"start":3,"end":9,"system":"indices"}}'), f"SELECT t, z, ev.x, value FROM ev JOIN {_COORDS} c ON ev.x = c.x WHERE i BETWEEN 3 AND 9")
 _NEAR = "(SELECT first(y ORDER BY abs(y - {v}), y) FROM (SELECT DISTINCT y FROM li))"
-request("subset_values", ask('{"name":"CDSpark.sum","input":"quantity","domain":"d0","axes":"tx"}', var("li", "quantity"), '{"name":"d0","lat":{"start":-30,"end":31.3,"system":"values"}}'), f"SELECT round(y, {DIGITS}) AS y, sum(quantity) AS quantity FROM li WHERE y BETWEEN {_NEAR.format(v=-30)} AND {_NEAR.format(v=31.3)} GROUP BY y")
-request("subset_scalar_axis", ask('{"name":"CDSpark.subset","input":"tax","domain":"d0"}', var("li", "tax"), '{"name":"d0","lat":"10"}'), f"SELECT t, round(y, {DIGITS}) AS y, x, tax FROM li WHERE y = {_NEAR.format(v=10)}")
-request("subset_empty", ask('{"name":"CDSpark.subset","input":"tax","domain":"d0"}', var("li", "tax"), '{"name":"d0","lat":{"start":95,"end":99}}'), "SELECT t, y, x, tax FROM li WHERE false")
+request("subset_values", ask('{"name":"cube.sum","input":"quantity","domain":"d0","axes":"tx"}', var("li", "quantity"), '{"name":"d0","lat":{"start":-30,"end":31.3,"system":"values"}}'), f"SELECT round(y, {DIGITS}) AS y, sum(quantity) AS quantity FROM li WHERE y BETWEEN {_NEAR.format(v=-30)} AND {_NEAR.format(v=31.3)} GROUP BY y")
+request("subset_scalar_axis", ask('{"name":"cube.subset","input":"tax","domain":"d0"}', var("li", "tax"), '{"name":"d0","lat":"10"}'), f"SELECT t, round(y, {DIGITS}) AS y, x, tax FROM li WHERE y = {_NEAR.format(v=10)}")
+request("subset_empty", ask('{"name":"cube.subset","input":"tax","domain":"d0"}', var("li", "tax"), '{"name":"d0","lat":{"start":95,"end":99}}'), "SELECT t, y, x, tax FROM li WHERE false")
 _TWO = '{"name":"d0","time":{"start":"1996-01-01","end":"1999-12-31"}},{"name":"d1","time":{"start":"1998-01-01","end":"2000-12-31"}},{"name":"d2","lon":{"start":10,"end":60}}'
-request("domains_intersected", ask('{"name":"CDSpark.max","input":"price","domain":"d0,d1","axes":"ty"}', var("li", "price", "d2"), _TWO), "SELECT x, max(price) AS price FROM li WHERE t BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31' AND x BETWEEN 10 AND 60 GROUP BY x")
-request("season_filter", ask('{"name":"CDSpark.average","input":"price","axes":"tx","filter":"DJF"}', var("li", "price")), f"SELECT round(y, {DIGITS}) AS y, {r('avg(price)', 'price')} FROM li WHERE month(t) IN (12, 1, 2) GROUP BY y")
-request("partition", ask('{"name":"CDSpark.partition","input":"price","filter":"JJA,SON"}', var("li", "price")), f"SELECT t, round(y, {DIGITS}) AS y, x, price FROM li WHERE month(t) BETWEEN 6 AND 11")
-request("variable_alias", ask('{"name":"CDSpark.max","input":"p1","axes":"tx"}', var("li", "price:p1")), f"SELECT round(y, {DIGITS}) AS y, max(price) AS p1 FROM li GROUP BY y")
+request("domains_intersected", ask('{"name":"cube.max","input":"price","domain":"d0,d1","axes":"ty"}', var("li", "price", "d2"), _TWO), "SELECT x, max(price) AS price FROM li WHERE t BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31' AND x BETWEEN 10 AND 60 GROUP BY x")
+request("season_filter", ask('{"name":"cube.average","input":"price","axes":"tx","filter":"DJF"}', var("li", "price")), f"SELECT round(y, {DIGITS}) AS y, {r('avg(price)', 'price')} FROM li WHERE month(t) IN (12, 1, 2) GROUP BY y")
+request("partition", ask('{"name":"cube.partition","input":"price","filter":"JJA,SON"}', var("li", "price")), f"SELECT t, round(y, {DIGITS}) AS y, x, price FROM li WHERE month(t) BETWEEN 6 AND 11")
+request("variable_alias", ask('{"name":"cube.max","input":"p1","axes":"tx"}', var("li", "price:p1")), f"SELECT round(y, {DIGITS}) AS y, max(price) AS p1 FROM li GROUP BY y")
 
 
 @query("season_year", f"SELECT year(t) - CASE WHEN month(t) < 3 THEN 1 ELSE 0 END AS year, {r('avg(price)', 'price')} FROM li WHERE month(t) IN (12, 1, 2) GROUP BY 1")
@@ -219,27 +219,27 @@ def _cached(e: Engine) -> Cube:
 # Point-wise ---------------------------------------------------------------------------------
 
 for _kernel, _sql in {"min2": "least(discount, tax)", "max2": "greatest(discount, tax)", "sum2": "discount + tax", "diff2": "discount - tax", "mult2": "discount * tax", "div2": "discount / nullif(tax, 0)"}.items():
-    request(f"dual_{_kernel}", ask(f'{{"name":"CDSpark.{_kernel}","input":"discount,tax"}}', var("li", "discount,tax")), f"SELECT t, round(y, {DIGITS}) AS y, x, {r(_sql, _kernel)} FROM li")
-request("multi_average", ask('{"name":"CDSpark.multiAverage","input":"discount,tax,quantity"}', var("li", "discount,tax,quantity")), f"SELECT t, round(y, {DIGITS}) AS y, x, {r('(discount + tax + quantity) / 3', 'value')} FROM li")
+    request(f"dual_{_kernel}", ask(f'{{"name":"cube.{_kernel}","input":"discount,tax"}}', var("li", "discount,tax")), f"SELECT t, round(y, {DIGITS}) AS y, x, {r(_sql, _kernel)} FROM li")
+request("multi_average", ask('{"name":"cube.multiAverage","input":"discount,tax,quantity"}', var("li", "discount,tax,quantity")), f"SELECT t, round(y, {DIGITS}) AS y, x, {r('(discount + tax + quantity) / 3', 'value')} FROM li")
 request(
     "merge_collections",
-    ask('{"name":"CDSpark.average","input":"price","axes":"yx","id":"a"},{"name":"CDSpark.average","input":"total","axes":"yx","id":"b"},{"name":"CDSpark.sum2","input":"a,b"}', f"{var('li', 'price')},{var('od', 'total')}"),
+    ask('{"name":"cube.average","input":"price","axes":"yx","id":"a"},{"name":"cube.average","input":"total","axes":"yx","id":"b"},{"name":"cube.sum2","input":"a,b"}', f"{var('li', 'price')},{var('od', 'total')}"),
     f"SELECT a.t, {r('p + q', 'sum2')} FROM (SELECT t, avg(price) AS p FROM li GROUP BY t) a JOIN (SELECT t, avg(total) AS q FROM od GROUP BY t) b ON a.t = b.t",
 )
 request(
     "broadcast_difference",
-    ask('{"name":"CDSpark.max","input":"price","axes":"tx","id":"top"},{"name":"CDSpark.diff2","input":"price,top"}', var("li", "price")),
+    ask('{"name":"cube.max","input":"price","axes":"tx","id":"top"},{"name":"cube.diff2","input":"price,top"}', var("li", "price")),
     f"SELECT t, round(y, {DIGITS}) AS y, x, {r('price - max(price) OVER (PARTITION BY y)', 'diff2')} FROM li",
 )
 request(
     "anomaly_fused",
-    ask('{"name":"CDSpark.average","input":"value","axes":"t","id":"m"},{"name":"CDSpark.diff2","input":"value,m"}', var("ev", "value")),
+    ask('{"name":"cube.average","input":"value","axes":"t","id":"m"},{"name":"cube.diff2","input":"value,m"}', var("ev", "value")),
     f"SELECT t, z, x, {r('value - avg(value) OVER (PARTITION BY z, x)', 'value')} FROM ev",
 )
-FLAGSHIP = ask('{"name":"CDSpark.average","input":"value","axes":"tz","id":"m","domain":"d0"},{"name":"CDSpark.diff2","input":"value,m","id":"a","domain":"d0"},{"name":"CDSpark.rms","input":"a","axes":"tz","result":"deviation"}', var("ev", "value"), _JANUARY)
+FLAGSHIP = ask('{"name":"cube.average","input":"value","axes":"tz","id":"m","domain":"d0"},{"name":"cube.diff2","input":"value,m","id":"a","domain":"d0"},{"name":"cube.rms","input":"a","axes":"tz","result":"deviation"}', var("ev", "value"), _JANUARY)
 request("workflow_deviation", FLAGSHIP, f"SELECT x, {r('stddev_samp(value)', 'value')} FROM ev WHERE t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-12 12:00:00' GROUP BY x")
-request("const_kernel", ask('{"name":"CDSpark.const","input":"tax","value":2.5}', var("li", "tax")), f"SELECT t, round(y, {DIGITS}) AS y, x, 2.5::DOUBLE AS tax FROM li")
-request("anomaly_kernel", ask('{"name":"CDSpark.anomaly","input":"element","axes":"z"}', var("em", "element")), f"SELECT z, CAST(x AS INTEGER) AS x, {r('element - avg(element) OVER (PARTITION BY x)', 'element')} FROM em")
+request("const_kernel", ask('{"name":"cube.const","input":"tax","value":2.5}', var("li", "tax")), f"SELECT t, round(y, {DIGITS}) AS y, x, 2.5::DOUBLE AS tax FROM li")
+request("anomaly_kernel", ask('{"name":"cube.anomaly","input":"element","axes":"z"}', var("em", "element")), f"SELECT z, CAST(x AS INTEGER) AS x, {r('element - avg(element) OVER (PARTITION BY x)', 'element')} FROM em")
 
 
 @query("anomaly_by_month", f"SELECT t, round(y, {DIGITS}) AS y, x, {r('price - avg(price) OVER (PARTITION BY y, month(t))', 'price')} FROM li")
@@ -288,15 +288,15 @@ for _cycle, _bin in _CYCLES.items():
     for _step, _item in _ITEMS.items():
         request(
             f"binave_{_cycle}_{_step}",
-            ask(f'{{"name":"CDSpark.binAve","input":"price","cycle":"{_cycle}","bin":"{_step}"}}', var("li", "price")),
+            ask(f'{{"name":"cube.binAve","input":"price","cycle":"{_cycle}","bin":"{_step}"}}', var("li", "price")),
             f"SELECT CAST({_bin} AS INTEGER) AS bin, CAST({_item} AS INTEGER) AS item, {r('avg(price)', 'price')} FROM li GROUP BY 1, 2",
         )
-request("bin_diurnal_max", ask('{"name":"CDSpark.bin","input":"value","cycle":"diurnal","bin":"all","mapreduceOp":"max"}', var("ev", "value")), "SELECT CAST(hour(t) AS INTEGER) AS bin, 0 AS item, max(value) AS value FROM ev GROUP BY 1")
-request("bin_season_sum", ask('{"name":"CDSpark.bin","input":"quantity","cycle":"season","bin":"year"}', var("li", "quantity")), f"SELECT CAST({_CYCLES['season']} AS INTEGER) AS bin, CAST({_ITEMS['year']} AS INTEGER) AS item, sum(quantity) AS quantity FROM li GROUP BY 1, 2")
-request("time_bin", ask('{"name":"CDSpark.timeBin","input":"price","axes":"tx"}', var("li", "price")), f"SELECT CAST(month(t) - 1 AS INTEGER) AS bin, round(y, {DIGITS}) AS y, {r('avg(price)', 'price')} FROM li GROUP BY 1, y", t="bin")
+request("bin_diurnal_max", ask('{"name":"cube.bin","input":"value","cycle":"diurnal","bin":"all","mapreduceOp":"max"}', var("ev", "value")), "SELECT CAST(hour(t) AS INTEGER) AS bin, 0 AS item, max(value) AS value FROM ev GROUP BY 1")
+request("bin_season_sum", ask('{"name":"cube.bin","input":"quantity","cycle":"season","bin":"year"}', var("li", "quantity")), f"SELECT CAST({_CYCLES['season']} AS INTEGER) AS bin, CAST({_ITEMS['year']} AS INTEGER) AS item, sum(quantity) AS quantity FROM li GROUP BY 1, 2")
+request("time_bin", ask('{"name":"cube.timeBin","input":"price","axes":"tx"}', var("li", "price")), f"SELECT CAST(month(t) - 1 AS INTEGER) AS bin, round(y, {DIGITS}) AS y, {r('avg(price)', 'price')} FROM li GROUP BY 1, y", t="bin")
 request(
     "time_bin_general",
-    ask('{"name":"CDSpark.timeBin","input":"price","axes":"txy","unit":"month","period":3,"mod":4,"offset":1}', var("li", "price")),
+    ask('{"name":"cube.timeBin","input":"price","axes":"txy","unit":"month","period":3,"mod":4,"offset":1}', var("li", "price")),
     f"SELECT CAST(floor(({_ITEMS['month']} + 1) / 3) % 4 AS INTEGER) AS bin, {r('avg(price)', 'price')} FROM li GROUP BY 1",
     t="bin",
 )

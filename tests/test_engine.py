@@ -27,7 +27,7 @@ def test_grammar():
     found = parse(
         '[domain=[{"name":"d0","lat":{"start":-1.5e1,"end":70,"System":"values"},"level":"500","crs":"gaussian~8"}];'
         'variable={"uri":"collection:/c","name":"a:x,b|y","domain":"d0","cache":false},'
-        'operation=[{"NAME":"CDSpark.max","input":["x","y"],"axes":"XY","flag":true}]]'
+        'operation=[{"NAME":"cube.max","input":["x","y"],"axes":"XY","flag":true}]]'
     )
     assert found.domains["d0"].ranges[0].start == -15.0 and found.domains["d0"].get("crs") == "gaussian~8"
     assert list(found.variables) == ["x", "y"] and found.variables["y"].name == "b"
@@ -41,13 +41,13 @@ def test_grammar():
         '[variable=[{"name":"v"}],operation=[]]',
         "[what=[]]",
         '[a=[{"x":"]]>"}]]',
-        ask('{"name":"CDSpark.max","input":"nothing"}'),
-        ask('{"name":"CDSpark.max","input":"v","domain":"nowhere"}'),
-        ask('{"name":"CDSpark.max","input":"b","id":"a"},{"name":"CDSpark.max","input":"a","id":"b"}'),
-        ask('{"name":"CDSpark.none","input":"v"}'),
-        ask('{"name":"CDSpark.max","input":"v"}', '{"uri":"collection:/gone","name":"v"}'),
-        ask('{"name":"CDSpark.max"}', '{"uri":"collection:/field","name":"q"}'),
-        ask('{"name":"CDSpark.max"}', '{"uri":"ftp:/field","name":"v"}'),
+        ask('{"name":"cube.max","input":"nothing"}'),
+        ask('{"name":"cube.max","input":"v","domain":"nowhere"}'),
+        ask('{"name":"cube.max","input":"b","id":"a"},{"name":"cube.max","input":"a","id":"b"}'),
+        ask('{"name":"cube.none","input":"v"}'),
+        ask('{"name":"cube.max","input":"v"}', '{"uri":"collection:/gone","name":"v"}'),
+        ask('{"name":"cube.max"}', '{"uri":"collection:/field","name":"q"}'),
+        ask('{"name":"cube.max"}', '{"uri":"ftp:/field","name":"v"}'),
     ],
 )
 def test_wrong_requests_are_refused(engine, text):
@@ -56,7 +56,7 @@ def test_wrong_requests_are_refused(engine, text):
 
 
 def test_workflow_is_fused(engine):
-    text = ask('{"name":"CDSpark.average","input":"v","axes":"t","id":"m"},{"name":"CDSpark.diff2","input":"v,m","id":"a"},{"name":"CDSpark.rms","input":"a","axes":"t","result":"out"}')
+    text = ask('{"name":"cube.average","input":"v","axes":"t","id":"m"},{"name":"cube.diff2","input":"v,m","id":"a"},{"name":"cube.rms","input":"a","axes":"t","result":"out"}')
     (df,) = engine.execute(text).values()
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
@@ -66,13 +66,13 @@ def test_workflow_is_fused(engine):
 
 
 def test_variables_of_one_collection_need_no_join(engine):
-    (df,) = engine.execute(ask('{"name":"CDSpark.diff2","input":"a,b"}', '{"uri":"collection:/field","name":"v:a,w:b"}')).values()
+    (df,) = engine.execute(ask('{"name":"cube.diff2","input":"a,b"}', '{"uri":"collection:/field","name":"v:a,w:b"}')).values()
     assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert {r["diff2"] for r in df.collect()} == {-float(i) for i in range(7)}
 
 
 def test_several_products_and_default_inputs(engine):
-    found = engine.execute(ask('{"name":"CDSpark.max","axes":"tzyx","result":"top"},{"name":"CDSpark.min","axes":"tzyx","result":"low"}'))
+    found = engine.execute(ask('{"name":"cube.max","axes":"tzyx","result":"top"},{"name":"cube.min","axes":"tzyx","result":"low"}'))
     assert found["top"].first()[0] == 6.0 and found["low"].first()[0] == 0.0
     assert engine.result("result://top").count() == 1
     assert engine.capabilities("results")[0]["href"] == "result://top"
@@ -82,7 +82,7 @@ def test_several_products_and_default_inputs(engine):
 
 
 def test_responses(engine, tmp_path):
-    text = ask('{"name":"CDSpark.max","axes":"tzx","result":"m"}')
+    text = ask('{"name":"cube.max","axes":"tzx","result":"m"}')
     assert [r["v"] for r in engine.execute(text, "dict")["m"]["rows"]] == [6.0] * 3
     assert "<data id=\"v\" shape=\"3\">6.0,6.0,6.0</data>" in engine.execute(text, "xml")["m"]
     assert engine.execute(text, "object")["m"].num_rows == 3
@@ -95,7 +95,7 @@ def test_responses(engine, tmp_path):
 def test_regions_are_kept_and_answer_for_smaller_ones(engine):
     (key,) = engine.utility("util.cache", '[domain=[{"name":"d","lat":{"start":-60,"end":0}}],variable=[{"uri":"collection:/field","name":"v","domain":"d"}],operation=[]]')
     assert engine.capabilities("fragments") == [{"key": key}]
-    (df,) = engine.execute(ask('{"name":"CDSpark.subset"}', '{"uri":"collection:/field","name":"v","domain":"e"}', '{"name":"e","lat":{"start":0,"end":0}}')).values()
+    (df,) = engine.execute(ask('{"name":"cube.subset"}', '{"uri":"collection:/field","name":"v","domain":"e"}', '{"name":"e","lat":{"start":0,"end":0}}')).values()
     assert df.count() == 12 and "InMemoryRelation" in df._jdf.queryExecution().withCachedData().toString()
     assert engine.catalog.fragment(f"fragment:/{key}").df.count() == 24
     engine.utility("clearCache")
@@ -127,9 +127,9 @@ def test_time_resampling_and_regridding_by_request(engine, cube):
     other = cube([0.0, 0.0], ["2000-01-16", "2000-02-01"], y=(0.0,), x=(0.0,), name="u")
     engine.catalog.register("other", other.df, {a: a for a in "tzyx"}, ["u"])
     inputs = '{"uri":"collection:/field","name":"v"},{"uri":"collection:/other","name":"u"}'
-    (df,) = engine.execute(ask('{"name":"CDSpark.subset","input":"v","domain":"d"}', inputs, '{"name":"d","trs":"~u"}')).values()
+    (df,) = engine.execute(ask('{"name":"cube.subset","input":"v","domain":"d"}', inputs, '{"name":"d","trs":"~u"}')).values()
     assert df.select("t").distinct().count() == 2
-    (df,) = engine.execute(ask('{"name":"python.cdmsModule.regrid","input":"v","domain":"d"}', inputs, '{"name":"d","crs":"gaussian~2"}')).values()
+    (df,) = engine.execute(ask('{"name":"cdms.regrid","input":"v","domain":"d"}', inputs, '{"name":"d","crs":"gaussian~2"}')).values()
     assert df.select("y", "x").distinct().count() == 8
 
 
@@ -138,13 +138,13 @@ def test_user_operations(engine):
     (df,) = engine.execute(ask('{"name":"my.smallest","axes":"tx"}')).values()
     assert df.count() == 3 and {r["v"] for r in df.collect()} == {0.0}
     assert engine.describe("my.smallest")["options"] == ["axes"]
-    assert "cdspark.max" in {k["name"] for k in engine.capabilities()}
+    assert "cube.max" in {k["name"] for k in engine.capabilities()}
 
 
 def test_netcdf_round_trip(engine, cube, tmp_path):
     c = cube([None if i == 5 else i / 4 for i in range(36)], TIMES)
     engine.catalog.register("gaps", c.df, {a: a for a in "tzyx"}, ["v"])
-    path = engine.execute(ask('{"name":"CDSpark.subset","result":"all"}', '{"uri":"collection:/gaps","name":"v"}'), "netcdf", str(tmp_path))["all"]
+    path = engine.execute(ask('{"name":"cube.subset","result":"all"}', '{"uri":"collection:/gaps","name":"v"}'), "netcdf", str(tmp_path))["all"]
     engine.catalog.register("again", path, variables=["v"])
     back = engine.catalog.cube("again")
     assert back.axes == ("t", "z", "y", "x")
@@ -184,7 +184,7 @@ def test_command_line(spark, tmp_path, cube, capsys):
     catalog = str(tmp_path / "c.json")
     assert main([catalog, "agg", "d", f"{tmp_path}/d", "t=t,z=z,y=y,x=x", "v"]) == 0 and main([catalog, "list"]) == 0
     assert '"collection": "d"' in capsys.readouterr().out
-    assert main([catalog, "run", ask('{"name":"CDSpark.sum","axes":"tzyx","result":"s"}', '{"uri":"collection:/d","name":"v"}')]) == 0
+    assert main([catalog, "run", ask('{"name":"cube.sum","axes":"tzyx","result":"s"}', '{"uri":"collection:/d","name":"v"}')]) == 0
     assert "36.0" in capsys.readouterr().out and main([]) == 2
 
 
@@ -205,10 +205,18 @@ def test_a_region_reaches_the_scan(spark, cube, tmp_path):
     c.df.withColumn("other", c.df["v"]).write.parquet(f"file://{tmp_path}/f.parquet")
     engine = Engine(spark)
     engine.catalog.register("f", f"file:{tmp_path}/f.parquet", {a: a for a in "tzyx"}, ["v", "other"])
-    text = ask('{"name":"CDSpark.average","input":"v","axes":"tzy","domain":"d"}', '{"uri":"collection:/f","name":"v"}', '{"name":"d","time":{"start":"2000-01-15","end":"2000-03-15"},"lat":{"start":-60,"end":0}}')
+    text = ask('{"name":"cube.average","input":"v","axes":"tzy","domain":"d"}', '{"uri":"collection:/f","name":"v"}', '{"name":"d","time":{"start":"2000-01-15","end":"2000-03-15"},"lat":{"start":-60,"end":0}}')
     (df,) = engine.execute(text).values()
     plan = df._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")
     assert "GreaterThanOrEqual(t" in pushed[0] and "IsNotNull(y)" in pushed[0]  # Spark cuts the list
     assert "other" not in pushed[1].split("\n")[0]
     assert df.count() == 4
+
+
+def test_kernels_by_other_module_names():
+    assert udf.lookup("Some.Max") is udf.lookup("cube.max") is udf.lookup("max")
+    assert udf.lookup("python.cdmsModule.ave") is udf.lookup("x.cdmsExt.AVE") is udf.lookup("cdms.ave")
+    assert udf.lookup("python.numpyModule.ave") is udf.lookup("cube.average")
+    with pytest.raises(CubeError):
+        udf.lookup("cube.none")
