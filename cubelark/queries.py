@@ -345,10 +345,11 @@ def _weights_sql(axis: str, source: str, target: np.ndarray, wrap: bool) -> str:
     ) WHERE w > 0)"""
 
 
-_REGRID = f""", field AS (SELECT y, CAST(x % 36 * 10 AS DOUBLE) AS x, avg(price) AS price FROM li GROUP BY y, 2)
-    SELECT wy.target AS y, wx.target AS x, {r('sum(wy.w * wx.w * price) / sum(wy.w * wx.w)', 'price')}
-    FROM field JOIN {_weights_sql('y', 'field', TARGET[0], False)} wy ON field.y = wy.y JOIN {_weights_sql('x', 'field', TARGET[1], True)} wx ON field.x = wx.x
-    GROUP BY 1, 2"""
+def _regrid_sql(lats: np.ndarray, lons: np.ndarray) -> str:
+    return f""", field AS (SELECT y, CAST(x % 36 * 10 AS DOUBLE) AS x, avg(price) AS price FROM li GROUP BY y, 2)
+    SELECT {r('wy.target', 'y')}, {r('wx.target', 'x')}, {r('sum(wy.w * wx.w * price) / sum(wy.w * wx.w)', 'price')}
+    FROM field JOIN {_weights_sql('y', 'field', lats, False)} wy ON field.y = wy.y JOIN {_weights_sql('x', 'field', lons, True)} wx ON field.x = wx.x
+    GROUP BY wy.target, wx.target"""
 
 
 def _field(e: Engine) -> Cube:
@@ -357,12 +358,12 @@ def _field(e: Engine) -> Cube:
     return reduce.reduce_cube(Cube(df, cube.axes, ("price",)), "average", "t")
 
 
-@query("regrid_bilinear", _REGRID)
+@query("regrid_bilinear", _regrid_sql(*TARGET))
 def _regrid(e: Engine) -> Cube:
     return regrid.regrid(_field(e), *TARGET)
 
 
-@query("regrid_gaussian", None)
+@query("regrid_gaussian", _regrid_sql(*regrid.target_grid("gaussian~8", {})))
 def _gaussian(e: Engine) -> Cube:
     return regrid.regrid(_field(e), *regrid.target_grid("gaussian~8", {}))
 
