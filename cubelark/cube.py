@@ -7,7 +7,7 @@ aggregate. Values are computed in double precision.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -42,7 +42,6 @@ class Cube:
     axes: tuple[str, ...]
     values: tuple[str, ...]
     origin: tuple = ()
-    units: dict = field(default_factory=dict)
 
     @staticmethod
     def scan(df: DataFrame, axes: dict[str, str | Column], values: Iterable[str | tuple[str, str | Column]], missing: float | None = None, origin: tuple = ()) -> Cube:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from cubelark.cube import Cube, CubeError, merge
 from cubelark.operators import elementwise, reduce, regrid, subset, timebin
 from cubelark.operators.udf import Operation, register
@@ -20,7 +18,7 @@ def _axes(options: dict) -> str:
     return str(options.get("axes", options.get("axis", "")))
 
 
-def _reduction(name: str, kernel: str):
+def _reduction(name: str):
     def run(cubes: list[Cube], options: dict) -> Cube:
         return reduce.reduce_cube(_all(cubes), name, _axes(options), str(options.get("weights", "")), str(options.get("n", "cells")))
 
@@ -35,9 +33,9 @@ for _kernel, _name, _also in (
     ("rms", "rms", ()),
     ("average", "average", (f"{NUMPY}.ave",)),
 ):
-    register(Operation(f"{MODULE}.{_kernel}", _reduction(_name, _kernel), (1, 99), f"{_name} of valid cells over axes", ("axes", "weights", "n"), _also))
+    register(Operation(f"{MODULE}.{_kernel}", _reduction(_name), (1, 99), f"{_name} of valid cells over axes", ("axes", "weights", "n"), _also))
 for _kernel in ("std", "var", "ptp"):
-    register(Operation(f"{NUMPY}.{_kernel}", _reduction(_kernel, _kernel), (1, 99), f"{_kernel} of valid cells over axes", ("axes",)))
+    register(Operation(f"{NUMPY}.{_kernel}", _reduction(_kernel), (1, 99), f"{_kernel} of valid cells over axes", ("axes",)))
 
 
 def _cosine(cubes: list[Cube], options: dict) -> Cube:
@@ -122,6 +120,3 @@ register(Operation(f"{CDMS}.regrid", _regrid, (1, 99), "bilinear regridding", ("
 def prepared(cube: Cube, options: dict) -> Cube:
     """What every kernel does first: the season filter."""
     return subset.seasons(cube, str(options["filter"])) if options.get("filter") and "t" in cube.axes else cube
-
-
-__all__ = ["F", "prepared"]

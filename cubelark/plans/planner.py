@@ -111,6 +111,3 @@ def shared(named: dict[str, Cube]) -> list[Cube] | None:
         return None
     df = first.df.select(*first.axes, *(F.col(c.values[0]).alias(x) for x, c in named.items()))
     return [Cube(df, c.axes, (x,), c.origin) for x, c in named.items()]
-
-
-__all__ = ["F", "plan"]

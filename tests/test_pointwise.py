@@ -1,6 +1,7 @@
 """Point-wise operations: missing operands, argument order, broadcasting, ensembles and anomalies."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from cubelark.cube import Cube, CubeError, merge
 from cubelark.functions.combine import named
@@ -26,7 +27,7 @@ def test_missing_operands_give_missing(cube):
 
 def test_order_of_arguments_is_kept_when_broadcasting(cube):
     a = cube([1.0, 2.0, 5.0, 6.0], TIMES, **GRID, name="a")
-    mean = reduce.reduce_cube(a, "average", "t").with_values({"m": __import__("pyspark.sql.functions", fromlist=["col"]).col("a")})
+    mean = reduce.reduce_cube(a, "average", "t").with_values({"m": F.col("a")})
     assert values(elementwise.dual("diff2", a, mean), "value") == [-2.0, -2.0, 2.0, 2.0]
     assert values(elementwise.dual("diff2", mean, a), "value") == [2.0, 2.0, -2.0, -2.0]
 
@@ -69,8 +70,6 @@ def test_names_are_told_by_their_beginnings():
 
 
 def test_values_against_a_cycle(cube):
-    from pyspark.sql import functions as F
-
     from cubelark.operators import timebin
 
     a = cube([1.0, 2.0, 5.0, None], TIMES, **GRID, name="a")
