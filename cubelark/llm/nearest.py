@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block of queries, of a block of candidates, and blocks that one task streams.
 QUERY_BLOCK = 512
-CANDIDATE_BLOCK = 4096
-STREAMED = 8
+CANDIDATE_BLOCK = 1024
+STREAMED = 16
 STEP = 16
 PACKED = "block int, ids binary, data binary, n int"
 
