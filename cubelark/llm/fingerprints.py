@@ -5,7 +5,8 @@ the hash of any span is a difference of two of them, so that spans are compared
 and longest common extensions are found by binary search.
 
 A fingerprint is the length, the hash of the whole text under two bases, and the ``KEPT`` smallest
-mixed hashes of all its spans of ``SPAN`` code points (of the whole text if it is shorter). The
+mixed hashes of all its spans of ``SPAN`` code points (of texts of under four spans, the largest power
+of two that a quarter of the text holds). The
 likeness of two fingerprints estimates the share of spans that both texts have: 1 for equal texts,
 about one half where half of a text was replaced, 0 where no span is shared.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,11 +100,17 @@ class PrefixHash:
         return low
 
 
+def span_length(n: int) -> int:
+    """Code points of the spans of a text of this length."""
+    return SPAN if n >= 4 * SPAN else 1 << max(1, n // 4).bit_length() - 1
+
+
 def _sketch(hashes: PrefixHash) -> np.ndarray:
     if not hashes.n:
         return np.zeros(0, np.uint32)
-    x = hashes.spans(min(SPAN, hashes.n))
-    x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    length = span_length(hashes.n)
+    x = hashes.spans(length)
+    x = (x + np.uint64((0x9E3779B97F4A7C15 + length) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
     x = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
     room = 2 * KEPT  # repeated spans have equal hashes: take more until enough differ
     while True:
@@ -140,14 +148,13 @@ def with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     docs = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("_key", F.coalesce("key", F.lit(-(1 << 63))))
     ranges = 4 * parts(docs.sparkSession)
     cuts = sorted({int(x) for x in docs.approxQuantile("_key", [i / ranges for i in range(1, ranges)], 0.25 / ranges)})
-    # the number of cuts that are not above the key, as a halving search in SQL
-    def place(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col("_key") >= F.lit(cuts[middle]), place(middle + 1, high)).otherwise(place(low, middle))
-
-    docs = docs.withColumn("_range", place(0, len(cuts)))
+    edges = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def place(keys: pd.Series) -> pd.Series:  # the key alone goes to Python: an expression of thousands of cuts would not compile
+        return pd.Series(np.searchsorted(edges, keys.to_numpy(), "right"))
+
+    docs = docs.withColumn("_range", place("_key"))
     firsts = sorted(tuple(r) for r in docs.groupBy("_range").agg(F.min("_key")).collect())
     before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]
     halo = docs.sparkSession.createDataFrame(before, "_key bigint, _before int")

@@ -28,6 +28,9 @@ def test_likeness():
     half = fingerprints.fingerprint(text[: len(text) // 2] + "".join(f" v{i}" for i in range(400)))
     other = fingerprints.fingerprint("".join(f" u{i}" for i in range(400)))
     assert 0.25 < fingerprints.likeness(own, half) < 0.8 and fingerprints.likeness(own, other) < 0.1
+    for n in (12, 30, 60, 90):  # short texts too
+        a, b = (fingerprints.fingerprint(text[:n] + t * n) for t in ("#", "="))
+        assert 0.2 < fingerprints.likeness(a, b) < 1
     empty = fingerprints.fingerprint("")
     assert fingerprints.likeness(empty, empty) == 1 and fingerprints.likeness(empty, own) == 0
 
