@@ -16,7 +16,8 @@ often than there are chunks.
 Lists are scanned in sorted streams. A list of m sets gives m - 1 edges, not all pairs; the components
 of these edges are blocks, inside of which all links lie. Blocks are cut into tiles of ``TILE`` sets
 or ``TILE_SHINGLES`` shingles, and each pair of tiles is verified exactly by a product of incidence matrices, in its own group. Links
-leave a group as stars of its components, too.
+leave a group as stars of its components, too, and as the number of rows that each set links with there; ``links`` has
+the pairs themselves, between classes of equal sets.
 
 Defined results: a text without words (null, empty) has an empty set, which is linked with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; equal sets are one node
@@ -342,8 +343,11 @@ def stars(nodes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
     return nodes[moved], nodes[root[moved]]
 
 
-def verified(members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """``src, dst``: stars of linked sets. ``members`` has ``node, doc, block, tiles``: a document for each node."""
+def verified(members: DataFrame, docs: DataFrame, rule: Rule, pairs: bool = False) -> DataFrame:
+    """``src, dst, n``: stars of linked sets (n is 0), and how many rows of other sets a node links with (``src = dst``).
+
+    With ``pairs`` each linked pair, once. ``members`` has ``node, doc, copies, block, tiles``: a document for each node.
+    """
 
     bits = members.select((F.pmod(F.xxhash64("doc"), F.lit(FILTER)) + 1).alias("bit"))  # these functions count from 1
     rows = bits.groupBy(F.expr("bitmap_bucket_number(bit)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("bits")).collect()  # FILTER bits at most
@@ -364,75 +368,119 @@ def verified(members: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
         held: list[tuple] = []
 
         def done():
-            rows = sorted({(own, node): np.frombuffer(s, U) for own, node, s in held}.items(), key=lambda r: r[0])
+            rows = sorted({(own, node): (np.frombuffer(s, U), copies) for own, node, s, copies in held}.items(), key=lambda r: r[0])
             first = [r for r in rows if not r[0][0]]
             second = [r for r in rows if r[0][0]]
             one = now[1] == now[2]
             nodes = np.array([r[0][1] for r in first + second], np.int64)
+            copies = np.array([r[1][1] for r in first + second], np.int64)
             xs, ys = [], []
             other = first if one else second
             # a tile may hold more than its share by chance: bounded steps
             for s in range(0, len(first), TILE):
                 for o in range(s if one else 0, len(other), TILE):
-                    x, y = linked([r[1] for r in first[s : s + TILE]], [r[1] for r in other[o : o + TILE]], rule)
+                    x, y = linked([r[1][0] for r in first[s : s + TILE]], [r[1][0] for r in other[o : o + TILE]], rule)
                     xs.append(x + s)
                     ys.append(y + o + (0 if one else len(first)))
             if not xs:
-                return nodes[:0], nodes[:0]
-            return stars(nodes, np.concatenate(xs), np.concatenate(ys))
+                return nodes[:0], nodes[:0], nodes[:0]
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            x, y = x[x < y], y[x < y]  # within a tile, both ways and loops
+            if pairs:
+                return nodes[x], nodes[y], np.zeros(len(x), np.int64)
+            src, dst = stars(nodes, x, y)
+            n = np.zeros(len(nodes), np.int64)
+            np.add.at(n, x, copies[y])
+            np.add.at(n, y, copies[x])
+            own = nodes[n > 0]
+            return np.r_[src, own], np.r_[dst, own], np.r_[np.zeros(len(src), np.int64), n[n > 0]]
 
         now = None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("block", "i", "j", "second", "node", "shingles")]
+            columns = [batch.column(c).to_pylist() for c in ("block", "i", "j", "second", "node", "shingles", "copies")]
             out = []
-            for block, i, j, second, node, shingles in zip(*columns, strict=True):
+            for block, i, j, second, node, shingles, copies in zip(*columns, strict=True):
                 if now != (block, i, j):
                     if len(held) > 1:
                         out.append(done())
                     held, now = [], (block, i, j)
-                held.append((second, node, shingles))
+                held.append((second, node, shingles, copies))
             if out:
                 yield edges(out)
         if len(held) > 1:
             yield edges([done()])
 
     def edges(out):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1)], ["src", "dst"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1, 2)], ["src", "dst", "n"])
 
     hashed = docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(FILTER)).alias("bit"))
-    found = hashed.mapInArrow(sets, "doc bigint, shingles binary").join(members, "doc").select("node", "block", "tiles", "shingles")
+    found = hashed.mapInArrow(sets, "doc bigint, shingles binary").join(members, "doc").select("node", "copies", "block", "tiles", "shingles")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     dealt = found.withColumn("tile", tile).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("block", F.least("tile", "to").alias("i"), F.greatest("tile", "to").alias("j"), (F.col("tile") > F.col("to")).alias("second"), "node", "shingles")
+    dealt = dealt.select("block", F.least("tile", "to").alias("i"), F.greatest("tile", "to").alias("j"), (F.col("tile") > F.col("to")).alias("second"), "node", "shingles", "copies")
     grouped = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return grouped.mapInArrow(compare, "src bigint, dst bigint")
+    return grouped.mapInArrow(compare, "src bigint, dst bigint, n bigint")
 
 
-def joined(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, n_shingles, component_id`` of each row: the smallest id that its links reach."""
-    rows = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ranges = 1 << (8 * parts(docs.sparkSession) - 1).bit_length()
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def candidates(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of ``doc, text``: node and size of each row, the nodes with words, and the members of blocks."""
+    ranges = 1 << (8 * parts(rows.sparkSession) - 1).bit_length()
     known = written(scanned(entries(rows, rule, ranges)), "sets")
     of_docs = known.where("n >= 0").select("node", F.col("other").alias("doc"), "n")
     edges = known.select("node", "other", "n").unionByName(scanned(prefixes(known, rule)).select("node", "other", "n")).where(F.col("n") == EDGE)
     blocks = components(edges.select(F.col("node").alias("src"), F.col("other").alias("dst")))
     blocks = written(blocks.withColumnRenamed("label", "block"), "blocks")
-    nodes = written(of_docs.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n")), "nodes")
+    nodes = written(of_docs.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.count("*").alias("copies")), "nodes")
     placed = blocks.join(nodes, "node")
     tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
-    members = placed.join(placed.groupBy("block").agg(tiles.alias("tiles")), "block").select("node", "doc", "block", "tiles")
-    links = components(verified(members, rows, rule))
-    classes = nodes.join(links, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
-    classes = written(classes, "classes")
+    members = placed.join(placed.groupBy("block").agg(tiles.alias("tiles")), "block").select("node", "doc", "copies", "block", "tiles")
+    return of_docs, nodes, members
+
+
+def classed(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Of ``doc, text``: node and size of each row; of each node with words its smallest doc, component and number of links."""
+    of_docs, nodes, members = candidates(rows, rule)
+    found = written(verified(members, rows, rule), "links")
+    links = components(found.where("n = 0").select("src", "dst"))
+    others = found.where("n > 0").groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("others"))
+    own = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
+    classes = nodes.join(links, "node", "left").join(others, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"), own.alias("n_links"))
+    return of_docs, written(classes, "classes")
+
+
+def joined(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, n_shingles, component_id, class_id, n_links`` of each row.
+
+    ``component_id`` is the smallest id that its links reach, ``class_id`` the number of its set (null without
+    words), under which ``links`` has its links, and ``n_links`` the number of other rows that it links with.
+    """
+    of_docs, classes = classed(keyed(docs, key, text), rule)
     least = classes.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of_nodes = classes.join(least, "label").select("node", "component_id")
+    of_nodes = classes.join(least, "label").select("node", "component_id", "n_links")
     found = of_docs.join(of_nodes, "node", "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc"))
-    return found.select("doc", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    words = F.col("n") > 0
+    own = F.when(words, F.col("component_id")).otherwise(F.col("doc"))
+    return found.select("doc", F.col("n").alias("n_shingles"), own.alias("component_id"), F.when(words, F.col("node")).alias("class_id"), F.when(words, F.col("n_links")).otherwise(0).alias("n_links"))
 
 
-def clustered(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
+def links(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``class_id, other_id``: each pair of different sets that link, once, by the classes of ``joined``; rows of one class link, too."""
+    rows = keyed(docs, key, text)
+    found = verified(candidates(rows, rule)[2], rows, rule, pairs=True)
+    return found.select(F.least("src", "dst").alias("class_id"), F.greatest("src", "dst").alias("other_id"))
+
+
+def counted(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
     """As ``joined``, under the key's own name."""
+    return joined(docs, rule, key, text).withColumn("doc", F.when(F.col("doc") != -(1 << 63), F.col("doc"))).withColumnRenamed("doc", key)
+
+
+def clustered(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As ``joined``, under the key's own name and without classes and numbers of links."""
     return joined(docs, rule, key, text).select(*(F.when(F.col(c) != -(1 << 63), F.col(c)).alias(n) for c, n in (("doc", key),)), "n_shingles", "component_id")
 
 

@@ -38,6 +38,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.clustered(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
 
 
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The join of op6 with class and number of links of each row, which op6's SQL doesn't have."""
+    return jaccard.counted(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
+
+
 #: Verdict, host and path of the contract's rules.
 URL_RULES = [
     ("allow", "org", "/"),
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_sentencepiece": op10_sentencepiece,
+    "jaccard_links": jaccard_links,
 }
 
 def _rounds(name: str, edges: str, seeds: str) -> str:

@@ -112,6 +112,29 @@ def test_sizes_around_the_boundary_and_a_hot_group(table, rule):
     assert found == brute.jaccard(rows, *rule)
 
 
+def plain_links(rows, n, num, den):
+    """Numbers of links of each row, and linked pairs of different sets."""
+    sets = [brute.shingles(t, n) for _, t in rows]
+    link = lambda a, b: bool(a & b) and den * len(a & b) >= num * len(a | b)
+    numbers = [sum(link(a, b) for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)]
+    return numbers, {frozenset((a, b)) for a in sets for b in sets if a != b and link(a, b)}
+
+
+@pytest.mark.parametrize("rule", RULES[:2])
+def test_links_and_their_numbers(table, odd_rows, rule):
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    chain = [" ".join(words[i : i + 50]) for i in (0, 2, 4, 4)]  # hang together through others; one is a copy
+    rows = list(enumerate([*chain, *near(rnd, 60, 300, 4), *near(rnd, 8, 10, 1), "one", "", *(t for _, t in odd_rows)]))
+    numbers, pairs = plain_links(rows, *rule)
+    assert numbers[0] and numbers[0] != numbers[1] + numbers[2]
+    found = {r["doc_id"]: r for r in jaccard.counted(table(rows), jaccard.Rule(*rule)).collect()}
+    assert [found[d]["n_links"] for d, _ in rows] == numbers
+    sets = {found[d]["class_id"]: brute.shingles(t, rule[0]) for d, t in rows if found[d]["class_id"] is not None}
+    got = [frozenset(sets[c] for c in r) for r in jaccard.links(table(rows), jaccard.Rule(*rule)).collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+
+
 def test_join_of_nothing_and_packing_of_hashes(table):
     rule = jaccard.Rule(3, 90, 100)
     assert jaccard.clustered(table([]), rule).count() == 0
