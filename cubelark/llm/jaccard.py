@@ -21,7 +21,8 @@ the pairs themselves, between classes of equal sets.
 
 Defined results: a text without words (null, empty) has an empty set, which is linked with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; equal sets are one node
-throughout; rows of equal ids are linked like others; an empty table gives an empty table.
+throughout; rows of equal ids (nulls are one id, the smallest) are linked like others, each by its own text,
+and their components can have one ``component_id``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -358,10 +359,13 @@ def verified(members: DataFrame, docs: DataFrame, rule: Rule, pairs: bool = Fals
     shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(bitmap, bitorder="little").astype(bool))
 
     def sets(batches):
+        known = set()  # of a row that is repeated, one will do
         for batch in slices(batches, SLICE):
             batch = batch.filter(pa.array(shared.value[ints(batch.column("bit"))]))
             found = shingle_sets(*utf8(batch.column("text")), rule.words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array([s.tobytes() for s in found], pa.binary())], ["doc", "shingles"])
+            docs, own = ints(batch.column("doc")), nodes_of(found)
+            new = [i for i, row in enumerate(zip(docs.tolist(), own.tolist(), strict=True)) if row not in known and not known.add(row)]
+            yield pa.RecordBatch.from_arrays([pa.array(docs[new]), pa.array(own[new]), pa.array([found[i].tobytes() for i in new], pa.binary())], ["doc", "node", "shingles"])
 
     def compare(batches):
         """Streams groups (block, i, j); a group has two tiles at most."""
@@ -414,7 +418,8 @@ def verified(members: DataFrame, docs: DataFrame, rule: Rule, pairs: bool = Fals
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in (0, 1, 2)], ["src", "dst", "n"])
 
     hashed = docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(FILTER)).alias("bit"))
-    found = hashed.mapInArrow(sets, "doc bigint, shingles binary").join(members, "doc").select("node", "copies", "block", "tiles", "shingles")
+    # rows of one id can have different texts: each node gets its own set
+    found = hashed.mapInArrow(sets, "doc bigint, node bigint, shingles binary").join(members, ["doc", "node"]).select("node", "copies", "block", "tiles", "shingles")
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     dealt = found.withColumn("tile", tile).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("block", F.least("tile", "to").alias("i"), F.greatest("tile", "to").alias("j"), (F.col("tile") > F.col("to")).alias("second"), "node", "shingles", "copies")

@@ -135,6 +135,20 @@ def test_links_and_their_numbers(table, odd_rows, rule):
     assert len(got) == len(set(got)) and set(got) == pairs
 
 
+def test_ids_with_different_texts(table):
+    """Each row is linked by its own text, whatever other texts its id has."""
+    rnd = random.Random(12)
+    rule = (3, 90, 100)
+    pairs = [list(near(rnd, 40, 2, 1)) for _ in range(30)]
+    rows = [(None, a) for a, _ in pairs] + [(7, a) for a, _ in pairs[:9]] + [(100 + i, b) for i, (_, b) in enumerate(pairs)]
+    numbers, want = plain_links(rows, *rule)
+    assert len(want) > 5
+    for some in (rows, rows[::-1]):
+        found = jaccard.counted(table(some), jaccard.Rule(*rule)).collect()
+        assert sorted((r["doc_id"] or 0, r["n_shingles"], r["n_links"]) for r in found) == sorted((d or 0, len(brute.shingles(t, 3)), n) for (d, t), n in zip(rows, numbers, strict=True))
+        assert jaccard.links(table(some), jaccard.Rule(*rule)).count() == len(want)
+
+
 def test_join_of_nothing_and_packing_of_hashes(table):
     rule = jaccard.Rule(3, 90, 100)
     assert jaccard.clustered(table([]), rule).count() == 0
