@@ -490,10 +490,31 @@ def clustered(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "tex
 
 
 def distinct(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows, with all their columns, of the smallest id of each component.
+    """One row of each component, with all its columns: of its smallest id, there of the least class, the least row.
 
-    Rows of one id stay or go together.
+    Rows without words are linked with nothing, and all stay. Columns must be of types that have an order.
     """
-    copies = joined(docs, rule, key, text).where("doc <> component_id").select(F.col("doc").alias("_copy")).distinct()
+    of_docs, classes = classed(keyed(docs, key, text), rule)
+    first = classes.groupBy("label").agg(F.min(F.struct("doc", "node")).alias("first")).select("first.doc", "first.node")
+    first = written(first, "first")
+    repeated = written(of_docs.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc").alias("_copy")), "repeated")
+    copies = of_docs.where("n > 0").join(first, ["doc", "node"], "left_anti").select(F.col("doc").alias("_copy")).unionByName(repeated).distinct()
     own = F.coalesce(docs[key].cast("bigint"), F.lit(-(1 << 63)))
-    return docs.join(copies, own == copies["_copy"], "left_anti")
+    kept = docs.join(copies, own == copies["_copy"], "left_anti")
+    if not repeated.head(1):
+        return kept
+
+    # rows whose id has others: an id doesn't tell which of them stays
+
+    def nodes(batches):
+        for batch in slices(batches, SLICE):
+            found = shingle_sets(*utf8(batch.column("text")), rule.words)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), pa.array(nodes_of(found)), pa.array([len(s) for s in found], pa.int64())], ["row", "doc", "node", "n"])
+
+    several = docs.join(repeated, own == repeated["_copy"], "left_semi")
+    several = several.select(F.struct(*several.columns).alias("row"), own.alias("doc"), F.coalesce(several[text], F.lit("")).alias("text"))
+    several = written(several.mapInArrow(nodes, f"row {several.schema['row'].dataType.simpleString()}, doc bigint, node bigint, n bigint"), "several")
+    least = several.where("n > 0").join(first, ["doc", "node"], "left_semi").groupBy("doc", "node").agg(F.min("row").alias("row"))
+    for rows in (several.where("n = 0"), least):
+        kept = kept.unionByName(rows.select("row.*"))
+    return kept

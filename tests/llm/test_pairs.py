@@ -165,6 +165,20 @@ def test_distinct_keeps_one_of_each_group(table, odd_rows):
     assert kept == {d for d, (_, c) in want.items() if c == d}
 
 
+def test_distinct_keeps_one_row_where_ids_are_null_or_repeated(table):
+    rnd = random.Random(13)
+    a, b = list(near(rnd, 60, 4, 1)), "other words that are alone here"
+    rows = [(None, t) for t in a] + [(None, a[0]), (3, a[0]), (None, b), (4, b), (5, "x y z x"), (5, "x y z x"), (5, "p q r s"), (6, "p q r s"), (8, None), (8, None), (None, " ")]
+    for some in (rows, rows[::-1], rows * 3):
+        found = jaccard.distinct(table(some), jaccard.Rule(5, 80, 100))
+        assert found.columns == table(some).columns
+        times = len(some) // len(rows)
+        groups = sorted("a" if r["text"] in a else r["text"] or "" for r in found.collect())
+        assert groups == sorted(["a", b, "x y z x", "p q r s"] + ["", "", " "] * times)  # no words, no links
+        ids = {r["text"]: r["doc_id"] for r in found.collect()}
+        assert ids[b] is None and ids["p q r s"] == 5 and not any(ids.get(t) for t in a)
+
+
 def test_components(spark):
     rnd = random.Random(6)
     edges = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(260)] + [(i, i + 1) for i in range(500, 600)] + [(7, 7)]
