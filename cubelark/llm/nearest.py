@@ -12,7 +12,7 @@ and work don't depend on the table; each task returns k rows for a query, merged
 Defined results: vectors that are null, of another length than the most usual one, or hold a null or
 non-finite component take no part; equal scores go to the smaller id; fewer candidates than k give
 all; an empty table gives an empty table; a repeated id is a candidate of its own each time, but
-never of itself.
+never of itself, and each of its rows is a query of its own with k results under that id.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ QUERY_BLOCK = 512
 CANDIDATE_BLOCK = 1024
 STREAMED = 16
 STEP = 16
-PACKED = "block int, ids binary, data binary, n int"
+PACKED = "block int, pack int, ids binary, data binary, n int"
 
 
 def whole(vector: Column, scale: float) -> Column:
@@ -38,20 +38,23 @@ def whole(vector: Column, scale: float) -> Column:
 
 
 def _packed(rows: DataFrame, blocks: int, most: int) -> DataFrame:
-    """Blocks of ``key, v`` in vertical layout, dealt by hash; a block has ``most`` vectors at most."""
+    """Blocks of ``key, v`` in vertical layout, dealt by hash, in numbered packs of ``most`` vectors at most."""
 
     def run(batches):
         held: list[tuple] = []
+        packs = 0  # of the block so far
 
         def out(block, items):
+            nonlocal packs
             ids = np.concatenate([i for i, _ in items])
             data = np.concatenate([d for _, d in items])
             for s in range(0, len(ids), most):
                 part = data[s : s + most]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int32()), pa.array([ids[s : s + most].tobytes()]), pa.array([np.ascontiguousarray(part.T).tobytes()]), pa.array([len(part)], pa.int32())],
-                    ["block", "ids", "data", "n"],
+                    [pa.array([block], pa.int32()), pa.array([packs], pa.int32()), pa.array([ids[s : s + most].tobytes()]), pa.array([np.ascontiguousarray(part.T).tobytes()]), pa.array([len(part)], pa.int32())],
+                    ["block", "pack", "ids", "data", "n"],
                 )
+                packs += 1
 
         now, size = None, 0
         for batch in batches:
@@ -66,6 +69,7 @@ def _packed(rows: DataFrame, blocks: int, most: int) -> DataFrame:
                 if now is not None and (blocks_[s] != now or size >= most):
                     yield from out(now, held)
                     held, size = [], 0
+                    packs = packs if blocks_[s] == now else 0
                 now = int(blocks_[s])
                 held.append((keys[s:e], values[s:e]))
                 size += e - s
@@ -73,7 +77,7 @@ def _packed(rows: DataFrame, blocks: int, most: int) -> DataFrame:
             yield from out(now, held)
 
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int"))
-    return dealt.repartition("block").sortWithinPartitions("block", "key").select("block", "key", "v").mapInArrow(run, PACKED)
+    return dealt.repartition("block").sortWithinPartitions("block", "key", "v").select("block", "key", "v").mapInArrow(run, PACKED)
 
 
 def _search(k: int, dims: int):
@@ -135,10 +139,11 @@ def _search(k: int, dims: int):
         now = queries = q_ids = state = None
 
         def result():
-            live = np.isfinite(state[0])
+            at, live = now, np.isfinite(state[0])
             r, c = np.nonzero(live)
             return pa.RecordBatch.from_arrays(
-                [pa.array(q_ids[r]), pa.array(state[1][r, c]), pa.array(state[0][r, c].astype(np.int64))], ["query_id", "vec_id", "score"]
+                [pa.array(np.full(len(r), at[0])), pa.array(np.full(len(r), at[2])), pa.array(r), pa.array(q_ids[r]), pa.array(state[1][r, c]), pa.array(state[0][r, c].astype(np.int64))],
+                ["qb", "qn", "place", "query_id", "vec_id", "score"],
             )
 
         for batch in batches:
@@ -169,7 +174,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     rows = rows.where(F.size("v") == dims)
     q_blocks, c_blocks = -(-m // (QUERY_BLOCK * 3 // 4)) or 1, -(-n // (CANDIDATE_BLOCK * 3 // 4)) or 1
     groups = -(-c_blocks // STREAMED)
-    queries = _packed(rows.where("q"), q_blocks, QUERY_BLOCK).withColumn("qn", F.xxhash64("ids"))
+    queries = _packed(rows.where("q"), q_blocks, QUERY_BLOCK).withColumnRenamed("pack", "qn")
     candidates = _packed(rows, c_blocks, CANDIDATE_BLOCK).withColumn("part", F.pmod(F.col("block"), F.lit(groups)))
     query_rows = queries.select(F.col("block").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"), "qn", F.lit(0).alias("kind"), F.lit(0).alias("block"), "ids", "data")
     # each block of queries meets each block of candidates once, by way of the few numbers of the query blocks
@@ -177,6 +182,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     meets = numbers.select("qb", "qn", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
     candidate_rows = candidates.join(meets, "part").select("qb", "part", "qn", F.lit(1).alias("kind"), "block", "ids", "data")
     met = query_rows.unionByName(candidate_rows).repartition("qb", "part", "qn").sortWithinPartitions("qb", "part", "qn", "kind", "block")
-    found = met.mapInArrow(_search(k, dims), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInArrow(_search(k, dims), "qb bigint, qn bigint, place bigint, query_id bigint, vec_id bigint, score bigint")
+    # by query row: an id can be that of several
+    order = Window.partitionBy("qb", "qn", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

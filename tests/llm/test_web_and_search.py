@@ -106,6 +106,21 @@ def test_top_k_over_many_blocks(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} == plain_top(rows, 7)
 
 
+def test_each_row_of_a_repeated_query_has_its_results(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 4)
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.integers(-9, 9, size=(90, 6)))]
+    rows += [rows[20]] * 9 + [(40, rows[7][1]), (40, rows[8][1])]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>")
+    found = nearest.top_k(df, F.col("vec_id") % 20 == 0, k=7, scale=1.0)
+    want = []
+    for i, q in rows:
+        if i % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i)[:7]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
 def test_few_or_no_candidates(spark):
     make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert nearest.top_k(make([]), F.col("vec_id") % 20 == 0).count() == 0
