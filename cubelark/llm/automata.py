@@ -122,7 +122,7 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             n, removed, sha = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc", "n_words", "n_removed", "kept_sha256"])
 
-    keyed = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    spans = repeats.repeats(keyed, UNIT, earlier)
+    keyed, repeated = repeats.identified(docs, key, text)
+    spans = repeats.repeats(keyed, repeated, UNIT, earlier)
     found = repeats.with_spans(keyed, spans).select("doc", "text", "spans").mapInArrow(run, "doc bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     return found.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias(key), "n_words", "n_removed", "kept_sha256")

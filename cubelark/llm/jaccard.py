@@ -30,11 +30,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubelark.llm import repeats
@@ -54,6 +54,10 @@ MARK = 1 << 31
 #: Sets, and shingles, of a tile on average.
 TILE, TILE_SHINGLES = 256, 1 << 18
 FILTER = 1 << 23  # bits of the filter of documents that take part in verification
+#: Bytes of text for each range of hashes, and the most ranges as a power of two; shingles unpacked at once.
+RANGE, MOST_RANGES, AT_ONCE = 1 << 21, 16, 1 << 24
+#: What a pair of tiles is known by.
+GROUP = ("block", "size", "next", "i", "j")
 #: Kinds of rows, in ``n``; a document's is its size.
 SIGNATURE, EDGE, COUNTED, INFO = -1, -2, -3, -4
 
@@ -95,15 +99,17 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n_words: int) -> list[np.ndar
     """The sorted hashes of the distinct shingles of each text; A-Z count as lower case."""
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     starts, ends, before = repeats.words(data, at)
-    spans = repeats.Spans(repeats.Spans(repeats.TABLE[data])(starts, ends))
+    symbols = repeats.word_symbols(data, starts, ends)
     last = np.maximum(before[1:] - n_words, before[:-1] - 1)  # starts of shingles end here
-    every = spans(np.arange(max(0, len(starts) - n_words + 1)), np.arange(n_words, len(starts) + 1)) if len(starts) >= n_words else np.zeros(0, U)
+    step = 1 << 20
+    every = [repeats.chained(symbols[i : i + step + n_words - 1], n_words) for i in range(0, max(1, len(symbols)), step)]
+    every = np.concatenate(every) if len(every) > 1 else every[0]
     out = []
     for a, b, e in zip(before[:-1].tolist(), before[1:].tolist(), last.tolist(), strict=True):
         if b - a >= n_words:
             out.append(np.unique(every[a : e + 1]))
         else:
-            out.append(spans(np.array([a]), np.array([b])) if b > a else np.zeros(0, U))
+            out.append(repeats.chained(symbols[a:b], b - a) if b > a else np.zeros(0, U))
     return out
 
 
@@ -138,13 +144,37 @@ def batch_of(names: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.binary() if isinstance(c, list) else pa.int64()) for c in columns], names.split())
 
 
-def nodes_of(sets: list[np.ndarray]) -> np.ndarray:
-    """One number for equal sets."""
-    return np.array([repeats.mix(np.array([repeats.mix(s ^ U(0x5851F42D4C957F2D)).sum(dtype=U) + U(len(s))], U))[0] for s in sets], U).view(np.int64) if sets else np.zeros(0, np.int64)
+def nodes_of(sets: list[np.ndarray], salt: int) -> np.ndarray:
+    """One number for equal sets; those of two salts are independent."""
+    mask = U((0x5851F42D4C957F2D + salt * 0x9E3779B97F4A7C15) % (1 << 64))
+    return repeats.mix(np.array([int(repeats.mix(s ^ mask).sum(dtype=U)) for s in sets], U) + mask).view(np.int64) if sets else np.zeros(0, np.int64)
 
 
-def entries(docs: DataFrame, rule: Rule, ranges: int) -> DataFrame:
-    """Of ``doc, text``: rows of documents, subsets of light sets, and shingles of heavy ones by range of hashes."""
+def leaders(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each key of lists with one node, and edges that join the other nodes of its list to that."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    first = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else node
+    x, y = node[node != first], first[node != first]
+    names, places = np.unique(np.r_[x, y], return_inverse=True)
+    return key[new], node[new], *stars(names, places[: len(x)], places[len(x) :])
+
+
+def list_rows(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Rows of lists, a list's nodes being combined: one enters it, the others have an edge."""
+    key, node, src, dst = leaders(key, node)
+    n = np.repeat([SIGNATURE, EDGE], [len(key), len(src)])
+    other = np.r_[np.zeros(len(key), np.int64), dst]
+    return batch_of("key node other n packed", np.r_[key.view(np.int64), repeats.mix(src.view(U)).view(np.int64)], np.r_[node, src], other, n, [None] * len(n))
+
+
+def entries(docs: DataFrame, rule: Rule, ranges: int, salt: int) -> DataFrame:
+    """Of ``doc, text``: rows of documents, subsets of light sets, and shingles of heavy ones by range of hashes.
+
+    A document's row has a second number of its set, by which sets are told apart whose nodes are equal by chance.
+    """
     light = boundary(rule)
     both = rule.den * light // rule.num
     shift = U(BITS - ranges.bit_length() + 1)
@@ -182,13 +212,20 @@ def entries(docs: DataFrame, rule: Rule, ranges: int) -> DataFrame:
 
         chunk, size = TaskContext.get().partitionId() << 24, 0
         sets, nodes, known = [], [], set()
+        keys, owners, seen, held = [], [], set(), 0
         for batch in slices(batches, SLICE):
             found = shingle_sets(*utf8(batch.column("text")), rule.words)
-            docs, own = ints(batch.column("doc")), nodes_of(found)
-            yield rows(repeats.mix(docs.astype(U)), own, docs, [len(s) for s in found])
-            entered = [(subsets(s, rule), node) for s, node in zip(found, own.tolist(), strict=True) if 0 < len(s) <= both]
-            if entered:
-                yield rows(np.concatenate([k for k, _ in entered]), np.repeat([v for _, v in entered], [len(k) for k, _ in entered]), 0, SIGNATURE)
+            docs, own = ints(batch.column("doc")), nodes_of(found, salt)
+            yield rows(repeats.mix(docs.astype(U)), own, docs, [len(s) for s in found], [x.tobytes() for x in nodes_of(found, -1 - salt)])
+            for s, node in zip(found, own.tolist(), strict=True):
+                if 0 < len(s) <= both and node not in seen:
+                    seen.add(node)
+                    keys.append(subsets(s, rule))
+                    owners.append(np.full(len(keys[-1]), node))
+                    held += len(keys[-1])
+            if held >= CHUNK:
+                yield list_rows(np.concatenate(keys), np.concatenate(owners))
+                keys, owners, seen, held = [], [], set(), 0
             for s, node in zip(found, own.tolist(), strict=True):
                 if len(s) > light and node not in known:
                     known.add(node)
@@ -198,6 +235,8 @@ def entries(docs: DataFrame, rule: Rule, ranges: int) -> DataFrame:
             if size >= CHUNK or len(sets) >= CHUNK_SETS:
                 yield from counted(nodes, sets, chunk)
                 sets, nodes, known, size, chunk = [], [], set(), 0, chunk + 1
+        if keys:
+            yield list_rows(np.concatenate(keys), np.concatenate(owners))
         if sets:
             yield from counted(nodes, sets, chunk)
 
@@ -207,10 +246,27 @@ def entries(docs: DataFrame, rule: Rule, ranges: int) -> DataFrame:
 KNOWN = "node bigint, other bigint, n bigint, packed binary"
 
 
-def again(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    """Of one range: to each chunk, those of its shingles that occur more than once, with their counts."""
-    chunks = np.array([c for c, _ in blobs], np.int64)
-    parts = [unpack(b, 1) for _, b in blobs]
+def again(blobs: list[tuple[int, bytes]], ranges: int):
+    """Of one range: to each chunk, those of its shingles that occur more than once, with their counts.
+
+    A range of over ``AT_ONCE`` shingles is worked on by parts of it, so that no more are unpacked at once.
+    """
+    steps = sum(int.from_bytes(b[:8], "little") for _, b in blobs) // AT_ONCE
+    within = BITS - ranges.bit_length() + 1  # bits of a token within its range
+    bits = min(steps.bit_length(), within)
+    for part in range(1 << bits):
+        parts = [unpack(b, 1) for _, b in blobs] if not bits else [sliced(unpack(b, 1), part, within - bits, within) for _, b in blobs]
+        if any(len(p[0]) for p in parts):
+            yield counts(np.array([c for c, _ in blobs], np.int64), parts)
+
+
+def sliced(columns: list[np.ndarray], part: int, shift: int, within: int) -> list[np.ndarray]:
+    place = (columns[0] & U((1 << within) - 1)) >> U(shift)
+    a, b = np.searchsorted(place, [part, part + 1])
+    return [c[a:b] for c in columns]
+
+
+def counts(chunks: np.ndarray, parts: list[list[np.ndarray]]) -> pa.RecordBatch:
     token, who = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
     source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     order = np.argsort(token, kind="stable")
@@ -227,7 +283,7 @@ def again(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return batch_of("node other n packed", to, np.full(len(to), 2), np.full(len(to), COUNTED), packed)
 
 
-def scanned(rows: DataFrame) -> DataFrame:
+def scanned(rows: DataFrame, ranges: int) -> DataFrame:
     """Edges from the sets of each list to its first; ranges counted; other rows as they are."""
 
     def run(batches):
@@ -238,7 +294,7 @@ def scanned(rows: DataFrame) -> DataFrame:
             packed = batch.column("packed")
             for i in np.flatnonzero(n == COUNTED).tolist():
                 if blobs and key[i] != at:
-                    yield again(blobs)
+                    yield from again(blobs, ranges)
                     blobs = []
                 at = key[i]
                 blobs.append((int(node[i]), packed[i].as_py()))
@@ -256,10 +312,10 @@ def scanned(rows: DataFrame) -> DataFrame:
                 key0, leader0, node0 = k[-1], leader[-1], v[-1]
             edge = (v != leader) & ~twice
             yield batch_of("node other n packed", v[edge], leader[edge], np.full(int(edge.sum()), EDGE), [None] * int(edge.sum()))
-            rest = (n >= 0) | (n == INFO)
+            rest = (n >= 0) | (n == INFO) | (n == EDGE)
             yield batch_of("node other n packed", node[rest], other[rest], n[rest], packed.filter(pa.array(rest)))
         if blobs:
-            yield again(blobs)
+            yield from again(blobs, ranges)
 
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, KNOWN)
 
@@ -295,14 +351,11 @@ def prefixes(known: DataFrame, rule: Rule) -> DataFrame:
             for node, other, packed in zip(*(batch.column(c).to_pylist() for c in ("node", "other", "packed")), strict=True):
                 if node != now:
                     if parts:
-                        yield rows(*entered(parts))
+                        yield list_rows(*entered(parts))
                     now, parts = node, {}
                 parts.setdefault(other, []).append(packed)
         if parts:
-            yield rows(*entered(parts))
-
-    def rows(key, node):
-        return batch_of("key node other n packed", key.view(np.int64), node, np.zeros(len(key)), np.full(len(key), SIGNATURE), [None] * len(key))
+            yield list_rows(*entered(parts))
 
     dealt = known.where(F.col("n").isin(COUNTED, INFO)).select("node", "other", "packed").repartition("node").sortWithinPartitions("node")
     return dealt.mapInArrow(run, ROWS)
@@ -344,10 +397,11 @@ def stars(nodes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray,
     return nodes[moved], nodes[root[moved]]
 
 
-def verified(members: DataFrame, docs: DataFrame, rule: Rule, pairs: bool = False) -> DataFrame:
+def verified(members: DataFrame, docs: DataFrame, rule: Rule, salt: int, pairs: bool = False) -> DataFrame:
     """``src, dst, n``: stars of linked sets (n is 0), and how many rows of other sets a node links with (``src = dst``).
 
-    With ``pairs`` each linked pair, once. ``members`` has ``node, doc, copies, block, tiles``: a document for each node.
+    With ``pairs`` each linked pair, once. ``members`` has ``node, doc, copies, block, size, tiles``: a document for each node, the class of its
+    size and, by class, the tiles of its block. Linked sets are of one class or of neighbouring ones.
     """
 
     bits = members.select((F.pmod(F.xxhash64("doc"), F.lit(FILTER)) + 1).alias("bit"))  # these functions count from 1
@@ -363,19 +417,19 @@ def verified(members: DataFrame, docs: DataFrame, rule: Rule, pairs: bool = Fals
         for batch in slices(batches, SLICE):
             batch = batch.filter(pa.array(shared.value[ints(batch.column("bit"))]))
             found = shingle_sets(*utf8(batch.column("text")), rule.words)
-            docs, own = ints(batch.column("doc")), nodes_of(found)
+            docs, own = ints(batch.column("doc")), nodes_of(found, salt)
             new = [i for i, row in enumerate(zip(docs.tolist(), own.tolist(), strict=True)) if row not in known and not known.add(row)]
             yield pa.RecordBatch.from_arrays([pa.array(docs[new]), pa.array(own[new]), pa.array([found[i].tobytes() for i in new], pa.binary())], ["doc", "node", "shingles"])
 
     def compare(batches):
-        """Streams groups (block, i, j); a group has two tiles at most."""
+        """Streams groups (block, size, next, i, j): tile i and, of the same or the next class of sizes, tile j."""
         held: list[tuple] = []
 
         def done():
             rows = sorted({(own, node): (np.frombuffer(s, U), copies) for own, node, s, copies in held}.items(), key=lambda r: r[0])
             first = [r for r in rows if not r[0][0]]
             second = [r for r in rows if r[0][0]]
-            one = now[1] == now[2]
+            one = not now[2] and now[3] == now[4]
             nodes = np.array([r[0][1] for r in first + second], np.int64)
             copies = np.array([r[1][1] for r in first + second], np.int64)
             xs, ys = [], []
@@ -401,13 +455,13 @@ def verified(members: DataFrame, docs: DataFrame, rule: Rule, pairs: bool = Fals
 
         now = None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("block", "i", "j", "second", "node", "shingles", "copies")]
+            columns = [batch.column(c).to_pylist() for c in (*GROUP, "second", "node", "shingles", "copies")]
             out = []
-            for block, i, j, second, node, shingles, copies in zip(*columns, strict=True):
-                if now != (block, i, j):
+            for *group, second, node, shingles, copies in zip(*columns, strict=True):
+                if now != group:
                     if len(held) > 1:
                         out.append(done())
-                    held, now = [], (block, i, j)
+                    held, now = [], group
                 held.append((second, node, shingles, copies))
             if out:
                 yield edges(out)
@@ -419,42 +473,65 @@ def verified(members: DataFrame, docs: DataFrame, rule: Rule, pairs: bool = Fals
 
     hashed = docs.select("doc", "text", F.pmod(F.xxhash64("doc"), F.lit(FILTER)).alias("bit"))
     # rows of one id can have different texts: each node gets its own set
-    found = hashed.mapInArrow(sets, "doc bigint, node bigint, shingles binary").join(members, ["doc", "node"]).select("node", "copies", "block", "tiles", "shingles")
-    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    dealt = found.withColumn("tile", tile).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("block", F.least("tile", "to").alias("i"), F.greatest("tile", "to").alias("j"), (F.col("tile") > F.col("to")).alias("second"), "node", "shingles", "copies")
-    grouped = dealt.repartition("block", "i", "j").sortWithinPartitions("block", "i", "j")
-    return grouped.mapInArrow(compare, "src bigint, dst bigint, n bigint")
+    found = hashed.mapInArrow(sets, "doc bigint, node bigint, shingles binary").join(members, ["doc", "node"]).select("node", "copies", "block", "size", "tiles", "shingles")
+    count = lambda step: F.coalesce(F.try_element_at("tiles", F.col("size") + step), F.lit(0))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    place = lambda size, following, i, j, second: F.struct(size.alias("size"), F.lit(following).alias("next"), i.alias("i"), j.alias("j"), second.alias("second"))
+    size, tile = F.col("size"), F.col("tile")
+    to = F.concat(
+        F.transform(upto(count(0)), lambda u: place(size, 0, F.least(tile, u), F.greatest(tile, u), tile > u)),
+        F.transform(upto(count(1)), lambda u: place(size, 1, tile, u, F.lit(False))),
+        F.transform(upto(count(-1)), lambda u: place(size - 1, 1, u, tile, F.lit(True))),
+    )
+    dealt = found.withColumn("tile", F.pmod(F.xxhash64("node"), count(0)).cast("int")).select("block", F.explode(to).alias("to"), "node", "shingles", "copies")
+    dealt = dealt.select("block", *(F.col(f"to.{c}").alias(c) for c in (*GROUP[1:], "second")), "node", "shingles", "copies")
+    return dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(compare, "src bigint, dst bigint, n bigint")
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def candidates(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of ``doc, text``: node and size of each row, the nodes with words, and the members of blocks."""
-    ranges = 1 << (8 * parts(rows.sparkSession) - 1).bit_length()
-    known = written(scanned(entries(rows, rule, ranges)), "sets")
+def size_class(rule: Rule) -> Column:
+    """The class of the size ``n``: sizes of linked sets differ by one class at most."""
+    return F.floor(F.log(F.col("n").cast("double")) / F.lit(max(log(rule.den / rule.num) * (1 + 1e-9), 1e-6))).cast("int")
+
+
+def candidates(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Of ``doc, text``: node and size of each row, the nodes with words, the members of blocks, and the salt of nodes."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 1 << max((8 * parts(rows.sparkSession) - 1).bit_length(), min((size // RANGE).bit_length(), MOST_RANGES))
+    salt = 0
+    while True:
+        known = written(scanned(entries(rows, rule, ranges, salt), ranges), "sets")
+        number = F.xxhash64("packed")
+        numbers = F.min(number).alias("low"), F.max(number).alias("high")
+        nodes = written(known.where("n > 0").groupBy("node").agg(F.min("other").alias("doc"), F.first("n").alias("n"), F.count("*").alias("copies"), *numbers), "nodes")
+        if not nodes.where("low <> high").head(1):
+            break
+        salt += 1  # different sets with equal nodes: by other hashes
+    nodes = nodes.drop("low", "high")
     of_docs = known.where("n >= 0").select("node", F.col("other").alias("doc"), "n")
-    edges = known.select("node", "other", "n").unionByName(scanned(prefixes(known, rule)).select("node", "other", "n")).where(F.col("n") == EDGE)
+    edges = known.select("node", "other", "n").unionByName(scanned(prefixes(known, rule), ranges).select("node", "other", "n")).where(F.col("n") == EDGE)
     blocks = components(edges.select(F.col("node").alias("src"), F.col("other").alias("dst")))
     blocks = written(blocks.withColumnRenamed("label", "block"), "blocks")
-    nodes = written(of_docs.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.count("*").alias("copies")), "nodes")
-    placed = blocks.join(nodes, "node")
+    placed = blocks.join(nodes, "node").withColumn("size", size_class(rule))
     tiles = F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
-    members = placed.join(placed.groupBy("block").agg(tiles.alias("tiles")), "block").select("node", "doc", "copies", "block", "tiles")
-    return of_docs, nodes, members
+    by_class = placed.groupBy("block", "size").agg(tiles.alias("tiles"))
+    of_block = by_class.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("size", "tiles"))).alias("tiles"))  # a few classes of sizes
+    members = placed.join(of_block, "block").select("node", "doc", "copies", "block", "size", "tiles")
+    return of_docs, nodes, members, salt
 
 
-def classed(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """Of ``doc, text``: node and size of each row; of each node with words its smallest doc, component and number of links."""
-    of_docs, nodes, members = candidates(rows, rule)
-    found = written(verified(members, rows, rule), "links")
+def classed(rows: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, int]:
+    """Of ``doc, text``: node and size of each row; of each node with words its smallest doc, component and number of links; the salt."""
+    of_docs, nodes, members, salt = candidates(rows, rule)
+    found = written(verified(members, rows, rule, salt), "links")
     links = components(found.where("n = 0").select("src", "dst"))
     others = found.where("n > 0").groupBy(F.col("src").alias("node")).agg(F.sum("n").alias("others"))
     own = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
     classes = nodes.join(links, "node", "left").join(others, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"), own.alias("n_links"))
-    return of_docs, written(classes, "classes")
+    return of_docs, written(classes, "classes"), salt
 
 
 def joined(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -463,7 +540,7 @@ def joined(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text")
     ``component_id`` is the smallest id that its links reach, ``class_id`` the number of its set (null without
     words), under which ``links`` has its links, and ``n_links`` the number of other rows that it links with.
     """
-    of_docs, classes = classed(keyed(docs, key, text), rule)
+    of_docs, classes, _ = classed(keyed(docs, key, text), rule)
     least = classes.groupBy("label").agg(F.min("doc").alias("component_id"))
     of_nodes = classes.join(least, "label").select("node", "component_id", "n_links")
     found = of_docs.join(of_nodes, "node", "left")
@@ -475,7 +552,8 @@ def joined(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text")
 def links(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``class_id, other_id``: each pair of different sets that link, once, by the classes of ``joined``; rows of one class link, too."""
     rows = keyed(docs, key, text)
-    found = verified(candidates(rows, rule)[2], rows, rule, pairs=True)
+    members, salt = candidates(rows, rule)[2:]
+    found = verified(members, rows, rule, salt, pairs=True)
     return found.select(F.least("src", "dst").alias("class_id"), F.greatest("src", "dst").alias("other_id"))
 
 
@@ -494,7 +572,7 @@ def distinct(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text
 
     Rows without words are linked with nothing, and all stay. Columns must be of types that have an order.
     """
-    of_docs, classes = classed(keyed(docs, key, text), rule)
+    of_docs, classes, salt = classed(keyed(docs, key, text), rule)
     first = classes.groupBy("label").agg(F.min(F.struct("doc", "node")).alias("first")).select("first.doc", "first.node")
     first = written(first, "first")
     repeated = written(of_docs.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc").alias("_copy")), "repeated")
@@ -509,7 +587,7 @@ def distinct(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text
     def nodes(batches):
         for batch in slices(batches, SLICE):
             found = shingle_sets(*utf8(batch.column("text")), rule.words)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), pa.array(nodes_of(found)), pa.array([len(s) for s in found], pa.int64())], ["row", "doc", "node", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), pa.array(nodes_of(found, salt)), pa.array([len(s) for s in found], pa.int64())], ["row", "doc", "node", "n"])
 
     several = docs.join(repeated, own == repeated["_copy"], "left_semi")
     several = several.select(F.struct(*several.columns).alias("row"), own.alias("doc"), F.coalesce(several[text], F.lit("")).alias("text"))

@@ -16,8 +16,11 @@ window, equal windows have equal anchors at equal places: they can be found run
 4. ``across``: windows of split keys that are first in their share are compared between shares by
    their hash, with partial aggregation.
 
-No step gathers a key in one place: rows stream, shares and chunks are bounded, the rest is partial
-aggregation. Rows of equal ids count as one document.
+No step gathers a key in one place: keys of many names are dealt by name before the shuffle, rows
+stream, shares and chunks are bounded, the rest is partial aggregation. Texts of over two slabs are
+worked on slab by slab. Rows of equal ids count as one document: texts one after the other, equal ones once.
+
+Hashes are polynomials modulo 2**61 - 1 at a random base, which no pair of texts is known to defeat.
 """
 
 from __future__ import annotations
@@ -27,22 +30,32 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubelark.llm.common import ints, slices, utf8, written
+from cubelark.llm.common import ints, parts, slices, utf8, written
 
 #: Bytes of text hashed at once; records that are combined before the shuffle.
 SLICE = 1 << 18
 COMBINED = 400_000
+#: Bytes of a slab of a long text.
+SLAB = 1 << 20
 #: Runs of a key that are solved together, and symbols that a solver gets at once.
 SHARE = 512
 CHUNK = 1 << 19
+#: Names of a key in a chunk of records from which on the key is dealt by name.
+HOT = 256
+#: Symbols of a task that solves, and the most such tasks.
+PARTITION = 1 << 22
+MOST_PARTITIONS = 100_000
 
-BASE = 6364136223846793005
-INVERSE = pow(BASE, -1, 1 << 64)
-TABLE = np.random.default_rng(2024).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 U = np.uint64
+#: Hashes are polynomials modulo this prime, at a fixed random base.
+PRIME = (1 << 61) - 1
+BASE = 0x0B7E151628AED2A6
+INVERSE = pow(BASE, -1, PRIME)
+TABLE = np.random.default_rng(2024).integers(1, PRIME, 256, np.uint64)
+LOW30, LOW31, LOW61 = U((1 << 30) - 1), U((1 << 31) - 1), U(PRIME)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,18 +64,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Any 64-bit numbers modulo the prime."""
+    x = (x & LOW61) + (x >> U(61))
+    return np.where(x >= LOW61, x - LOW61, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, from halves of 30 and 31 bits."""
+    a1, a0, b1, b0 = a >> U(31), a & LOW31, b >> U(31), b & LOW31
+    middle = a0 * b1 + a1 * b0
+    return reduced(((a1 * b1) << U(1)) + (middle >> U(30)) + ((middle & LOW30) << U(31)) + a0 * b0)
+
+
 class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as they were needed."""
+    """Powers of the base and of its inverse modulo the prime, as far as they were needed."""
 
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, U)
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            for name, base in (("up", BASE), ("down", INVERSE)):
-                powers = np.full(n + n // 4, base, U)
-                powers[0] = 1
-                setattr(self, name, np.multiply.accumulate(powers))
+        while len(self.up) < n:
+            at = len(self.up)
+            self.up = np.concatenate([self.up, times(self.up, U(pow(BASE, at, PRIME)))])
+            self.down = np.concatenate([self.down, times(self.down, U(pow(INVERSE, at, PRIME)))])
         return self.up[:n], self.down[:n]
 
 
@@ -70,19 +95,35 @@ POWERS = Powers()
 
 
 class Spans:
-    """Hashes of spans of a row of 64-bit symbols, from prefix sums."""
+    """Hashes of spans of a row of symbols below the prime, from prefix sums."""
 
     def __init__(self, symbols: np.ndarray):
         up, self.down = POWERS.to(len(symbols) + 1)
+        terms = times(symbols, up[:-1])
+        high, low = np.cumsum(terms >> U(31)), np.cumsum(terms & LOW31)
         self.prefix = np.zeros(len(symbols) + 1, U)
-        np.cumsum(symbols * up[:-1], out=self.prefix[1:])
+        self.prefix[1:] = reduced((high >> U(30)) + ((high & LOW30) << U(31)) + low)
+
+    def _between(self, low: np.ndarray, high: np.ndarray, down: np.ndarray) -> np.ndarray:
+        return times(np.where(high >= low, high - low, high + LOW61 - low), down)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.down[start] + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
+        return mix(self._between(self.prefix[start], self.prefix[end], self.down[start]) + (end - start).astype(U) * U(0x9E3779B97F4A7C15))
 
     def all(self, length: int) -> np.ndarray:
         n = len(self.prefix) - length
-        return mix((self.prefix[length:] - self.prefix[:n]) * self.down[:n])
+        return mix(self._between(self.prefix[:n], self.prefix[length:], self.down[:n]))
+
+
+def chained(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all spans of a small length, symbol by symbol, without sums that symbols could cancel in."""
+    n = len(symbols) - length + 1
+    if n <= 0:
+        return np.zeros(0, U)
+    out = np.full(n, length, U)
+    for i in range(length):
+        out = mix((out ^ symbols[i : i + n]) + U(0x9E3779B97F4A7C15))
+    return out
 
 
 def least_in_windows(x: np.ndarray, width: int) -> np.ndarray:
@@ -110,6 +151,23 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, stop, np.searchsorted(starts, at)
 
 
+def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, from slabs of bounded size."""
+    out, low = np.zeros(len(starts), U), 0
+    while low < len(starts):
+        high = int(np.searchsorted(ends, starts[low] + SLAB, "right"))
+        first = starts[low]
+        if high > low:
+            out[low:high] = Spans(TABLE[data[first : ends[high - 1]]])(starts[low:high] - first, ends[low:high] - first)
+        else:  # a word of more than a slab, part by part
+            high = low + 1
+            for a in range(int(first), int(ends[low]), SLAB):
+                part = TABLE[data[a : min(a + SLAB, int(ends[low]))]]
+                out[low:high] = mix(out[low:high] ^ Spans(part)(np.array([0]), np.array([len(part)])))
+        low = high
+    return reduced(out)
+
+
 @dataclass(frozen=True)
 class Unit:
     """What symbols are, and the lengths of windows and grams in them."""
@@ -126,11 +184,26 @@ class Unit:
         return (self.length - self.gram + 1) // 2
 
     def symbols(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit symbols of texts that lie one after the other, and the symbols before each text."""
+        """Symbols of texts that lie one after the other, and the symbols before each text."""
         if not self.words:
             return TABLE[data], at
         starts, ends, before = words(data, at)
-        return Spans(TABLE[data])(starts, ends), before
+        return word_symbols(data, starts, ends), before
+
+    def slabs(self, data: np.ndarray, at: np.ndarray):
+        """Symbols and offsets of texts; a single long text in slabs that overlap by less than a window, each with its place."""
+        if len(at) > 2 or len(data) <= 2 * SLAB:
+            yield 0, *self.symbols(data, at)
+            return
+        starts, ends, before = words(data, at) if self.words else (None, None, at)
+        total = int(before[-1])
+        step = SLAB // 4 if self.words else SLAB
+        for low in range(0, max(1, total - self.length + 1), step):
+            high = min(total, low + step + self.length - 1)
+            if self.words:
+                yield low, word_symbols(data, starts[low:high], ends[low:high]), np.array([0, high - low])
+            else:
+                yield low, TABLE[data[low:high]], np.array([0, high - low])
 
 
 def runs_of(symbols: np.ndarray, at: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
@@ -140,7 +213,11 @@ def runs_of(symbols: np.ndarray, at: np.ndarray, unit: Unit) -> tuple[np.ndarray
     if len(symbols) < length:
         return none, none, none, none.astype(U), none.astype(U)
     spans = Spans(symbols)
-    order = spans.all(gram)
+    order, step = symbols, 1  # any function of a gram alone will do for its order
+    while step < gram:
+        order = order[:-step] * U(0x9E3779B97F4A7C15) + order[step:]
+        step *= 2
+    order = mix(order)
     bits = U((1 << max(1, int(len(order)).bit_length())) - 1)
     # the leftmost of the least: place breaks ties, as it does in every equal window
     anchor = (least_in_windows((order & ~bits) | np.arange(len(order), dtype=U), length - gram + 1) & bits).astype(np.int64)
@@ -160,45 +237,64 @@ def runs_of(symbols: np.ndarray, at: np.ndarray, unit: Unit) -> tuple[np.ndarray
     return text[start], start - at[text[start]], count, mix(key + side), name
 
 
-RECORD = "key bigint, name bigint, doc bigint, place bigint"
-#: A place is ``start * 512 + windows``, negative for a copy that is known to be later.
+RECORD = "key bigint, name bigint, doc bigint, variant bigint, place bigint"
+#: A place is ``start * 512 + windows``, ``SPLIT`` more where the key's names are dealt, negative for a copy
+#: that is known to be later; 0 says that other records of its key are dealt.
 SHIFT = 9
+SPLIT = 256
+LEAST = -(1 << 63)
 
 
 def runs(docs: DataFrame, unit: Unit) -> DataFrame:
-    """Records of all runs of ``doc, text``; later copies within a task are marked and dealt by document."""
+    """Records of all runs of ``doc, variant, text``; later copies within a task are marked and dealt by document.
+
+    A key that has over ``HOT`` names among the records of a chunk is dealt by name, too, and a record under
+    the key itself says so.
+    """
+    salts = 4 * parts(docs.sparkSession)
 
     def combined(held: list[tuple]) -> pa.RecordBatch:
-        key, name, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((place, doc, name, key))
-        key, name, doc, place = key[order], name[order], doc[order], place[order]
-        same = np.zeros(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (name[1:] == name[:-1])
+        key, name, doc, variant, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((place, variant, doc, name, key))
+        key, name, doc, variant, place = key[order], name[order], doc[order], variant[order], place[order]
+        new_key = np.ones(len(key), bool)
+        new_key[1:] = key[1:] != key[:-1]
+        same = ~new_key
+        same[1:] &= name[1:] == name[:-1]
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
-        later = same & ((doc != doc[first]) | ((place != place[first]) & unit.within))
-        place = np.where(later, -place - 1, place)
+        later = same & ((doc != doc[first]) | (((variant != variant[first]) | (place != place[first])) & unit.within))
+        start = np.flatnonzero(new_key)
+        names = np.add.reduceat(~same, start)
+        hot = np.repeat(names > HOT, np.diff(np.r_[start, len(key)])) & ~later
+        told = key[start[names > HOT]]
         # a later copy needs nothing but its way to its document
-        spread = mix(doc.astype(U) + U(77)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.where(later, spread, key)), pa.array(np.where(later, 0, name)), pa.array(doc), pa.array(place)], ["key", "name", "doc", "place"])
+        spread = mix(doc.astype(U) + U(77)).view(np.int64)
+        dealt = mix(key.view(U) ^ mix(mix(name.view(U)) % U(salts) + U(1))).view(np.int64)
+        place = np.where(later, -place - 1, np.where(hot, place + SPLIT, place))
+        key = np.where(later, spread, np.where(hot, dealt, key))
+        zeros = np.zeros(len(told), np.int64)
+        columns = (np.r_[key, told], np.r_[np.where(later, 0, name), zeros + LEAST], np.r_[doc, zeros + LEAST], np.r_[variant, zeros], np.r_[place, zeros])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "name", "doc", "variant", "place"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in slices(batches, SLICE):
             data, at = utf8(batch.column("text"))
-            symbols, before = unit.symbols(data, at)
-            text, start, count, key, name = runs_of(symbols, before, unit)
-            held.append((key.view(np.int64), name.view(np.int64), ints(batch.column("doc"))[text], (start << SHIFT) + count))
-            n += len(key)
-            if n >= COMBINED:
-                yield combined(held)
-                held, n = [], 0
+            docs, variants = ints(batch.column("doc")), ints(batch.column("variant"))
+            for low, symbols, before in unit.slabs(data, at):
+                text, start, count, key, name = runs_of(symbols, before, unit)
+                held.append((key.view(np.int64), name.view(np.int64), docs[text], variants[text], ((low + start) << SHIFT) + count))
+                n += len(key)
+                if n >= COMBINED:
+                    yield combined(held)
+                    held, n = [], 0
         if n:
             yield combined(held)
 
     return docs.mapInArrow(run, RECORD)
 
 
-NAMED = "doc bigint, place bigint, key bigint, share int, split boolean"
+NAMED = "doc bigint, variant bigint, place bigint, key bigint, share int, split boolean"
 
 
 def named(records: DataFrame, unit: Unit) -> DataFrame:
@@ -207,46 +303,54 @@ def named(records: DataFrame, unit: Unit) -> DataFrame:
     A later copy's place says which windows repeat.
     """
 
-    def solved(key, name, doc, place, state) -> tuple:
+    def solved(key, name, doc, variant, place, state) -> tuple:
         """Rows of keys that are all here (``state`` None) or of one key that goes on."""
+        told = place == 0
+        dealt = np.isin(key, key[told]) | ((place > 0) & (place & SPLIT > 0))
+        if state is not None:
+            state["dealt"] |= bool(told.any())
+            dealt |= state["dealt"]
+        key, name, doc, variant, place, dealt = (x[~told] for x in (key, name, doc, variant, place, dealt))
+        place = np.where(place > 0, place & ~SPLIT, place)
         n = len(key)
+        if not n:
+            return doc, variant, place, key, key, dealt, dealt
         first_key = np.ones(n, bool)
         first_key[1:] = key[1:] != key[:-1]
         new = first_key.copy()
         new[1:] |= name[1:] != name[:-1]
-        doc0, place0 = doc.copy(), place.copy()
         at = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        doc0, place0 = doc[at], place[at]
+        doc0, variant0, place0 = doc[at], variant[at], place[at]
         names = np.cumsum(new)
         group = np.maximum.accumulate(np.where(first_key, np.arange(n), 0))
         number = names - names[group]  # of the name within its key
         if state is not None and state["name"] is not None:
             more = name == state["name"]  # sorted: a prefix of the rows
-            doc0[more], place0[more] = state["doc"], state["place"]
+            doc0[more], variant0[more], place0[more] = state["doc"], state["variant"], state["place"]
             number = number + state["number"] + (0 if more.any() else 1)
         known = place < 0  # marked by a task before
-        later = known | (doc != doc0) | ((place != place0) & unit.within)
+        later = known | (doc != doc0) | (((variant != variant0) | (place != place0)) & unit.within)
         if state is None:
             ends = np.r_[np.flatnonzero(first_key)[1:], n] - 1
             per_key = np.repeat(number[ends] + 1, np.diff(np.r_[np.flatnonzero(first_key), n]))
         else:
             per_key = np.full(n, 2 * SHARE)
-            state |= {"name": name[-1], "doc": doc0[-1], "place": place0[-1], "number": int(number[-1])}
+            state |= {"name": name[-1], "doc": doc0[-1], "variant": variant0[-1], "place": place0[-1], "number": int(number[-1])}
         place = np.where(known, -place - 1, place)
         # equal rows (a repeated document) are wanted once
         again = np.zeros(n, bool)
-        again[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
-        keep = (later | (per_key > 1)) & ~again
-        return doc[keep], place[keep], key[keep], number[keep] // SHARE, (per_key > SHARE)[keep], later[keep]
+        again[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (variant[1:] == variant[:-1]) & (place[1:] == place[:-1])
+        keep = (later | (per_key > 1) | dealt) & ~again
+        return doc[keep], variant[keep], place[keep], key[keep], number[keep] // SHARE, ((per_key > SHARE) | dealt)[keep], later[keep]
 
-    def batch_of(doc, place, key, share, split, later) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(place), pa.array(key, mask=later), pa.array(share.astype(np.int32)), pa.array(split)], ["doc", "place", "key", "share", "split"])
+    def batch_of(doc, variant, place, key, share, split, later) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(variant), pa.array(place), pa.array(key, mask=later), pa.array(share.astype(np.int32)), pa.array(split)], ["doc", "variant", "place", "key", "share", "split"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = [np.zeros(0, np.int64)] * 4
+        empty = [np.zeros(0, np.int64)] * 5
         held, state = empty, None
         for batch in batches:
-            rows = [np.concatenate([h, ints(batch.column(c))]) for h, c in zip(held, ("key", "name", "doc", "place"), strict=True)]
+            rows = [np.concatenate([h, ints(batch.column(c))]) for h, c in zip(held, ("key", "name", "doc", "variant", "place"), strict=True)]
             if state is not None:  # a key of more rows than are held at once goes on
                 on = int(np.searchsorted(rows[0] != state["key"], True))
                 if on:
@@ -262,25 +366,25 @@ def named(records: DataFrame, unit: Unit) -> DataFrame:
                 yield batch_of(*solved(*(r[:last] for r in rows), None))
                 rows = [r[last:] for r in rows]
             if len(rows[0]) > 16 * SHARE:
-                state = {"key": rows[0][0], "name": None, "number": 0}
+                state = {"key": rows[0][0], "name": None, "number": 0, "dealt": False}
                 yield batch_of(*solved(*rows, state))
                 rows = empty
             held = rows
         if len(held[0]):
             yield batch_of(*solved(*held, None))
 
-    dealt = records.repartition("key").sortWithinPartitions("key", "name", "doc", "place")
+    dealt = records.repartition("key").sortWithinPartitions("key", "name", "doc", "variant", "place")
     return dealt.mapInArrow(run, NAMED)
 
 
 #: From a chunk: number of each context, and which of its windows also start earlier. Gets the symbols
 #: of contexts (bytes of text), their documents and starts, sorted by these.
 Solver = Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
-SOLVED = "doc bigint, lo bigint, hi bigint, h1 bigint, h2 bigint"
+SOLVED = "doc bigint, variant bigint, lo bigint, hi bigint, h1 bigint, h2 bigint"
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
-    """The text of each wanted run, cut from its document: ``key, share, split, doc, start, context``."""
+    """The text of each wanted run, cut from its document: ``key, share, split, doc, variant, start, context``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SLICE):
@@ -298,74 +402,97 @@ def contexts(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
             start, count = place >> SHIFT, place & ((1 << SHIFT) - 1)
             low = before[text] + start
             high = low + count - 1 + unit.length
-            inside = high <= before[text + 1]  # else of another text with the same id
-            rows, text, start = rows.filter(pa.array(inside)), text[inside], start[inside]
-            low, high = low[inside], high[inside]
             a, b = (starts[low], ends[high - 1]) if unit.words else (low, high)
             whole = data.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [rows.field("key"), rows.field("share"), rows.field("split"), batch.column("doc").take(pa.array(text)), pa.array(start), pa.array([whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())],
-                ["key", "share", "split", "doc", "start", "context"],
+                [rows.field("key"), rows.field("share"), rows.field("split"), *(batch.column(c).take(pa.array(text)) for c in ("doc", "variant")), pa.array(start), pa.array([whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())],
+                ["key", "share", "split", "doc", "variant", "start", "context"],
             )
 
-    gathered = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "place", "share", "split")).alias("wanted"))  # of one document
-    return docs.join(gathered, "doc").select("doc", "text", "wanted").mapInArrow(run, "key bigint, share int, split boolean, doc bigint, start bigint, context binary")
+    gathered = wanted.groupBy("doc", "variant").agg(F.collect_list(F.struct("key", "place", "share", "split")).alias("wanted"))  # of one text
+    found = docs.join(gathered, ["doc", "variant"]).select("doc", "variant", "text", "wanted")
+    return found.mapInArrow(run, "key bigint, share int, split boolean, doc bigint, variant bigint, start bigint, context binary")
 
 
-def shares(found: DataFrame, unit: Unit, solve: Solver) -> DataFrame:
-    """Repeats found within shares as ``doc, lo, hi``; with hashes, windows of split keys that are first in theirs."""
+def shares(found: DataFrame, unit: Unit, solve: Solver, partitions: int) -> DataFrame:
+    """Repeats found within shares as ``doc, variant, lo, hi``; with hashes, windows of split keys that are first in theirs."""
 
     def solved(held: list[tuple]) -> pa.RecordBatch:
-        order = sorted(range(len(held)), key=lambda i: (held[i][1], held[i][2]))
+        order = sorted(range(len(held)), key=lambda i: held[i][1:4])
         rows = [held[i] for i in order]
-        docs = np.array([r[1] for r in rows], np.int64)
-        starts = np.array([r[2] for r in rows], np.int64)
-        earlier = solve([r[3] for r in rows], docs, starts)
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
-        for (split, doc, start, context), e in zip(rows, earlier, strict=True):
+        texts = [r[1:3] for r in rows]
+        # where an earlier start in a document counts, rows of one id are texts one after the other
+        docs = np.cumsum([i > 0 and t != texts[i - 1] for i, t in enumerate(texts)]) if unit.within else np.array([d for d, _ in texts], np.int64)
+        starts = np.array([r[3] for r in rows], np.int64)
+        earlier = solve([r[4] for r in rows], docs, starts)
+        out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+        for (split, doc, variant, start, context), e in zip(rows, earlier, strict=True):
             if e.any():
                 edge = np.flatnonzero(np.diff(np.r_[0, e, 0]))
                 lo, hi = start + edge[::2], start + edge[1::2] - 1 + unit.length
-                for o, v in zip(out, (np.full(len(lo), doc), lo, hi, np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)), strict=True):
+                for o, v in zip(out, (np.full(len(lo), doc), np.full(len(lo), variant), lo, hi, np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)), strict=True):
                     o.append(v)
             if split and not e.all():
                 data = np.frombuffer(context, np.uint8)
                 symbols = unit.symbols(data, np.array([0, len(data)]))[0]
                 first = np.flatnonzero(~e)
                 h1 = Spans(symbols).all(unit.length)[first].view(np.int64)
-                h2 = Spans(mix(symbols + U(1))).all(unit.length)[first].view(np.int64)
-                for o, v in zip(out, (np.full(len(first), doc), start + first, np.full(len(first), -1), h1, h2), strict=True):
+                h2 = Spans(reduced(mix(symbols + U(1)))).all(unit.length)[first].view(np.int64)
+                for o, v in zip(out, (np.full(len(first), doc), np.full(len(first), variant), start + first, np.full(len(first), -1), h1, h2), strict=True):
                     o.append(v)
         cells = [np.concatenate(o) if o else np.zeros(0, np.int64) for o in out]
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cells], ["doc", "lo", "hi", "h1", "h2"])
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cells], ["doc", "variant", "lo", "hi", "h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, now = [], 0, None
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("key", "share", "split", "doc", "start", "context")]
-            for key, share, split, doc, start, context in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("key", "share", "split", "doc", "variant", "start", "context")]
+            for key, share, split, doc, variant, start, context in zip(*columns, strict=True):
                 if size >= CHUNK and (key, share) != now:
                     yield solved(held)
                     held, size = [], 0
                 now = key, share
-                held.append((split, doc, start, context))
+                held.append((split, doc, variant, start, context))
                 size += len(context)
         if held:
             yield solved(held)
 
-    return found.repartition("key", "share").sortWithinPartitions("key", "share").mapInArrow(run, SOLVED)
+    return found.repartition(partitions, "key", "share").sortWithinPartitions("key", "share").mapInArrow(run, SOLVED)
+
 
+def identified(docs: DataFrame, key: str, text: str, *more: Column) -> tuple[DataFrame, bool]:
+    """``doc, variant, text`` and more, and whether ids occur more than once.
 
-def repeats(docs: DataFrame, unit: Unit, solve: Solver) -> DataFrame:
-    """``doc, lo, hi``: spans of symbols of ``doc, text`` covered by windows that also start earlier."""
+    Variants tell rows of one id with different texts apart, in order; where every id occurs once they are all 0.
+    """
+    doc = F.coalesce(F.col(key).cast("bigint"), F.lit(LEAST))
+    repeated = docs.select(doc.alias("doc")).groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    text = F.coalesce(F.col(text), F.lit(""))
+    variant = F.xxhash64(text) if repeated else F.lit(0).cast("bigint")
+    return docs.select(doc.alias("doc"), variant.alias("variant"), text.alias("text"), *more), bool(repeated)
+
+
+def repeats(docs: DataFrame, repeated: bool, unit: Unit, solve: Solver) -> DataFrame:
+    """``doc, variant, lo, hi``: spans of symbols of ``doc, variant, text`` covered by windows that also start earlier.
+
+    Takes what ``identified`` gives.
+    """
+    docs = docs.select("doc", "variant", "text")
+    if repeated:  # equal rows once
+        docs = docs.groupBy("doc", "variant").agg(F.first("text").alias("text"))
     known = written(named(runs(docs, unit), unit), "named")
-    copies = known.where("key is null").select("doc", F.shiftright("place", SHIFT).alias("lo"), (F.shiftright("place", SHIFT) + F.col("place").bitwiseAND((1 << SHIFT) - 1) - 1 + unit.length).alias("hi"))
-    solved = written(shares(contexts(docs, known.where("key is not null"), unit), unit, solve), "solved")
+    windows = F.col("place").bitwiseAND((1 << SHIFT) - 1)
+    start = F.shiftright("place", SHIFT)
+    copies = known.where("key is null").select("doc", "variant", start.alias("lo"), (start + windows - 1 + unit.length).alias("hi"))
+    wanted = known.where("key is not null")
+    symbols = wanted.agg(F.sum(windows + unit.length)).first()[0] or 0
+    partitions = int(max(1, min(symbols // PARTITION + 1, MOST_PARTITIONS)))
+    solved = written(shares(contexts(docs, wanted, unit), unit, solve, partitions), "solved")
     split = solved.where("hi < 0")
-    order = F.struct("doc", "lo") if unit.within else F.col("doc")
+    order = F.struct("doc", "variant", "lo") if unit.within else F.col("doc")
     least = split.groupBy("h1", "h2").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    across = split.join(least, ["h1", "h2"]).where(order > F.col("least")).select("doc", "lo", (F.col("lo") + unit.length).alias("hi"))
-    return copies.unionByName(solved.where("hi >= 0").select("doc", "lo", "hi")).unionByName(across)
+    across = split.join(least, ["h1", "h2"]).where(order > F.col("least")).select("doc", "variant", "lo", (F.col("lo") + unit.length).alias("hi"))
+    return copies.unionByName(solved.where("hi >= 0").select("doc", "variant", "lo", "hi")).unionByName(across)
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -382,8 +509,8 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Documents with the list ``spans`` of what repeats in each; null without any."""
-    packed = spans.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # of one document
-    return docs.join(packed, "doc", "left")
+    packed = spans.groupBy("doc", "variant").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # of one text
+    return docs.join(packed, ["doc", "variant"], "left")
 
 
 def spans_of(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:

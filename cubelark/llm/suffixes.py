@@ -10,8 +10,8 @@ windows that have no copy, and all but the first copy of a run, are told apart b
 ``repeats``); the suffixes of what is left are sorted and neighbours in that order compared.
 
 Defined results: a null text is an empty one; shorter texts lose nothing; of equal texts the one of
-smallest id stays; rows of equal ids count as one document; an empty table gives an empty table;
-other columns are left alone. When texts are cut, no character is split: one that repeats only in
+smallest id stays; rows of equal ids count as one document, their texts one after the other and equal
+ones once; an empty table gives an empty table; other columns are left alone. Keys are integers. When texts are cut, no character is split: one that repeats only in
 part stays.
 """
 
@@ -99,13 +99,9 @@ def earlier(contexts: list[bytes], docs: np.ndarray, starts: np.ndarray, length:
     return [found[a : a + max(0, n - length + 1)] for a, n in zip(at[:-1].tolist(), sizes.tolist(), strict=True)]
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-
-
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc, lo, hi``: bytes of each document covered by strings that also start earlier."""
-    return repeats.repeats(_keyed(docs, key, text), UNIT, earlier)
+    """``doc, variant, lo, hi``: bytes of each document covered by strings that also start earlier."""
+    return repeats.repeats(*repeats.identified(docs, key, text), UNIT, earlier)
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -125,8 +121,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             n, removed, spans, sha = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    keyed = _keyed(docs, key, text)
-    spans = repeats.repeats(keyed, UNIT, earlier)
+    keyed, repeated = repeats.identified(docs, key, text)
+    spans = repeats.repeats(keyed, repeated, UNIT, earlier)
     found = repeats.with_spans(keyed, spans).select("doc", "text", "spans").mapInArrow(run, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return found.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias(key), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -144,7 +140,10 @@ def whole_characters(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """The documents without their repeated strings; those of which nothing is left go."""
+    """The documents without their repeated strings; those of which nothing is left go.
+
+    A null text becomes an empty one and stays; ``n_chars``, null or not, becomes the new length.
+    """
 
     def run(batches):
         for batch in slices(batches, 1 << 20):
@@ -158,8 +157,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n_cha
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(kept, pa.string())], ["row", "text"])
 
     rest = [c for c in docs.columns if c != text]
-    keyed = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.struct(*rest).alias("row"))
-    spans = repeats.repeats(keyed.select("doc", "text"), UNIT, earlier)
+    keyed, repeated = repeats.identified(docs, key, text, F.struct(*rest).alias("row"))
+    spans = repeats.repeats(keyed, repeated, UNIT, earlier)
     found = repeats.with_spans(keyed, spans).select("text", "spans", "row")
     cut = found.mapInArrow(run, f"row {keyed.schema['row'].dataType.simpleString()}, text string").where("text is not null")
     length = F.length("text").cast("bigint")
