@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding that keeps, for every piece, its bytes in the original text.
 
 A text is normalised by the longest prefix that the model's compiled character map knows, which
-records for each normalised byte the source bytes it came from; white space is then escaped and
-the pieces are projected back through that alignment.
+records for each normalised byte the source byte it came from; white space is then escaped and
+the pieces are projected back through that alignment. What a map does not touch is aligned in array
+operations; ids are the library's own.
 
 Pieces never join two words (no piece has a word's end before the escaped space, which is checked
 when the model is loaded), so that words are encoded once and kept in a bounded table per worker.
@@ -60,6 +61,14 @@ class CharMap:
                 found = i + 1 - at, units[node] & 0x7FFFFFFF
         return found
 
+    def starts(self, byte: int) -> bool:
+        """Whether a known prefix begins with this byte."""
+        if not self.units:
+            return False
+        unit = self.units[0]
+        node = (unit >> 10 << ((unit & 512) >> 6)) ^ byte
+        return node < len(self.units) and self.units[node] & 0x800000FF == byte
+
     def replacement(self, start: int) -> bytes:
         return self.strings[start : self.strings.index(b"\0", start)]
 
@@ -81,34 +90,65 @@ class Normalizer:
 
     def __init__(self, charmap: CharMap, prefix: bool, squeeze: bool):
         self.charmap, self.prefix, self.squeeze = charmap, prefix, squeeze
+        #: Bytes that a known prefix can begin with.
+        self.first = np.array([charmap.starts(b) for b in range(256)], bool)
 
-    def identity(self) -> bool:
-        return not self.charmap.units and not self.squeeze
+    def plain(self) -> bool:
+        """Whether a text stays as it is, but for its spaces and a space before it."""
+        return not self.first.any() and not self.squeeze
 
     def __call__(self, text: bytes) -> Normal:
+        data = np.frombuffer(text, np.uint8)
+        if self.plain():
+            return self.spaced(data)
         space = SPACE.encode()
-        out, source, at = bytearray(), [], 0
-        pending = self.prefix
+        out, source = bytearray(), []
+
+        def known(at: int) -> tuple[int, bytes, bool]:
+            """Bytes of the source from a place on, what they become, and whether by the map."""
+            found = self.charmap.longest(text, at) if self.first[text[at]] else None
+            if found:
+                return found[0], self.charmap.replacement(found[1]), True
+            n = code_point_length(text[at])
+            return n, text[at : at + n], False
+
+        def put(byte: int, at: int) -> None:
+            piece = space if byte == 32 else bytes([byte])
+            out.extend(piece)
+            source.extend([at] * len(piece))
+
+        at = 0
+        if self.squeeze:  # spaces before anything else
+            while at < len(text) and (first := known(at))[1] == b" ":
+                at += first[0]
+        if self.prefix and at < len(text):
+            put(32, at)
+        blank = self.squeeze
         while at < len(text):
-            known = self.charmap.longest(text, at)
-            n, new = (known[0], self.charmap.replacement(known[1])) if known else (n := code_point_length(text[at]), text[at : at + n])
-            for i, byte in enumerate(new):
-                if byte == 32 and self.squeeze and (not out or out.endswith(space) or pending and not out):
-                    continue
-                if pending:
-                    out += space
-                    source += [at] * len(space)
-                    pending = False
-                piece = space if byte == 32 else bytes([byte])
-                out += piece
-                source += [at + (i if n == len(new) and not known else 0)] * len(piece)
+            n, new, mapped = known(at)
+            left = len(new) - len(new.lstrip(b" ")) if blank else 0
+            for i in range(left, len(new)):
+                put(new[i], at if mapped else at + i)
+            if left < len(new):
+                blank = self.squeeze and new.endswith(b" ")
             at += n
-        end = at
         if self.squeeze:
             while out.endswith(space):
-                end = source[-1]
+                at = source[-len(space)]
                 del out[-len(space) :], source[-len(space) :]
-        return Normal(bytes(out), np.array([*source, end], np.int64))
+        return Normal(bytes(out), np.array([*source, at], np.int64))
+
+    def spaced(self, data: np.ndarray) -> Normal:
+        """A text in which no prefix is known: its spaces escaped, in array operations."""
+        space = np.frombuffer(SPACE.encode(), np.uint8)
+        wide = np.where(data == 32, len(space), 1)
+        source = np.repeat(np.arange(len(data)), wide)
+        out = data[source]
+        escaped = np.flatnonzero(out == 32).reshape(-1, len(space))
+        out[escaped] = space
+        if self.prefix and len(data):
+            out, source = np.r_[space, out], np.r_[np.zeros(len(space), np.int64), source]
+        return Normal(out.tobytes(), np.r_[source, len(data)])
 
 
 class Encoder:
@@ -125,7 +165,7 @@ class Encoder:
         self.normalizer = Normalizer(CharMap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces)
         pieces = [p.piece for p in proto.pieces]
         self.splits = (
-            self.normalizer.identity()
+            self.normalizer.plain()
             and spec.escape_whitespaces
             and not proto.trainer_spec.treat_whitespace_as_suffix
             and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
@@ -163,17 +203,30 @@ class Encoder:
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
 
-    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids with the start and end, in bytes of the UTF-8 text, of what each stands for."""
-        ids, data = self.ids(text), text.encode()
-        normal = self.normalizer(data)
+    def ends_of(self, text: str, ids: np.ndarray) -> np.ndarray:
+        """Where each piece ends in the normalised text, in bytes."""
         if (ids == self.unknown).any():  # its length isn't fixed: the library says where it ends
-            pieces = self.model.encode(text, out_type="immutable_proto").pieces
-            ends = np.cumsum([len(p.piece.encode()) if p.id == self.unknown else int(self.covers[p.id]) for p in pieces])
-        else:
-            ends = np.cumsum(self.covers[ids])
-        starts = np.r_[0, ends[:-1]].astype(np.int64) if len(ids) else np.zeros(0, np.int64)
-        return ids, normal.source[starts], normal.source[ends] if len(ids) else starts
+            pieces = self.model.encode(text, return_type="proto").pieces
+            return np.cumsum([len(p.piece.encode()) if p.id == self.unknown else int(self.covers[p.id]) for p in pieces])
+        return np.cumsum(self.covers[ids])
+
+    def spans_of(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text, ids with the start and end, in bytes of its UTF-8, of what each stands for."""
+        out = []
+        for text, ids in zip(texts, self.ids_of(texts), strict=True):
+            normal = self.normalizer(text.encode())
+            if not len(ids):
+                out.append((ids, np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                continue
+            ends = self.ends_of(text, ids)
+            if ends[-1] != len(normal.text):
+                raise ValueError("pieces don't cover the normalised text: the model has a rule that isn't known here")
+            places = normal.source[np.r_[0, ends]]
+            out.append((ids, places[:-1], places[1:]))
+        return out
+
+    def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.spans_of([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -190,7 +243,7 @@ def encode_spans(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
 
     def run(batches):
         for batch in slices(batches, 1 << 20):
-            rows = [encoder(model).spans(t or "") for t in batch.column("text").to_pylist()]
+            rows = encoder(model).spans_of([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), *(pa.array([r[i].tolist() for r in rows], pa.list_(pa.int32() if not i else pa.int64())) for i in range(3))],
                 ["key", "ids", "starts", "ends"],
@@ -201,23 +254,28 @@ def encode_spans(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
 
 
 def encode_digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """For each row its key, number of ids and digests of the ids and of the text decoded from them."""
+    """For each row its key, number of ids, digests of the ids and of the text decoded from them, and of the pieces' spans.
+
+    The spans' digest is that of the starts and the last end, as little-endian 64-bit integers.
+    """
 
     def run(batches):
         tool = encoder(model)
         for batch in slices(batches, 1 << 20):
-            rows = tool.ids_of([t or "" for t in batch.column("text").to_pylist()])
-            lists = [r.tolist() for r in rows]
+            rows = tool.spans_of([t or "" for t in batch.column("text").to_pylist()])
+            lists = [ids.tolist() for ids, _, _ in rows]
             decoded = tool.model.decode(lists, num_threads=1) if lists else []
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
-                    pa.array([len(r) for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(str(r)[1:-1].replace(" ", "").encode()).hexdigest() for r in lists]),
+                    pa.array([len(ids) for ids in lists], pa.int64()),
+                    pa.array([hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest() for ids in lists]),
                     pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
+                    pa.array([hashlib.sha256(np.r_[starts, ends[-1:]].astype("<i8").tobytes()).hexdigest() for _, starts, ends in rows]),
                 ],
-                ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
+                ["key", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return found.withColumnRenamed("key", key)

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from cubelark.llm import fingerprints, language, packing, pieces, queries
@@ -88,8 +88,8 @@ def test_pieces_are_the_librarys(text):
         assert ends[-1] == len(data) and (starts[1:] == ends[:-1]).all() and starts[0] == 0
 
 
-def test_compiled_character_map():
-    # a trie for b"a" -> "bc" and b"ab" -> "x": units by hand, label and offset as the format packs them
+def compiled_map():
+    """A trie for b"a" -> "bc" and b"ab" -> "x": units by hand, label and offset as the format packs them."""
     units = np.zeros(1024, np.uint32)
     put = lambda at, label, offset, leaf: units.__setitem__(at, label | leaf << 8 | offset << 10)
     put(0, 0, 256, 0)
@@ -99,21 +99,62 @@ def test_compiled_character_map():
     b = 512 ^ ord("b")
     put(b, ord("b"), b ^ 768, 1)
     units[768] = 1 << 31 | 3
-    blob = (units.nbytes).to_bytes(4, "little") + units.tobytes() + b"bc\0x\0"
-    normal = pieces.Normalizer(pieces.CharMap(blob), prefix=False, squeeze=False)
+    return (units.nbytes).to_bytes(4, "little") + units.tobytes() + b"bc\0x\0"
+
+
+def test_compiled_character_map():
+    normal = pieces.Normalizer(pieces.CharMap(compiled_map()), prefix=False, squeeze=False)
+    assert normal.first[ord("a")] and not normal.first[1:97].any() and not normal.first[98:].any()
     assert normal(b"a.ab").text == b"bc.x"
     assert normal(b"a.ab").source.tolist() == [0, 0, 1, 2, 4]
     squeezed = pieces.Normalizer(pieces.CharMap(b""), prefix=True, squeeze=True)("  x  y ".encode())
     assert squeezed.text.decode() == "▁x▁y"
 
 
+@pytest.fixture(scope="module", params=["plain", "mapped", "mapped, squeezed"])
+def piece_model(request, tmp_path_factory):
+    """The public model, and small ones with a compiled map, unknown characters and squeezed spaces; none is trained."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    if request.param == "plain":
+        return MODEL
+    proto = sentencepiece_model_pb2.ModelProto()
+    for i, piece in enumerate(["<unk>", "▁", "b", "c", "x", "▁x", "bc", "y", ".", "▁b"]):
+        proto.pieces.add(piece=piece, score=-float(i), type=1 if i else 2)
+    proto.normalizer_spec.precompiled_charsmap = compiled_map()
+    proto.normalizer_spec.remove_extra_whitespaces = "squeezed" in request.param
+    path = tmp_path_factory.mktemp("models") / "small.model"
+    path.write_bytes(proto.SerializeToString())
+    return str(path)
+
+
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(text=st.text(alphabet=st.sampled_from(list("ab xc\n\t▁é.中😀'")), max_size=30))
+def test_spans_are_the_librarys(piece_model, text):
+    tool = pieces.encoder(piece_model)
+    ids, starts, ends = tool.spans(text)
+    theirs = tool.model.encode(text, return_type="proto").pieces
+    assert ids.tolist() == [p.id for p in theirs]
+    assert tool.normalizer(text.encode()).text.decode() == tool.model.normalize(text)
+    # the library gives the bytes of a character, or of what a map made of one, to the last of its pieces
+    open_ = 0
+    for i, p in enumerate(theirs):
+        if p.begin < p.end:
+            assert (starts[open_], ends[i]) == (p.begin, p.end)
+            open_ = i + 1
+        elif starts[i] == ends[i]:
+            open_ = i + 1
+
+
 def test_piece_digests(table, odd_rows):
     tool = pieces.encoder(MODEL).model
     found = sorted(pieces.encode_digests(table(odd_rows), MODEL).collect())
     want = []
     for d, t in odd_rows:
         ids = tool.encode(t or "")
-        want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(tool.decode(ids).encode()).hexdigest()))
+        starts = [p.begin for p in tool.encode(t or "", return_type="proto").pieces]
+        spans = np.array([*starts, len((t or "").encode())] if ids else [], "<i8").tobytes()
+        want.append((d, len(ids), *(hashlib.sha256(x).hexdigest() for x in (",".join(map(str, ids)).encode(), tool.decode(ids).encode(), spans))))
     assert [tuple(r) for r in found] == sorted(want)
     assert pieces.encode_spans(table(odd_rows), MODEL).count() == len(odd_rows)
     assert pieces.encode_digests(table([]), MODEL).count() == 0
