@@ -5,6 +5,9 @@ first may be shorter. Pieces then go, longest first, to the sequence that they f
 sequence has residual capacities of tokens, documents and attention cost (the sum of squared piece
 lengths), all of which must hold; among those where a piece fits, ``rule`` "norm" takes the least
 weighted norm of what is left, "dot" the greatest weighted dot product of the piece and what is left.
+A histogram is small enough to be packed by several rules and weights, of which the plan with the fewest
+sequences is taken. With a capacity of tokens alone, as many documents and the square of it as attention
+cost, the other two capacities follow from the first and decide by their weights only.
 
 As pieces of one length are interchangeable, sequences are filled on the histogram of lengths: it
 has one row for each length, however many documents there are, and sequences with the same content
@@ -21,7 +24,7 @@ import base64
 import re
 import zlib
 from array import array
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
 import numpy as np
@@ -99,10 +102,14 @@ class Capacities:
     tokens: int = LENGTH
     documents: int = LENGTH
     attention: int = LENGTH * LENGTH
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 0.25, 0.25)
     rule: str = "norm"
 
 
+#: Rules and weights of which ``fewest`` takes the best; the last is best-fit on tokens alone.
+RULES = (("norm", (1.0, 0.25, 0.25)), ("dot", (1.0, 0.25, 0.25)), ("norm", (1.0, 0.0, 0.0)))
+
+
 @dataclass
 class Plan:
     """Runs of places: pieces of ``length`` numbered from ``number`` on go to sequences from ``sequence`` on, at ``offset``."""
@@ -175,6 +182,12 @@ def best_fit(histogram: dict[int, int], room: Capacities) -> Plan:
     return plan
 
 
+def fewest(histogram: dict[int, int], room: Capacities) -> Plan:
+    """The plan of fewest sequences of ``room``'s own rule and weights and of ``RULES``, under all its capacities; the first of equals."""
+    rules = dict.fromkeys([(room.rule, room.weights), *RULES])
+    return min((best_fit(histogram, replace(room, rule=r, weights=w)) for r, w in rules), key=lambda p: p.sequences)
+
+
 def packed(docs: DataFrame, files: Files, room: Capacities | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every piece with its sequence and the place of its first id there."""
     room = room or Capacities()
@@ -183,7 +196,7 @@ def packed(docs: DataFrame, files: Files, room: Capacities | None = None, key: s
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("key", "piece", "ids_crc32"), F.lit(parts(spark))).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row for each length up to a sequence's
-    plan = best_fit(histogram, room)
+    plan = fewest(histogram, room)
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     within = Window.partitionBy("length", "salt").orderBy("key", "piece", "start", "ids_crc32")
     numbered = salted.withColumn("number", F.row_number().over(within) - 1).join(before, ["length", "salt"]).withColumn("number", F.col("number") + F.col("before"))
