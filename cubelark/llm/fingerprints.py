@@ -4,13 +4,14 @@
 the hash of any span is a difference of two of them, so that spans are compared in constant time
 and longest common extensions are found by binary search.
 
-A fingerprint is the length, the hash of the whole text under two bases, and the ``KEPT`` smallest
-mixed hashes of all its spans of ``SPAN`` code points (of texts of under four spans, the largest power
-of two that a quarter of the text holds). The
-likeness of two fingerprints estimates the share of spans that both texts have: 1 for equal texts,
-about one half where half of a text was replaced, 0 where no span is shared.
-
-Defined results: a null text is an empty one; an empty text is like another empty text (1) and
+A fingerprint is the length, the hash of the whole text under two bases, and sketches: for each length
+of ``SPANS`` of which a text holds four, the smallest mixed hashes of all its spans of that length, ``KEPT``
+of the longest and ``FEWER`` of the others. The likeness of two fingerprints is taken from the longest
+spans that both have sketches of and estimates the share of spans that both texts have: 1 for equal texts,
+about one half where half of a text was replaced, 0 where no span is shared. Every text but the empty one
+has a sketch of single code points, so that any two texts can be compared.
+
+Defined results: keys are integers; a null text is an empty one; an empty text is like another empty text (1) and
 unlike all others (0); the next document of the last one is the first; rows of equal ids follow
 each other by their text; a null id comes before all others; an empty table gives an empty table.
 """
@@ -29,8 +30,8 @@ from cubelark.llm.common import parts
 
 PRIME = np.uint64((1 << 31) - 1)
 BASES = (911_382_323, 972_663_749)
-SPAN = 24
-KEPT = 64
+SPANS = (24, 6, 2, 1)
+KEPT, FEWER = 64, 32
 
 
 def _mod(x: np.ndarray) -> np.ndarray:
@@ -100,42 +101,62 @@ class PrefixHash:
         return low
 
 
-def span_length(n: int) -> int:
-    """Code points of the spans of a text of this length."""
-    return SPAN if n >= 4 * SPAN else 1 << max(1, n // 4).bit_length() - 1
-
-
-def _sketch(hashes: PrefixHash) -> np.ndarray:
-    if not hashes.n:
-        return np.zeros(0, np.uint32)
-    length = span_length(hashes.n)
-    x = hashes.spans(length)
+def _least(x: np.ndarray, length: int, kept: int) -> np.ndarray:
+    """The smallest different mixed hashes of spans of this length."""
     x = (x + np.uint64((0x9E3779B97F4A7C15 + length) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = ((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
-    room = 2 * KEPT  # repeated spans have equal hashes: take more until enough differ
-    while True:
-        least = np.unique(np.partition(x, room)[:room] if room < len(x) else x)
-        if len(least) >= KEPT or room >= len(x):
-            return least[:KEPT].astype(np.uint32)
-        room *= 4
+    x = (((x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)).astype(np.uint32)
+    room = 4 * kept  # repeated spans have equal hashes: take more until enough differ
+    while room < len(x):
+        least = _sorted(np.partition(x, room)[:room])
+        if len(least) >= kept:
+            return least[:kept]
+        room *= 8
+    return _sorted(x)[:kept]
+
+
+def _sorted(x: np.ndarray) -> np.ndarray:
+    """Different values in order."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+def sketches(hashes: PrefixHash) -> list[np.ndarray]:
+    """The sketches of a text, those of the longest spans first."""
+    out = []
+    for length in SPANS:
+        if hashes.n < (4 * length if length > 1 else 1):
+            continue
+        kept = FEWER if out else KEPT
+        if length > 2:
+            spans = hashes.spans(length)
+        elif length == 2:
+            spans = _sorted((hashes.codes[:-1] << np.uint64(21)) | hashes.codes[1:])
+        else:
+            spans = _sorted(hashes.codes)
+        out.append(_least(spans, length, kept))
+    return out
 
 
 def fingerprint(text: str, hashes: PrefixHash | None = None) -> str:
-    """Length, whole hash and sorted sketch in hexadecimal, joined by dashes."""
+    """Length, whole hash and sketches in hexadecimal, joined by dashes and, between sketches, by dots."""
     hashes = hashes or PrefixHash(text)
-    return f"{hashes.n:x}-{hashes.whole():016x}-{_sketch(hashes).astype('>u4').tobytes().hex()}"
+    return f"{hashes.n:x}-{hashes.whole():016x}-{'.'.join(s.astype('>u4').tobytes().hex() for s in sketches(hashes))}"
 
 
 def likeness(a: str, b: str) -> float:
     """How alike two fingerprints are, from 0 to 1."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(f.rpartition("-")[2]), ">u4") for f in (a, b))
-    if not len(x) or not len(y):
+    x, y = (f.rpartition("-")[2].split(".") for f in (a, b))
+    if not x[0] or not y[0]:
         return 0.0
-    union = np.union1d(x, y)[:KEPT]
-    both = np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)
-    shared = both.sum() / len(union)
+    both = min(len(x), len(y))
+    kept = KEPT if len(x) == len(y) else FEWER
+    x, y = (np.frombuffer(bytes.fromhex(s[-both]), ">u4") for s in (x, y))
+    union = np.union1d(x, y)[:kept]
+    shared = (np.isin(union, x, assume_unique=True) & np.isin(union, y, assume_unique=True)).sum() / len(union)
     return float(2 * shared / (1 + shared))
 
 

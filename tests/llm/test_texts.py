@@ -28,13 +28,62 @@ def test_likeness():
     half = fingerprints.fingerprint(text[: len(text) // 2] + "".join(f" v{i}" for i in range(400)))
     other = fingerprints.fingerprint("".join(f" u{i}" for i in range(400)))
     assert 0.25 < fingerprints.likeness(own, half) < 0.8 and fingerprints.likeness(own, other) < 0.1
-    for n in (12, 30, 60, 90):  # short texts too
-        a, b = (fingerprints.fingerprint(text[:n] + t * n) for t in ("#", "="))
-        assert 0.2 < fingerprints.likeness(a, b) < 1
     empty = fingerprints.fingerprint("")
     assert fingerprints.likeness(empty, empty) == 1 and fingerprints.likeness(empty, own) == 0
 
 
+def spans_of(text, n):
+    return {text[i : i + n] for i in range(len(text) - n + 1)}
+
+
+def plain_likeness(a, b):
+    """The share of spans that two texts have both, of the longest spans that four of fit into the shorter text."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    length = next(n for n in (24, 6, 2, 1) if min(len(a), len(b)) >= (4 * n if n > 1 else 1))
+    x, y = spans_of(a, length), spans_of(b, length)
+    shared = len(x & y) / len(x | y)
+    return 2 * shared / (1 + shared)
+
+
+def test_likeness_is_the_share_of_spans(odd_rows):
+    texts = [t or "" for _, t in odd_rows]
+    texts += ["abcdefgh", "abcdefg", "xbcdefgh", "a", "b", "ab"]
+    prints = [fingerprints.fingerprint(t) for t in texts]
+    for a, x in zip(texts, prints, strict=True):
+        for b, y in zip(texts, prints, strict=True):
+            got, want = fingerprints.likeness(x, y), plain_likeness(a, b)
+            # exact where all spans are kept, else an estimate from 32 or 64 of them
+            assert abs(got - want) < (1e-9 if max(len(a), len(b)) <= 32 else 0.3), (a[:50], b[:50])
+
+
+def test_likeness_across_lengths_of_spans():
+    text = " ".join(f"w{i * 37 % 101}" for i in range(60))
+    for n in (2, 8, 24, 32, 64, 96):
+        for cut in (1, n // 8):
+            a, b = text[:n], text[: n - cut]
+            got = fingerprints.likeness(*map(fingerprints.fingerprint, (a, b)))
+            assert got > 0.6 and abs(got - plain_likeness(a, b)) < 0.2
+
+
+def test_sketches_are_the_least_hashes():
+    """Of every length of spans the least mixed hashes, from spans hashed one by one."""
+    text = "".join(chr(97 + i * i % 23) + "é" * (i % 3) for i in range(200))
+    hashes = fingerprints.PrefixHash(text)
+    for length, found in zip(fingerprints.SPANS, fingerprints.sketches(hashes), strict=True):
+        if length > 2:
+            plain = {sum((ord(c) + 1) * pow(fingerprints.BASES[0], i, 2**31 - 1) for i, c in enumerate(s)) % (2**31 - 1) for s in spans_of(text, length)}
+        else:
+            plain = {sum((ord(c) + 1) << 21 * (len(s) - 1 - i) for i, c in enumerate(s)) for s in spans_of(text, length)}
+        mixed = set()
+        for x in plain:
+            x = (x + 0x9E3779B97F4A7C15 + length) * 0xBF58476D1CE4E5B9 % 2**64
+            mixed.add((x ^ x >> 31) * 0x94D049BB133111EB % 2**64 >> 32)
+        assert found.tolist() == sorted(mixed)[: 64 if length == 24 else 32]
+
+
 def test_fingerprints_of_every_row(table, odd_rows):
     found = sorted(fingerprints.fingerprints(table(odd_rows)).collect(), key=lambda r: (r["doc_id"], r["n_chars"]))
     rows = sorted(odd_rows, key=lambda r: (r[0], r[1] or ""))
@@ -44,8 +93,10 @@ def test_fingerprints_of_every_row(table, odd_rows):
         half = len(text) // 2
         assert r["n_chars"] == len(text)
         assert r["edited_sha256"] == hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
-        assert r["fingerprint"] == fingerprints.fingerprint(text)
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        changed = text[: len(text) - half] + following[:half]
+        assert r["fingerprint"] == fingerprints.fingerprint(text) and r["edited_fingerprint"] == fingerprints.fingerprint(changed)
+        for got, other in ((r["near_edited"], changed), (r["near_next"], following)):
+            assert 0 <= got <= 1 and abs(got - plain_likeness(text, other)) < 0.3
     assert fingerprints.fingerprints(table([])).count() == 0
     assert fingerprints.fingerprints(table([(None, "alone")])).first()["near_next"] == 1.0
 
@@ -209,3 +260,37 @@ def test_every_capacity_holds(rule):
         assert all(a + n == b for (a, n), (b, _) in zip(items, items[1:], strict=False))
     with pytest.raises(ValueError):
         packing.best_fit({99: 1}, room)
+
+
+def plain_best_fit(lengths, room):
+    """Best-fit decreasing, piece by piece, on tokens alone, with every capacity."""
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fits = [b for b in bins if sum(b) + n <= room.tokens and len(b) < room.documents and sum(x * x for x in b) + n * n <= room.attention]
+        if fits:
+            max(fits, key=sum).append(n)
+        else:
+            bins.append([n])
+    return bins
+
+
+@pytest.mark.parametrize(("documents", "attention"), [(1024, 1 << 20), (3, 1 << 20), (1024, 1 << 18)])
+def test_no_more_sequences_than_plain_best_fit(documents, attention):
+    room = packing.Capacities(documents=documents, attention=attention)
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        lengths = np.minimum(rng.lognormal(5 - seed % 3, 1, 400).astype(int) + 1, int(attention**0.5)).tolist()
+        histogram = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+        plan = packing.fewest(histogram, room)
+        assert plan.sequences <= len(plain_best_fit(lengths, room)) and plan.sequences >= -(-sum(lengths) // 1024)
+        assert sum(count * length for length, _, count, _, _ in plan.rows) == sum(lengths)
+
+
+def test_other_capacities_decide():
+    """Two sequences with as much room for tokens: the norm takes the one that has less room for documents and attention."""
+    room = packing.Capacities(tokens=100, documents=10, attention=10_000)
+    rows = packing.best_fit({60: 1, 30: 2, 40: 0, 10: 1}, room).rows
+    assert [r[3] for r in sorted(rows, reverse=True)] and {r[0]: r[3] for r in rows}[10] == 0
+    histogram = {50: 2, 26: 1, 24: 1, 25: 0, 12: 1}
+    few, many = (packing.best_fit(histogram, packing.Capacities(tokens=100, documents=d, attention=10_000)) for d in (2, 10))
+    assert few.sequences > many.sequences
