@@ -73,14 +73,15 @@ def test_page_rank_against_power_iteration(spark):
     assert got == pytest.approx({f"h{i:02}": rank[i] for i in range(12) if rank[i] > 0 or f"h{i:02}" in got})
 
 
-def plain_top(rows, k):
-    ok = [(i, np.floor(64 * np.array(v, float))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for i, v in ok:
+def plain_top(rows, k, scale=64):
+    """Sorted results of each row that is a query, in whole numbers."""
+    ok = [(i, [int(np.floor(scale * np.float64(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, (i, v) in enumerate(ok):
         if i % 20 == 0:
-            best = sorted((-int(v @ w), j) for j, w in ok if j != i)[:k]
-            out |= {(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)}
-    return out
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j) for m, (j, w) in enumerate(ok) if m != n and len(v) == len(w))[:k]
+            out += [(i, rank, j, max(-(1 << 63), min((1 << 63) - 1, -s))) for rank, (s, j) in enumerate(best, 1)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize(("dims", "n"), [(3, 70), (64, 900)])
@@ -93,32 +94,44 @@ def test_top_k(spark, dims, n):
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, key int, score int")
     rows = [(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows]
     found = nearest.top_k(df, F.col("vec_id") % 20 == 0)
-    assert {tuple(r) for r in found.collect()} == plain_top(rows, 20)
+    assert sorted(tuple(r) for r in found.collect()) == plain_top(rows, 20)
 
 
 def test_top_k_over_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "QUERY_BLOCK", 16)
-    monkeypatch.setattr(nearest, "CANDIDATE_BLOCK", 64)
+    monkeypatch.setattr(nearest, "QUERY_PACK", 16)
+    monkeypatch.setattr(nearest, "CANDIDATE_PACK", 64)
     monkeypatch.setattr(nearest, "STREAMED", 2)
     rng = np.random.default_rng(9)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1000, 8)).astype(np.float32))]
     found = nearest.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, k=7)
-    assert {tuple(r) for r in found.collect()} == plain_top(rows, 7)
+    assert sorted(tuple(r) for r in found.collect()) == plain_top(rows, 7)
 
 
 def test_each_row_of_a_repeated_query_has_its_results(spark, monkeypatch):
-    monkeypatch.setattr(nearest, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(nearest, "QUERY_PACK", 4)
     rng = np.random.default_rng(3)
     rows = [(i, v.tolist()) for i, v in enumerate(rng.integers(-9, 9, size=(90, 6)))]
     rows += [rows[20]] * 9 + [(40, rows[7][1]), (40, rows[8][1])]
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>")
     found = nearest.top_k(df, F.col("vec_id") % 20 == 0, k=7, scale=1.0)
-    want = []
-    for i, q in rows:
-        if i % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i)[:7]
-            want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
-    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert sorted(tuple(r) for r in found.collect()) == plain_top(rows, 7, 1)
+    twins = [(20, [3.0, 4.0])] * 3 + [(20, [4.0, 4.0]), (1, [0.0, 0.0])]
+    found = nearest.top_k(spark.createDataFrame(twins, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, k=9, scale=1.0)
+    assert sorted(tuple(r) for r in found.collect()) == plain_top(twins, 9, 1)
+
+
+@pytest.mark.parametrize("pack", [1024, 8])
+def test_vectors_of_other_lengths_and_large_components(spark, monkeypatch, pack):
+    monkeypatch.setattr(nearest, "QUERY_PACK", pack)
+    monkeypatch.setattr(nearest, "CANDIDATE_PACK", pack)
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=rng.choice([3, 3, 3, 5, 1, 0])) * rng.choice([1, 1, 1, 3])).tolist()) for i in range(200)]
+    for i, scale in ((7, 1e30), (40, 1e30), (61, -1e9), (80, 2.0**40), (99, 1e12), (120, 1e300), (133, 3e17)):
+        rows[i] = (i, (rng.normal(size=3) * scale).tolist())
+    rows += [(300, [1e30, 0.0, 0.0]), (301, [1e30, 1.0, 0.0]), (320, [1e15, -1e15, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest.top_k(df, F.col("vec_id") % 20 == 0, k=6)
+    assert sorted(tuple(r) for r in found.collect()) == plain_top(rows, 6)
 
 
 def test_few_or_no_candidates(spark):
