@@ -92,13 +92,13 @@ QUERIES = {
 
 def _rounds(name: str, edges: str, seeds: str) -> str:
     """Common table expressions of all rounds of propagation; the last is ``name``."""
-    out = [f"{name}_0 AS (SELECT host, w / (SELECT sum(w) FROM {seeds}) AS rank FROM {seeds})"]
-    for i in range(1, webtrust.ROUNDS + 1):
-        last = name if i == webtrust.ROUNDS else f"{name}_{i}"
-        out.append(f"""{last} AS (SELECT host, sum(rank) AS rank FROM (
+    out = [f"{name}_0 AS MATERIALIZED (SELECT host, w / (SELECT sum(w) FROM {seeds}) AS rank FROM {seeds})"]
+    last = webtrust.rounds()
+    for i in range(1, last + 1):
+        out.append(f"""{name}_{i} AS MATERIALIZED (SELECT host, sum(rank) AS rank FROM (
             SELECT dst AS host, rank * share * {webtrust.DAMPING} AS rank FROM {edges} JOIN {name}_{i - 1} ON src = host
             UNION ALL SELECT host, rank * (1 - {webtrust.DAMPING}) FROM {name}_0) GROUP BY host)""")
-    return ", ".join(out)
+    return ", ".join([*out, f"{name} AS (SELECT host, rank / sum(rank) OVER () AS rank FROM {name}_{last})"])
 
 
 _RULE = "CASE " + " ".join(
@@ -109,7 +109,7 @@ _UPPER, _LOWER = webtrust.UPPER, webtrust.LOWER
 _TAIL = "CASE WHEN contains({0}, '://') THEN substr({0}, position('://' IN {0}) + 3) END"
 _HOST = f"coalesce(translate(regexp_extract({_TAIL}, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '')"
 _PATH = f"coalesce(regexp_extract({_TAIL}, '(?s)^[^/?#]*([^?#]*)', 1), '')"
-_LINK = "(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']?([a-z][a-z0-9+.-]*://[^\"''\\s>]*)"
+_LINK = "(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']?(?:[a-z][a-z0-9+.-]*:)?//([^\"''\\s>/?#]*)"
 
 ORACLE_SQL: dict[str, str] = {
     "op3_suffix_dedup": """
@@ -159,7 +159,7 @@ ORACLE_SQL: dict[str, str] = {
         found AS (SELECT host AS src, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS link FROM v WHERE host <> ''),
         parents AS (SELECT DISTINCT host, regexp_extract(host, '^[^.]+\\.(.+\\..+)$', 1) AS parent FROM v WHERE host <> ''),
         every AS (
-            SELECT src, {_HOST.format('link')} AS dst FROM found
+            SELECT src, translate(link, '{_UPPER}', '{_LOWER}') AS dst FROM found
             UNION ALL SELECT host, parent FROM parents WHERE parent <> '' UNION ALL SELECT parent, host FROM parents WHERE parent <> ''
         ), edges AS (SELECT src, dst, count(*) AS n FROM every WHERE dst <> '' AND src <> dst GROUP BY src, dst),
         ahead AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM edges),

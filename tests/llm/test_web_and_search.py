@@ -57,20 +57,33 @@ def test_trust_and_distrust_reach_other_hosts(pages):
     assert found[2]["trust"] > found[5]["trust"] > 0 and found[3]["distrust"] > 0
 
 
-def test_page_rank_against_power_iteration(spark):
+def test_page_rank_against_linear_algebra(spark):
+    """Converged ranks of two kinds at once; hosts without links give their rank back to the seeds."""
     rng = np.random.default_rng(3)
     weights = (rng.random((12, 12)) < 0.3) * rng.integers(1, 5, (12, 12))
     np.fill_diagonal(weights, 0)
-    edges = [(f"h{i:02}", f"h{j:02}", int(weights[i, j])) for i in range(12) for j in range(12) if weights[i, j]]
-    start = np.zeros(12)
-    start[[0, 4]] = 0.25, 0.75
-    share = weights / np.maximum(weights.sum(axis=1, keepdims=True), 1)
-    rank = start
-    for _ in range(webtrust.ROUNDS):
-        rank = webtrust.DAMPING * rank @ share + (1 - webtrust.DAMPING) * start
-    found = webtrust.propagate(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("h00", 1.0), ("h04", 3.0)], "host string, weight double"))
-    got = {r["host"]: r["rank"] for r in found.collect()}
-    assert got == pytest.approx({f"h{i:02}": rank[i] for i in range(12) if rank[i] > 0 or f"h{i:02}" in got})
+    weights[[2, 7]] = 0  # dangling
+    edges = [(k, f"h{i:02}", f"h{j:02}", int(w[i, j])) for k, w in enumerate((weights, weights.T)) for i in range(12) for j in range(12) if w[i, j]]
+    seeds = [(0, "h00", 1.0), (0, "h04", 3.0), (1, "h07", 2.0)]
+    found = webtrust.propagate(spark.createDataFrame(edges, "kind int, src string, dst string, n long"), spark.createDataFrame(seeds, "kind int, host string, weight double"))
+    got = {(r["kind"], r["host"]): r["rank"] for r in found.collect()}
+    for k, w in enumerate((weights, weights.T)):
+        start = np.zeros(12)
+        for kind, host, weight in seeds:
+            start[int(host[1:])] += weight * (kind == k)
+        start /= start.sum()
+        out = w.sum(axis=1, keepdims=True)
+        share = np.where(out > 0, w / np.maximum(out, 1), start)
+        rank = np.linalg.solve(np.eye(12) - webtrust.DAMPING * share.T, (1 - webtrust.DAMPING) * start)
+        assert [got.get((k, f"h{i:02}"), 0.0) for i in range(12)] == pytest.approx(rank.tolist(), abs=2 * webtrust.TOLERANCE)
+    assert webtrust.propagate(spark.createDataFrame([], "kind int, src string, dst string, n long"), spark.createDataFrame([], "kind int, host string, weight double")).count() == 0
+
+
+def test_links_that_name_a_host(pages):
+    html = "<a href='//Rel.org/x'>1</a> <A HREF=http://abs.org?q>2</a> <a href='/own'>3</a> <a class=x href=\"ftp://f.org#y\">4</a> <a href='mailto:a@b'>5</a>"
+    rows = pages([(1, "http://a.net/", html), (2, "http://a.net/b", None)]).withColumn("host", F.lit("a.net"))
+    found = {(r["src"], r["dst"]): r["n"] for r in webtrust.host_edges(rows).collect()}
+    assert found == {("a.net", "rel.org"): 1, ("a.net", "abs.org"): 1, ("a.net", "f.org"): 1}
 
 
 def plain_top(rows, k, scale=64):
