@@ -1,16 +1,20 @@
 """WARC records and Merkle fixity audits of archives.
 
-Records are written in WARC/1.1 form; an archive is an ordered run of them. The leaf of a record is
-the hash of its offset range and its digest; ``FANOUT`` neighbouring nodes are hashed into one of
-the next level, up to the root. Two replicas are compared from their roots, and only the children
+Records are written in WARC/1.1 form; an archive is an ordered run of them. The leaf of a place is
+the hash of the offset ranges and digests of its records; ``FANOUT`` neighbouring nodes are hashed into
+one of the next level, up to the root. Two replicas are compared from their roots, and only the children
 of nodes that differ are looked at, level by level, down to the corrupt records.
 
-All of it is DataFrame functions. An archive holds the records of a fixed range of numbers, so that
-no group grows with the table.
+All of it is DataFrame functions. Bytes are hashed before any shuffle, records that both replicas have
+and repeated ones are one row, and all that follows is dealt once by archive. An archive holds the records
+of a fixed range of numbers; one of over ``2 * ARCHIVE`` different records (repeated or null ids) is cut
+into parts by digest, so that no group grows with the table.
 
-Defined results: a null payload or url is an empty one; a record that only one replica has is
-``missing`` or ``extra``; records of equal ids are ordered by their bytes; an empty table has no
-archives and gives an empty table; other columns are left alone.
+Defined results: a null payload or url is an empty one; records of a null id are in archives whose number
+is null; records of equal ids are ordered by their bytes; a record that only one replica has is ``missing``
+or ``extra``, or ``corrupt`` where its id has another one instead (in one part); one whose range alone differs
+is ``moved``, all others are ``ok``; an empty table has no archives and gives an empty table; other columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from cubelark.llm.common import written
 ARCHIVE = 4096
 FANOUT = 16
 LEVELS = 3  # FANOUT ** LEVELS covers an archive
+NONE = -(1 << 63)  # the archive of records without id
 
 
 def record(url: Column, payload: Column) -> Column:
@@ -36,57 +41,68 @@ def record(url: Column, payload: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit(b"\r\n\r\n"))
 
 
-def leaves(records: DataFrame, key: str, data: str) -> DataFrame:
-    """``archive, place, key, start, length, digest, node`` of each record, in the order of keys.
+def _counted(ours: DataFrame, theirs: DataFrame, key: str, data: str) -> DataFrame:
+    """Different records ``key, length, digest`` with their number in either replica and their archive."""
 
-    ``records`` needs the key and the record's bytes; bytes are hashed before any shuffle.
-    """
-    hashed = records.select(F.col(key).alias("key"), F.length(data).cast("bigint").alias("length"), F.sha2(F.col(data), 256).alias("digest"))
-    hashed = hashed.withColumn("archive", F.floor(F.coalesce("key", F.lit(-1)) / ARCHIVE).cast("bigint"))
-    order = Window.partitionBy("archive").orderBy("key", "digest")
-    hashed = hashed.withColumn("start", F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("length"))
-    # ranges and places of equal keys differ by the number of records before them
-    hashed = hashed.withColumn("place", F.pmod(F.coalesce("key", F.lit(-1)), F.lit(ARCHIVE)).cast("bigint"))
-    return hashed.withColumn("node", F.sha2(F.concat_ws("|", "start", "length", "digest"), 256))
+    def hashed(records: DataFrame, a: int, b: int) -> DataFrame:
+        return records.select(F.col(key).cast("bigint").alias("key"), F.length(data).cast("bigint").alias("length"), F.sha2(F.col(data), 256).alias("digest"), F.lit(a).alias("ours"), F.lit(b).alias("theirs"))
 
+    both = hashed(ours, 1, 0).unionByName(hashed(theirs, 0, 1))
+    both = both.groupBy("key", "length", "digest").agg(F.sum("ours").alias("ours"), F.sum("theirs").alias("theirs"))
+    return both.withColumn("archive", F.coalesce(F.floor(F.col("key") / ARCHIVE).cast("bigint"), F.lit(NONE)))
 
-def tree(leaf: DataFrame) -> DataFrame:
-    """Nodes ``archive, level, place, node`` of levels 0 (places of records) to ``LEVELS`` (the root)."""
-    ordered = lambda c: F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(c)), lambda x: F.concat_ws(":", x[x_names[0]], x[x_names[1]]))), 256)
-    x_names = ("start", "node")
-    level = leaf.groupBy("archive", "place").agg(ordered(F.struct("start", "node")).alias("node"))
-    out = level.select("archive", F.lit(0).alias("level"), "place", "node")
-    x_names = ("place", "node")
-    for i in range(1, LEVELS + 1):
-        level = level.groupBy("archive", F.floor(F.col("place") / FANOUT).cast("bigint").alias("up")).agg(ordered(F.struct("place", "node")).alias("node"))
-        level = level.withColumnRenamed("up", "place")
-        out = out.unionByName(level.select("archive", F.lit(i).alias("level"), "place", "node"))
-    return out
+
+def leaves(ours: DataFrame, theirs: DataFrame, key: str, data: str) -> DataFrame:
+    """``archive, part, place, key, length, digest, ours, theirs`` of each different record, and where its first copy starts in either."""
+    counted = written(_counted(ours, theirs, key, data), "records")
+    large = counted.groupBy("archive").agg(F.count("*").alias("n")).where(F.col("n") > 2 * ARCHIVE)
+    of_digest = F.xxhash64("digest")
+    parted = counted.join(large, "archive", "left").withColumn("part", F.coalesce(F.pmod(of_digest, F.ceil(F.col("n") / ARCHIVE)), F.lit(0)).cast("int")).drop("n")
+    # a place is a number's own, so that a record that is lost moves no other
+    place = F.pmod(F.coalesce("key", F.xxhash64(F.lit(1), "digest")), F.lit(ARCHIVE)).cast("int")
+    order = Window.partitionBy("archive", "part").orderBy("key", "digest", "length").rowsBetween(Window.unboundedPreceding, 0)
+    start = lambda n: F.sum(F.col("length") * F.col(n)).over(order) - F.col("length") * F.col(n)
+    return parted.repartition("archive", "part").select("*", place.alias("place"), start("ours").alias("start"), start("theirs").alias("their_start"))
+
+
+def trees(leaf: DataFrame) -> list[DataFrame]:
+    """Levels 0 (places of records) to ``LEVELS`` (the root) of both replicas: ``archive, part, place, x, y``."""
+    joined = lambda rows, *fields: F.sha2(F.concat_ws("|", F.transform(F.array_sort(rows), lambda r: F.concat_ws(":", *(r[f] for f in fields)))), 256)
+    ours, theirs = (F.collect_list(F.when(F.col(n) > 0, F.struct(F.col(s).alias("start"), "length", "digest", F.col(n).alias("n")))) for n, s in (("ours", "start"), ("theirs", "their_start")))
+    fields = ("start", "length", "digest", "n")
+    levels = [leaf.groupBy("archive", "part", "place").agg(joined(ours, *fields).alias("x"), joined(theirs, *fields).alias("y"))]
+    for _ in range(LEVELS):
+        up = F.floor(F.col("place") / FANOUT).cast("int").alias("place")
+        nodes = [joined(F.collect_list(F.struct("place", F.col(c).alias("node"))), "place", "node").alias(c) for c in "xy"]
+        levels.append(levels[-1].groupBy("archive", "part", up).agg(*nodes))
+    return levels
+
+
+def differing(levels: list[DataFrame]) -> DataFrame:
+    """``archive, part, places``: the places of an archive that differ, found from the root down."""
+    found = None
+    for level in reversed(levels):
+        if found is not None:
+            level = level.join(found, ["archive", "part"]).where(F.array_contains("places", F.floor(F.col("place") / FANOUT).cast("int")))
+        found = level.where("x <> y").groupBy("archive", "part").agg(F.collect_list("place").alias("places"))
+    return found
 
 
 def audit(ours: DataFrame, theirs: DataFrame, key: str, data: str) -> DataFrame:
-    """Corrupt records of ``theirs`` against ``ours``: ``archive, key, start, length, digest, replica_digest, verdict``.
-
-    Also gives intact records, as verdict ``ok``: those below no differing node.
-    """
-    left, right = written(leaves(ours, key, data), "leaves"), written(leaves(theirs, key, data), "leaves")
-    a, b = written(tree(left), "tree"), written(tree(right), "tree")
-    suspects = None
-    for i in range(LEVELS, -1, -1):
-        x = a.where(F.col("level") == i).select("archive", "place", F.col("node").alias("x"))
-        y = b.where(F.col("level") == i).select("archive", "place", F.col("node").alias("y"))
-        if suspects is not None:
-            # only below what differs
-            x = x.withColumn("up", F.floor(F.col("place") / FANOUT).cast("bigint")).join(suspects, ["archive", "up"], "left_semi").drop("up")
-            y = y.withColumn("up", F.floor(F.col("place") / FANOUT).cast("bigint")).join(suspects, ["archive", "up"], "left_semi").drop("up")
-        differing = x.join(y, ["archive", "place"], "full").where(~F.col("x").eqNullSafe(F.col("y")))
-        suspects = differing.select("archive", F.col("place").alias("up"))
-    bad = suspects.select("archive", F.col("up").alias("place"))
-    turn = Window.partitionBy("archive", "place").orderBy("start")
-    number = lambda df: df.withColumn("turn", F.row_number().over(turn))
-    there = number(right.join(bad, ["archive", "place"], "left_semi")).select("archive", "place", "turn", F.col("key").alias("_key"), F.col("start").alias("_start"), F.col("length").alias("_length"), F.col("digest").alias("replica_digest"))
-    looked = number(left.join(bad, ["archive", "place"], "left_semi")).join(there, ["archive", "place", "turn"], "full")
-    verdict = F.when(F.col("digest").isNull(), "extra").when(F.col("replica_digest").isNull(), "missing").when((F.col("digest") != F.col("replica_digest")) | (F.col("length") != F.col("_length")), "corrupt").otherwise("moved")
-    found = looked.select("archive", F.coalesce("key", "_key").alias(key), F.coalesce("start", "_start").alias("start"), F.coalesce("length", "_length").alias("length"), "digest", "replica_digest", verdict.alias("verdict"))
-    intact = left.join(bad, ["archive", "place"], "left_anti").select("archive", F.col("key").alias(key), "start", "length", "digest", F.col("digest").alias("replica_digest"), F.lit("ok").alias("verdict"))
-    return found.unionByName(intact)
+    """All records of both replicas: ``archive, key, start, length, digest, replica_digest, verdict``."""
+    leaf = leaves(ours, theirs, key, data)
+    looked = leaf.join(differing(trees(leaf)), ["archive", "part"], "left").withColumn("bad", F.coalesce(F.array_contains("places", F.col("place")), F.lit(False)))
+    both = F.least("ours", "theirs")
+    at = lambda first, last, start: F.explode(F.transform(F.sequence(first, last), lambda i: start + i * F.col("length")))
+    same = F.when(~F.col("bad") | (F.col("start") == F.col("their_start")), "ok").otherwise("moved")
+    intact = looked.where("ours > 0 and theirs > 0").select("archive", "key", at(F.lit(0), both - 1, F.col("start")).alias("start"), "length", "digest", F.col("digest").alias("replica_digest"), same.alias("verdict"))
+    # below nodes that differ: what one replica has and the other hasn't, by turns of an id
+    alone = looked.where("bad and ours <> theirs").withColumn("mine", F.col("ours") > F.col("theirs"))
+    start = F.when(F.col("mine"), F.col("start")).otherwise(F.col("their_start"))
+    alone = alone.select("archive", "part", "place", "key", "mine", "length", "digest", at(both, F.greatest("ours", "theirs") - 1, start).alias("start"))
+    turn = F.row_number().over(Window.partitionBy("archive", "part", "place", "key", "mine").orderBy("start", "digest"))
+    paired = alone.withColumn("turn", turn).groupBy("archive", "part", "place", "key", "turn").agg(*(F.max(F.when(F.col("mine") == m, F.struct("start", "length", "digest"))).alias(n) for n, m in (("a", True), ("b", False))))
+    verdict = F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").otherwise("corrupt")
+    found = paired.select("archive", "key", *(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("start", "length")), F.col("a.digest").alias("digest"), F.col("b.digest").alias("replica_digest"), verdict.alias("verdict"))
+    archive = F.when(F.col("archive") != NONE, F.col("archive")).alias("archive")
+    return intact.unionByName(found).select(archive, F.col("key").alias(key), "start", "length", "digest", "replica_digest", "verdict")

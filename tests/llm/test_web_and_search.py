@@ -173,3 +173,32 @@ def test_audit_finds_what_was_damaged(spark):
     same = warc.audit(records(rows), records(rows), "page_id", "record")
     assert {r["verdict"] for r in same.collect()} == {"ok"}
     assert warc.audit(records([]), records([]), "page_id", "record").count() == 0
+
+
+def test_audit_of_null_and_repeated_ids(spark, monkeypatch):
+    """More records of a null and of a repeated id than an archive holds: parts of bounded size, and every record once."""
+    monkeypatch.setattr(warc, "ARCHIVE", 16)
+
+    def records(rows):
+        return spark.createDataFrame(rows, "page_id long, body string").select("page_id", warc.record(F.lit("u"), F.col("body")).alias("record"))
+
+    rows = [(None, f"null {i}") for i in range(150)] + [(7, f"seven {i}") for i in range(90)] + [(7, "same")] * 40 + [(i, "one") for i in range(40)]
+    other = [r for r in rows if r not in ((None, "null 3"), (12, "one"))] + [(7, "same"), (12, "two"), (500, "new")]
+    leaf = warc.leaves(records(rows), records(other), "page_id", "record")
+    assert leaf.groupBy("archive", "part").count().agg(F.max("count")).first()[0] < 3 * 16
+    found = [(r["page_id"], r["verdict"]) for r in warc.audit(records(rows), records(other), "page_id", "record").collect()]
+    assert len(found) == len(rows) + 2
+    odd = sorted(((i, v) for i, v in found if v not in ("ok", "moved")), key=str)
+    assert odd == sorted([(None, "missing"), (7, "extra"), (12, "corrupt"), (500, "extra")], key=str)
+    again = warc.audit(records(rows), records(rows[::-1]), "page_id", "record").collect()
+    assert {r["verdict"] for r in again} == {"ok"} and len(again) == len(rows)
+    for archive in {r["archive"] for r in again if r["archive"] not in (None, 0)}:
+        spans = sorted((r["start"], r["length"]) for r in again if r["archive"] == archive)
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+
+
+def test_audit_is_dealt_once(spark):
+    """One exchange of the counted records by archive is all that the trees and the descent need."""
+    rows = spark.range(3000).select(F.col("id").alias("page_id"), F.col("id").cast("string").cast("binary").alias("record"))
+    plan = warc.audit(rows, rows, "page_id", "record")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") >= 1 and plan.count("ENSURE_REQUIREMENTS") <= 12
