@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -18,34 +19,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or else the context's checkpoint folder.
 
-    Where a session has none (single-machine tests), a temporary folder is set for it once.
+    A single machine that has none (tests) gets a temporary one; a cluster must have one.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_written: list[str] = []
+_written: dict[str, SparkSession] = {}
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing."""
+    """``df`` as a Parquet table in the shared folder: lineage is cut and lost executors cost nothing.
+
+    The table stays until it is dropped, forgotten or the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that ``written`` gave, once nothing reads it any more; other DataFrames are left alone."""
+    path = getattr(df, "_written", None)
+    if path in _written:
+        _delete(path, _written.pop(path))
 
 
 def forget(spark: SparkSession) -> None:
     """Deletes the tables that this driver has written to the shared folder; results that read them are void."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for path in list(_written):
+        _written.pop(path)
+        _delete(path, spark)
+
+
+@atexit.register
+def _forget_at_end() -> None:
+    for path, spark in list(_written.items()):
+        try:
+            _delete(path, spark)
+        except Exception:  # noqa: BLE001, S112: the JVM has gone before
+            return
 
 
 def parts(spark: SparkSession) -> int:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubelark.llm.common import written
+from cubelark.llm.common import dropped, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: smaller neighbours and the node itself go to the smallest
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, edges = edges, written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        dropped(last)
     return edges.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

@@ -2,11 +2,11 @@
 
 The network embeds bytes, applies filters of several widths in one product, takes each filter's
 maximum over a window of fixed length and ends in a softmax. It is trained in numpy, by Adam, on
-windows of a bounded sample of labelled rows (``TRAIN_DOCS`` rows, ``TRAIN_WINDOWS`` windows each);
-a text is predicted from the mean log-probabilities of all its windows, the last one padded.
+windows of a bounded sample of labelled rows: ``TRAIN_DOCS`` rows of each language, fewer where over
+``TRAIN_ROWS`` rows would be taken in all, ``TRAIN_WINDOWS`` windows each; a text is predicted from the mean log-probabilities of all its windows, the last one padded.
 
 Defined results: ``und`` with score 0 for a text that is null or has no letters, or if nothing was
-learned; repeated rows are predicted alike; ties go to the language that sorts first; an empty
+learned; repeated rows are predicted alike and learned once, rows of one id that differ in text or language each, rows without id never; ties go to the language that sorts first; an empty
 table gives an empty table. Language, source and id are never inputs of a prediction.
 """
 
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubelark.llm.common import slices, utf8
@@ -28,10 +28,10 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 10  # of each width
 EMBEDDED = 8
-#: The bound of the training sample: this many rows of each language, and windows of each row.
+#: The bound of the training sample: this many rows of each language, and in all, and windows of each row.
 TRAIN_DOCS = 600
+TRAIN_ROWS = 120_000
 TRAIN_WINDOWS = 4
-TRAIN_LANGUAGES = 200
 EPOCHS = 8
 BATCH = 64
 RATE = 0.01
@@ -126,27 +126,23 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Netw
 
 def sample(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
     """The bounded training sample: for each language the rows of least hash, and pieces spread over their texts."""
-    from pyspark.sql import Window
-
-    rows = docs.where(labelled & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.length(text).alias("n"))
-    few = rows.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(TRAIN_LANGUAGES).select("lang")
+    wanted = labelled & F.col(key).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)
+    rows = docs.where(wanted).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(F.col(key).cast("string")).alias("h"), F.xxhash64(text).alias("th"), F.length(text).alias("n"))
     # least hashes by language: a threshold first, so that no task sorts all rows of a language
-    counts = {r["lang"]: r["c"] for r in rows.groupBy("lang").agg(F.count("*").alias("c")).join(few, "lang").collect()}
-    keep = None
-    for name, c in sorted(counts.items()):
-        share = min(1.0, 2 * TRAIN_DOCS / c)
-        bound = F.lit(min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))
-        rule = (F.col("lang") == name) & (F.col("h") <= bound)
-        keep = rule if keep is None else keep | rule
-    picked = rows.where(keep if keep is not None else F.lit(False))
-    ranked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))).where(F.col("r") <= TRAIN_DOCS).drop("r")
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    found = texts.join(F.broadcast(ranked.dropDuplicates(["key"])), "key").dropDuplicates(["key"])  # TRAIN_DOCS * TRAIN_LANGUAGES short rows at most
+    counts = rows.groupBy("lang").agg(F.count("*").alias("c"))
+    languages = counts.count()
+    most = max(1, min(TRAIN_DOCS, TRAIN_ROWS // max(1, languages)))
+    bound = F.least(F.lit(1.0), F.lit(2.0 * most) / F.col("c")) * 2.0**64 - 2.0**63
+    picked = rows.join(counts, "lang").where(F.col("h").cast("double") <= bound).drop("c").distinct()
+    ranked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "th"))).where(F.col("r") <= most).drop("r")
+    texts = docs.where(wanted).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
+    # TRAIN_ROWS short rows at most are broadcast
+    found = texts.join(F.broadcast(ranked), ["lang", "key", "th"]).dropDuplicates(["lang", "key", "th"])
     pieces = F.transform(
         F.sequence(F.lit(0), F.lit(TRAIN_WINDOWS - 1)),
         lambda i: F.expr("text").substr((F.floor(F.greatest(F.col("n") - WINDOW, F.lit(0)) * i / (TRAIN_WINDOWS - 1)) + 1).cast("int"), F.lit(WINDOW)),
     )
-    return found.select("lang", "h", "key", F.explode(F.array_distinct(pieces)).alias("piece"))
+    return found.select("lang", "h", "key", "th", F.explode(F.array_distinct(pieces)).alias("piece"))
 
 
 def learn(docs: DataFrame, labelled: Column, **names: str) -> Network | None:

@@ -24,7 +24,7 @@ from math import ceil, log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubelark.llm.common import written
+from cubelark.llm.common import dropped, written
 
 DAMPING = 0.85
 #: The most of a rank's total that rounds which are left out could still move.
@@ -85,12 +85,15 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE)
     degrees = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     shares = written(edges.join(degrees, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all") * DAMPING).alias("share")), "shares")
     again = start.select("kind", "host", (F.col("start") * (1 - DAMPING)).alias("rank"))
-    ranks = start.withColumnRenamed("start", "rank")
+    ranks, last = start.withColumnRenamed("start", "rank"), None
     for i in range(1, rounds(tolerance) + 1):
         moved = shares.join(ranks.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
         ranks = moved.unionByName(again).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
         if i % WRITE_EVERY == 0:
             ranks = written(ranks, "ranks")
+            if last is not None:
+                dropped(last)
+            last = ranks
     sums = ranks.groupBy("kind").agg(F.sum("rank").alias("sum"))
     return ranks.join(sums, "kind").select("kind", "host", (F.col("rank") / F.col("sum")).alias("rank"))
 

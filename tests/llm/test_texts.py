@@ -294,3 +294,65 @@ def test_other_capacities_decide():
     histogram = {50: 2, 26: 1, 24: 1, 25: 0, 12: 1}
     few, many = (packing.best_fit(histogram, packing.Capacities(tokens=100, documents=d, attention=10_000)) for d in (2, 10))
     assert few.sequences > many.sequences
+
+
+def plain_network(net, window):
+    """Logits of one window, filter by filter and place by place."""
+    out = net.out_bias.astype(float).copy()
+    per = language.FILTERS
+    for f in range(net.filters.shape[1]):
+        width = language.WIDTHS[f // per]
+        best = -np.inf
+        for i in range(language.WINDOW - language.WIDEST + 1):
+            best = max(best, sum(float(net.embed[window[i + j]] @ net.filters[j * language.EMBEDDED : (j + 1) * language.EMBEDDED, f]) for j in range(width)))
+        out += max(best + float(net.bias[f]), 0.0) * net.out[f]
+    return out
+
+
+def test_network_against_a_plain_convolution():
+    rng = np.random.default_rng(2)
+    windows = rng.integers(0, 256, (5, language.WINDOW)).astype(np.uint8)
+    windows[3, 40:] = 0
+    net = language.train(windows, np.array([0, 1, 2, 0, 1]), ["a", "b", "c"])
+    found = net.log_softmax(windows)
+    for w, row in zip(windows, found, strict=True):
+        z = plain_network(net, w)
+        assert row == pytest.approx(z - z.max() - np.log(np.exp(z - z.max()).sum()), abs=1e-3)
+
+
+def test_gradients_against_differences(monkeypatch):
+    """One step of training moves every weight against the sign of the loss's slope, which differences give."""
+    rng = np.random.default_rng(4)
+    windows, labels = rng.integers(97, 101, (6, language.WINDOW)).astype(np.uint8), np.array([0, 1, 2, 2, 1, 0])
+    monkeypatch.setattr(language, "EPOCHS", 0)
+    before = language.train(windows, labels, ["a", "b", "c"])
+    monkeypatch.setattr(language, "EPOCHS", 1)
+    after = language.train(windows, labels, ["a", "b", "c"])
+    loss = lambda: -float(before.log_softmax(windows).astype(float)[np.arange(6), labels].mean())
+    checked = right = 0
+    for name in ("embed", "filters", "bias", "out", "out_bias"):
+        weights, moved = getattr(before, name), getattr(after, name) - getattr(before, name)
+        places = np.argwhere(np.abs(moved) > 1e-3)  # Adam's first step is as long for every weight with a slope
+        for place in map(tuple, places[rng.permutation(len(places))[:12]]):
+            kept = weights[place]
+            weights[place] = kept + 2e-3
+            up = loss()
+            weights[place] = kept - 2e-3
+            slope = (up - loss()) / 4e-3
+            weights[place] = kept
+            if abs(slope) > 1e-3:
+                checked += 1
+                right += np.sign(slope) == -np.sign(moved[place])
+    assert checked >= 20 and right >= 0.95 * checked
+
+
+def test_training_sample_of_repeated_ids(spark):
+    """Rows of one id are learned each under its own language, whatever the order of the rows."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "alpha beta", "en"), (1, "gamma delta", "de"), (1, "gamma delta", "de"), (1, "epsilon", None), (None, "zeta", "fr"), (2, "", "en")]
+    want = {("en", "alpha beta"), ("de", "gamma delta")}  # rows without id are never learned
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string")
+        found = [(r["lang"], r["piece"]) for r in language.sample(docs, F.lit(True)).collect()]
+        assert len(found) == len(want) and set(found) == want
