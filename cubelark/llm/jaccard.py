@@ -52,7 +52,7 @@ COMMON = 64
 BITS = 48  # of a shingle's hash, where it is counted
 MARK = 1 << 31
 #: Sets, and shingles, of a tile on average.
-TILE, TILE_SHINGLES = 256, 1 << 18
+TILE, TILE_SHINGLES = 128, 1 << 18
 FILTER = 1 << 23  # bits of the filter of documents that take part in verification
 #: Bytes of text for each range of hashes, and the most ranges as a power of two; shingles unpacked at once.
 RANGE, MOST_RANGES, AT_ONCE = 1 << 21, 16, 1 << 24
