@@ -133,6 +133,8 @@ def sample(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "l
     languages = counts.count()
     most = max(1, min(TRAIN_DOCS, TRAIN_ROWS // max(1, languages)))
     bound = F.least(F.lit(1.0), F.lit(2.0 * most) / F.col("c")) * 2.0**64 - 2.0**63
+    # a row for each language; without the hint, all rows would be shuffled by language before its size is known
+    counts = F.broadcast(counts) if languages <= TRAIN_ROWS else counts
     picked = rows.join(counts, "lang").where(F.col("h").cast("double") <= bound).drop("c").distinct()
     ranked = picked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "key", "th"))).where(F.col("r") <= most).drop("r")
     texts = docs.where(wanted).select(F.col(lang).alias("lang"), F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
