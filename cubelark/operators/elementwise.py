@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubelark.cube import Cube, CubeError, merge
 from cubelark.functions.combine import combine, fold, into
 
+#: Means that are broadcast at most.
+FEW = 1_000_000
 #: Kernels of two inputs and the operation of each.
 DUAL = {"min2": "min", "max2": "max", "sum2": "add", "diff2": "sub", "mult2": "mul", "div2": "div"}
 
@@ -53,10 +58,27 @@ def mapped(cube: Cube, function) -> Cube:
 
 
 def anomaly(cube: Cube, axes: str = "t", by: Column | None = None) -> Cube:
-    """Values less their mean over the axes, within each ``by`` if given: one shuffle, no join."""
-    keep = [F.col(a) for a in cube.axes if a not in axes.lower()]
-    window = Window.partitionBy(*keep, *([by] if by is not None else []))
-    return cube.with_values({v: F.col(v) - F.avg(v).over(window) for v in cube.values})
+    """Values less their mean over the axes, within each ``by`` if given.
+
+    Where cells of several axes remain there are many small groups: one shuffle by these, no join. With one
+    axis or none there may be few large groups: the means are aggregated in part before the shuffle, measured,
+    and joined; up to ``FEW`` of them are broadcast.
+    """
+    keep = [a for a in cube.axes if a not in axes.lower()]
+    if len(keep) > 1 or "x" in keep:
+        window = Window.partitionBy(*keep, *([by] if by is not None else []))
+        return cube.with_values({v: F.col(v) - F.avg(v).over(window) for v in cube.values})
+    names = [*keep, *(["_by"] if by is not None else [])]
+    df = cube.df if by is None else cube.df.withColumn("_by", by)
+    means = df.groupBy(*names).agg(*(F.avg(v).alias(f"_mean_{v}") for v in cube.values))
+    if names:
+        means = means.persist()
+        means = F.broadcast(means) if means.limit(FEW + 1).count() <= FEW else means
+        same = [df[n].eqNullSafe(means[n]) for n in names]
+        both = df.join(means, reduce(and_, same)).select(*(df[c] for c in df.columns), *(f"_mean_{v}" for v in cube.values))
+    else:
+        both = df.join(F.broadcast(means))  # one row
+    return Cube(both, cube.axes, cube.values, cube.origin, cube.grid).with_values({v: F.col(v) - F.col(f"_mean_{v}") for v in cube.values})
 
 
 def deviation(cube: Cube, axes: str = "t") -> Cube:

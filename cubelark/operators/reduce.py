@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cubelark.cube import Cube, CubeError
-from cubelark.functions.weights import area_weight, bounds, cosine_weight
+from cubelark.functions.weights import area_weight, cosine_weight
 
 
 def reduced_axes(cube: Cube, axes: str) -> tuple[str, ...]:
@@ -47,6 +47,20 @@ def aggregate(name: str, value: Column, count: str = "cells") -> Column:
     return AGGREGATES[name.lower()](value, F.count("*") if count == "cells" else F.count(value))
 
 
+def cell_edges(cube: Cube, axis: str, low: float | None, high: float | None) -> DataFrame:
+    """The steps of an axis with the edges of their cells, half-way between neighbours and clipped.
+
+    The steps, not the cells, of an axis are sorted in one task.
+    """
+    order = Window.orderBy(axis)
+    before, after, own = F.lag(axis).over(order), F.lead(axis).over(order), F.col(axis)
+    half = lambda other: (own + other) / 2
+    lo = F.coalesce(half(before), own - (half(after) - own), own - 0.5)
+    hi = F.coalesce(half(after), own + (own - half(before)), own + 0.5)
+    clip = lambda c: c if low is None else F.least(F.greatest(c, F.lit(low)), F.lit(high))
+    return cube.own.steps(axis).select(axis, clip(lo).alias(f"{axis}_lo"), clip(hi).alias(f"{axis}_hi"))
+
+
 def weight_column(cube: Cube, weights: str, axes: tuple[str, ...]) -> tuple[Cube, Column | None]:
     """The cube, with what the weights need, and the weights: none, ``cosine`` of latitude, or ``area``."""
     kind = (weights or "").lower()
@@ -60,14 +74,10 @@ def weight_column(cube: Cube, weights: str, axes: tuple[str, ...]) -> tuple[Cube
         df, parts = cube.df, {"y_lo": F.lit(-90.0), "y_hi": F.lit(90.0), "x_lo": F.lit(0.0), "x_hi": F.lit(1.0)}
         for axis, low, high in (("y", -90.0, 90.0), ("x", None, None)):
             if axis in axes:
-                centres = cube.coordinates(axis)
-                lo, hi = bounds(centres, low, high)
-                rows = list(zip(centres.tolist(), lo.tolist(), hi.tolist(), strict=True))
-                kind_ = cube.df.schema[axis].dataType.simpleString()
-                # one row for each step of an axis, bounded by AXIS_LIMIT; Spark broadcasts by its size
-                df = df.join(df.sparkSession.createDataFrame(rows, f"{axis} {kind_}, {axis}_lo double, {axis}_hi double"), axis)
+                # one row for each step of an axis; Spark broadcasts by its size
+                df = df.join(cell_edges(cube, axis, low, high), axis)
                 parts |= {f"{axis}_lo": F.col(f"{axis}_lo"), f"{axis}_hi": F.col(f"{axis}_hi")}
-        return Cube(df, cube.axes, cube.values, cube.origin), area_weight(F.col("y"), parts["y_lo"], parts["y_hi"], parts["x_lo"], parts["x_hi"])
+        return Cube(df, cube.axes, cube.values, cube.origin, cube.grid), area_weight(F.col("y"), parts["y_lo"], parts["y_hi"], parts["x_lo"], parts["x_hi"])
     raise CubeError(f"unknown weights {weights}")
 
 
@@ -88,7 +98,7 @@ def reduce_cube(cube: Cube, name: str, axes: str = "", weights: str = "", count:
         found = [make(F.col(v), weight).alias(v) for v in cube.values]
     else:
         found = [aggregate(name, F.col(v), count).alias(v) for v in cube.values]
-    return Cube(cube.df.groupBy(*keep).agg(*found), keep, cube.values)
+    return Cube(cube.df.groupBy(*keep).agg(*found), keep, cube.values, (), cube.grid)
 
 
 def sum_and_count(cube: Cube, axes: str = "") -> Cube:

@@ -5,27 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cubelark.cube import AXIS_LIMIT, Cube, CubeError
+from cubelark.cube import Cube, CubeError
+
+#: Target times that travel in one row, and rows of them that are broadcast.
+CHUNK, FEW = 1 << 16, 1 << 10
 
 
 def resample(cube: Cube, target: Cube) -> Cube:
     """Values at the target's times: linear between the steps around them, clamped at both ends.
 
-    Each source step, with its successor in the cell, gives the target times in its interval: the
-    target axis is one array, so that no join of times is needed. A missing neighbour gives NULL.
+    The steps of each cell and the target's times are put into one order, in which a time finds the steps
+    before and after it. A missing neighbour gives NULL. Target times travel to the cells in rows of many;
+    that every cell meets every one of them is what resampling gives.
     """
     if "t" not in cube.axes or "t" not in target.axes:
         raise CubeError("resampling needs two time axes")
     cell = [a for a in cube.axes if a != "t"]
-    order = Window.partitionBy(*cell).orderBy("t")
-    steps = cube.df.select(*cube.axes, *cube.values, F.lead("t").over(order).alias("_next"), F.lag("t").over(order).alias("_before"), *(F.lead(v).over(order).alias(f"_{v}") for v in cube.values))
-    times = target.df.agg(F.sort_array(F.collect_set("t")).alias("_times"))  # one row: the steps of an axis
-    axis = times.select(F.when(F.size("_times") <= AXIS_LIMIT, F.col("_times")).otherwise(F.raise_error(F.lit(f"a time axis of over {AXIS_LIMIT} steps"))).alias("_times"))
-    steps = steps.join(F.broadcast(axis))
-    seconds = lambda c: F.unix_micros(c.cast("timestamp"))
-    here = F.filter("_times", lambda x: ((x >= F.col("t")) | F.col("_before").isNull()) & ((x < F.col("_next")) | F.col("_next").isNull()))
-    rows = steps.withColumn("_t", F.explode(here))
-    share = F.when((F.col("_t") <= F.col("t")) | F.col("_next").isNull(), F.lit(0.0)).otherwise((seconds(F.col("_t")) - seconds(F.col("t"))) / (seconds(F.col("_next")) - seconds(F.col("t"))))
-    value = lambda v: F.when(F.col("_w") == 0, F.col(v)).otherwise(F.col(v) * (1 - F.col("_w")) + F.col(f"_{v}") * F.col("_w"))
-    rows = rows.withColumn("_w", share)
-    return Cube(rows.select(F.col("_t").alias("t"), *cell, *(value(v).alias(v) for v in cube.values)), cube.axes, cube.values)
+    times = target.own.steps("t").withColumnRenamed("t", "_t")
+    if cell:
+        count = times.count()
+        chunks = times.groupBy(F.pmod(F.xxhash64("_t"), F.lit(count // CHUNK + 1)).alias("_chunk")).agg(F.collect_list("_t").alias("_times"))
+        chunks = F.broadcast(chunks) if count // CHUNK < FEW else chunks
+        wanted = cube.df.select(*cell).distinct().join(chunks).select(*cell, F.explode("_times").alias("t"))
+    else:  # an axis alone
+        wanted = times.withColumnRenamed("_t", "t")
+    steps = cube.df.select("t", *cell, F.struct("t", *cube.values).alias("_step"))
+    both = steps.unionByName(wanted.withColumn("_step", F.lit(None)))
+    # a step comes before a time that is equal to it
+    order = Window.partitionBy(*cell).orderBy("t", F.col("_step").isNull())
+    before = F.last("_step", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_step", True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    rows = both.withColumn("_a", before).withColumn("_b", after).where("_step is null and (_a is not null or _b is not null)")
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    share = (seconds("t") - seconds("_a.t")) / (seconds("_b.t") - seconds("_a.t"))
+
+    def value(v: str):
+        a, b = F.col(f"_a.{v}"), F.col(f"_b.{v}")
+        ended = F.when(F.col("_a").isNull(), b).otherwise(a)
+        return F.when(F.col("_a").isNull() | F.col("_b").isNull() | (F.col("t") == F.col("_a.t")), ended).otherwise(a * (1 - share) + b * share)
+
+    return Cube(rows.select("t", *cell, *(value(v).alias(v) for v in cube.values)), cube.axes, cube.values)

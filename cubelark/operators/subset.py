@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import UTC, datetime
+from functools import reduce
+from operator import or_
 
 import numpy as np
+from dateutil import parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubelark.cube import Cube, CubeError
+from cubelark.cube import Cube, CubeError, Grid
 from cubelark.functions.calendar import season_months, season_year
 
 #: Beginnings of axis names in requests and the axis that each means.
@@ -45,53 +48,68 @@ class Domain:
 
 
 def moment(value: object) -> np.datetime64:
-    """A time from an ISO date, a partial date, or seconds since 1970."""
+    """A time from an ISO date, a partial date, a date in words with its year, or seconds since 1970."""
     if isinstance(value, int | float):
         return np.datetime64(int(value * 1_000_000), "us")
     text = str(value).strip().rstrip("Z").replace(" ", "T", 1)
     for pattern in (r"\d{4}(-\d{2}(-\d{2})?)?$", r"\d{4}-\d{2}-\d{2}T\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?$"):
         if re.match(pattern, text):
             return np.datetime64(text).astype("datetime64[us]")
-    raise CubeError(f"not a date: {value}")
-
-
-def wrapped(value: float, coordinates: np.ndarray) -> float:
-    """A longitude in the convention of the axis: 0 to 360, or -180 to 180."""
-    if value < 0 and coordinates.min() >= 0:
+    try:
+        found, again = (parser.parse(str(value), default=datetime(year, 1, 1)) for year in (2000, 2004))
+    except (ValueError, OverflowError):
+        raise CubeError(f"not a date: {value}") from None
+    if found.year != again.year:
+        raise CubeError(f"a date without a year: {value}")
+    if found.tzinfo:
+        found = found.astimezone(UTC).replace(tzinfo=None)
+    return np.datetime64(found, "us")
+
+
+def wrapped(value: float, low: float, high: float) -> float:
+    """A longitude in the convention of an axis from ``low`` to ``high``: 0 to 360, or -180 to 180."""
+    if value < 0 and low >= 0:
         return value + 360
-    if value > 180 and coordinates.max() <= 180:
+    if value > 180 and high <= 180:
         return value - 360
     return value
 
 
-def resolve(r: Range, coordinates: np.ndarray) -> tuple[object, object] | None:
-    """First and last coordinate of a range, clipped to the axis; None if nothing of it is there."""
-    n = len(coordinates)
-    if not n:
-        return None
+def resolve(r: Range, grid: Grid) -> list[tuple[object, object]]:
+    """First and last coordinates of a range on a dataset's axis: none, one, or two where longitudes pass the axis' seam."""
     if r.system.startswith("ind"):
-        start, end = int(r.start), min(int(r.end), n - 1)
-        return (coordinates[start], coordinates[end]) if 0 <= start <= end else None
+        found = grid.between(r.axis, int(r.start), int(r.end))
+        return [found] if found else []
     if r.axis == "t":
         lo, hi = moment(r.start), moment(r.end)
-        known = coordinates.astype("datetime64[us]")
-        if lo > known[-1] or hi < known[0] or lo > hi:
-            return None
+        first, last = (np.datetime64(x, "us") if x is not None else None for x in grid.bounds("t"))
+        if first is None or lo > last or hi < first or lo > hi:
+            return []
         # the step that contains a moment begins at or before it
-        first = max(int(np.searchsorted(known, lo, "right")) - 1, 0)
-        return coordinates[first], coordinates[int(np.searchsorted(known, hi, "right")) - 1]
+        step = grid.floor("t", _literal(lo)) if lo > first else None
+        return [(np.datetime64(step, "us") if step is not None else lo, hi)]
     lo, hi = float(r.start), float(r.end)
+    (low, *after), (*before, high) = map(np.ndarray.tolist, grid.ends(r.axis)) if grid.bounds(r.axis)[0] is not None else ([None], [None])
+    if low is None:
+        return []
+    parts = [(min(lo, hi), max(lo, hi))]
     if r.axis == "x":
-        lo, hi = wrapped(lo, coordinates), wrapped(hi, coordinates)
-    if lo > hi:
-        lo, hi = hi, lo
-    half = lambda a, b: abs(float(a) - float(b)) / 2
-    low_edge = coordinates[0] - (half(coordinates[1], coordinates[0]) if n > 1 else 0)
-    high_edge = coordinates[-1] + (half(coordinates[-1], coordinates[-2]) if n > 1 else 0)
-    if lo > high_edge or hi < low_edge:
-        return None
-    nearest = lambda v: int(np.abs(coordinates.astype(float) - v).argmin())
-    return coordinates[nearest(lo)], coordinates[nearest(hi)]
+        lo, hi, whole = wrapped(lo, low, high), wrapped(hi, low, high), abs(hi - lo) >= 360
+        if whole:
+            parts = [(float(low), float(high))]
+        elif lo <= hi:
+            parts = [(lo, hi)]
+        elif float(r.start) <= float(r.end) or float(r.start) - float(r.end) > 180:  # over the seam
+            parts = [(lo, float("inf")), (float("-inf"), hi)]
+        else:
+            parts = [(hi, lo)]
+    low_edge = low - (after[0] - low) / 2 if after else low
+    high_edge = high + (high - before[-1]) / 2 if before else high
+    out = []
+    for a, b in parts:
+        if a <= high_edge and b >= low_edge:
+            out.append(grid.nearest(r.axis, (max(a, low), min(b, high))))
+    return out
 
 
 def _literal(value: object) -> Column:
@@ -101,17 +119,17 @@ def _literal(value: object) -> Column:
 
 
 def cut(cube: Cube, domain: Domain, masks: dict[str, object] | None = None) -> Cube:
-    """The cells of a domain. Ranges become predicates on axis columns, which reach the scan."""
+    """The cells of a domain. Ranges become predicates on axis columns, which reach the scan.
+
+    They are found on the axes of the dataset, whatever else was cut from it: several regions are their
+    intersection, by indices too.
+    """
+    grid = cube.grid or cube.own
     for r in domain.ranges:
         if r.axis not in cube.axes:
             continue
-        if r.axis == "t" and not r.system.startswith("ind") and r.start != r.end:
-            # a range of time needs no axis table: steps between both moments, and none is cut in two
-            lo, hi = moment(r.start), moment(r.end)
-            predicate = F.col("t").between(_literal(lo), _literal(hi))
-        else:
-            found = resolve(r, cube.coordinates(r.axis))
-            predicate = F.col(r.axis).between(_literal(found[0]), _literal(found[1])) if found else F.lit(False)
+        found = resolve(r, grid if r.axis in grid.axes else cube.own)
+        predicate = reduce(or_, [F.col(r.axis).between(_literal(a), _literal(b)) for a, b in found]) if found else F.lit(False)
         cube = cube.where(predicate, ("range", r.axis, str(r.start), str(r.end), r.system))
     if domain.mask:
         name = domain.mask.lstrip("#")
@@ -133,12 +151,14 @@ def inside(y: Column, x: Column, polygon: list[tuple[float, float]]) -> Column:
 
 def masked(cube: Cube, mask: object, name: str) -> Cube:
     """Values outside the mask become missing: a polygon, or a table of the cells (y, x) inside."""
-    if isinstance(mask, DataFrame):
+    if callable(mask):
+        df, ok = cube.df, mask(F.col("y"), F.col("x"))
+    elif isinstance(mask, DataFrame):
         df = cube.df.join(mask.select("y", "x").distinct().withColumn("_in", F.lit(True)), ["y", "x"], "left")
         ok = F.col("_in")
     else:
         df, ok = cube.df, inside(F.col("y"), F.col("x"), list(mask))
-    return Cube(df, cube.axes, cube.values, (*cube.origin, ("mask", name))).with_values({v: F.when(ok, F.col(v)) for v in cube.values})
+    return Cube(df, cube.axes, cube.values, (*cube.origin, ("mask", name)), cube.grid).with_values({v: F.when(ok, F.col(v)) for v in cube.values})
 
 
 def seasons(cube: Cube, names: str, complete_only: bool = False) -> Cube:
@@ -155,7 +175,7 @@ def seasons(cube: Cube, names: str, complete_only: bool = False) -> Cube:
             full = out.df.where(F.month("t").isin(own)).groupBy(year.alias("_year")).agg(F.count_distinct(F.month("t")).alias("n")).where(F.col("n") == len(own)).select("_year")
             rest = out.df.where(~F.month("t").isin(own))
             kept = out.df.where(F.month("t").isin(own)).withColumn("_year", year).join(full, "_year", "left_semi").drop("_year")
-            out = Cube(rest.unionByName(kept), out.axes, out.values, (*out.origin, "whole"))
+            out = Cube(rest.unionByName(kept), out.axes, out.values, (*out.origin, "whole"), out.grid)
     return out
 
 
@@ -184,6 +204,10 @@ def contains(outer: Domain, inner: Domain) -> bool:
         i = own.get(r.axis)
         if i is None or i.system != r.system:
             return False
+        if r.axis == "x" and not r.system.startswith("ind") and (r.start, r.end) != (i.start, i.end):
+            # longitudes turn round: only ranges in the order of the same turn are compared
+            if not 0 <= float(r.start) <= float(r.end) <= 180 or not 0 <= float(i.start) <= float(i.end):
+                return False
         order = (lambda v: moment(v)) if r.axis == "t" and not r.system.startswith("ind") else float
         if order(i.start) < order(r.start) or order(i.end) > order(r.end):
             return False

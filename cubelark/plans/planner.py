@@ -68,7 +68,7 @@ def plan(request: Request, catalog: Catalog) -> Planned:
             key = (v.uri, v.domain, v.name)
             if key not in sources:
                 found = catalog.cube(v.uri, [v.name], request.domains.get(v.domain))
-                sources[key] = Cube(found.df, found.axes, found.values, found.origin)
+                sources[key] = found
             cube = sources[key]
         for d in node.domains:
             cube = subset.cut(cube, request.domains[d], catalog.masks)
@@ -82,7 +82,7 @@ def plan(request: Request, catalog: Catalog) -> Planned:
     def aliased(name: str, cube: Cube) -> Cube:
         """One variable under its alias; a node's under its own name."""
         if len(cube.values) == 1 and name in request.variables and cube.values[0] != name:
-            return Cube(cube.df.withColumnRenamed(cube.values[0], name), cube.axes, (name,), ())
+            return Cube(cube.df.withColumnRenamed(cube.values[0], name), cube.axes, (name,), (), cube.grid)
         return cube
 
     for node in _order(request):
@@ -110,4 +110,4 @@ def shared(named: dict[str, Cube]) -> list[Cube] | None:
     if len(cubes) < 2 or not first.origin or any(c.origin != first.origin or len(c.values) > 1 for c in cubes):
         return None
     df = first.df.select(*first.axes, *(F.col(c.values[0]).alias(x) for x, c in named.items()))
-    return [Cube(df, c.axes, (x,), c.origin) for x, c in named.items()]
+    return [Cube(df, c.axes, (x,), c.origin, c.grid) for x, c in named.items()]

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubelark.cube import Cube, CubeError, valid
+from cubelark.cube import Cube, CubeError, Grid, valid
 from cubelark.operators.subset import Domain, contains, cut
 
 #: Suffixes that are array files.
@@ -51,6 +51,7 @@ class Catalog:
         self.fragments: dict[str, Fragment] = {}
         self.masks: dict[str, object] = {}
         self._frames: dict[str, DataFrame] = {}
+        self._grids: dict[str, Grid] = {}
 
     def register(self, name: str, source: str | DataFrame, axes: dict | None = None, variables=(), missing: float | None = None, title: str = "", file_filter: str = "*.parquet") -> Collection:
         """Adds or replaces a collection; ``variables`` is a list of columns, or maps names to columns.
@@ -76,6 +77,7 @@ class Catalog:
             found = Collection(name, kind, uri, axes, named, missing, title, None, file_filter)
         self.collections[name.lower()] = found
         self._frames.pop(name.lower(), None)
+        self._grids.pop(name.lower(), None)
         return found
 
     def register_many(self, sources: dict[str, str], axes: dict, variables, **more) -> list[Collection]:
@@ -83,8 +85,8 @@ class Catalog:
         return [self.register(n, s, axes, variables, **more) for n, s in sources.items()]
 
     def remove(self, name: str) -> None:
-        self.collections.pop(name.lower(), None)
-        self._frames.pop(name.lower(), None)
+        for held in (self.collections, self._frames, self._grids):
+            held.pop(name.lower(), None)
 
     def collection(self, uri: str) -> Collection:
         """By ``collection:/name``, ``file:/path`` of a registered one, or a bare name."""
@@ -123,6 +125,10 @@ class Catalog:
             self._frames[key] = df.select(*selected)
         return self._frames[key]
 
+    def grid(self, c: Collection) -> Grid:
+        """The axes of a collection; found once, when a region first needs them."""
+        return self._grids.setdefault(c.name.lower(), Grid(self.table(c), [a for a in "tzyx" if a in c.axes]))
+
     def cube(self, uri: str, variables: list[str] | None = None, domain: Domain | None = None) -> Cube:
         """Some or all (``*``) variables of a collection, in a domain; a kept fragment answers if it holds that."""
         if uri.startswith("fragment:"):
@@ -138,8 +144,8 @@ class Catalog:
         held = self._held(c.name, tuple(names), domain)
         letters = tuple(a for a in "tzyx" if a in c.axes)
         whole = held.cube if held else Cube(self.table(c), letters, tuple(c.variables), (c.name,))
-        found = cut(Cube(whole.df, whole.axes, whole.values, whole.origin), domain, self.masks)
-        return Cube(found.df, found.axes, tuple(names), found.origin)
+        found = cut(Cube(whole.df, whole.axes, whole.values, whole.origin, self.grid(c)), domain, self.masks)
+        return Cube(found.df, found.axes, tuple(names), found.origin, found.grid)
 
     def _held(self, name: str, variables: tuple[str, ...], domain: Domain) -> Fragment | None:
         fits = (f for k, f in self.fragments.items() if k.split("|")[1] == name.lower() and set(variables) <= set(f.variables) and contains(f.domain, domain))
@@ -156,7 +162,7 @@ class Catalog:
         key = self.key(self.collection(uri).name, cube.values, domain or Domain(""))
         if key not in self.fragments:
             df = cube.df.select(*cube.axes, *cube.values).persist()
-            self.fragments[key] = Fragment(Cube(df, cube.axes, cube.values, ("fragment", key)), domain or Domain(""), cube.values)
+            self.fragments[key] = Fragment(Cube(df, cube.axes, cube.values, ("fragment", key), cube.grid), domain or Domain(""), cube.values)
         return key
 
     def fragment(self, uri: str) -> Cube:
