@@ -22,6 +22,10 @@ RESULTS = 128
 INLINE_ROWS = 1_000_000
 
 
+def _plain(value: object) -> str:
+    return ",".join(map(str, value)) if isinstance(value, list | tuple) else str(value)
+
+
 class Engine:
     """A catalog, the operations, and the latest results."""
 
@@ -81,7 +85,10 @@ class Engine:
                 raise CubeError("a NetCDF response needs a path")
             return write(cube.df, cube, f"{path.removeprefix('file://').rstrip('/')}/{rid}.nc")
         if response == "object":
-            return cube.ordered().toArrow()
+            found = cube.ordered().limit(INLINE_ROWS + 1).toArrow()
+            if found.num_rows > INLINE_ROWS:
+                raise CubeError(f"over {INLINE_ROWS} rows: ask for a file")
+            return found
         rows = cube.ordered().limit(INLINE_ROWS + 1).collect()
         if len(rows) > INLINE_ROWS:
             raise CubeError(f"over {INLINE_ROWS} rows: ask for a file")
@@ -149,6 +156,29 @@ class Engine:
             return [{"job": j, "status": self.status(j)} for j in self.jobs]
         raise CubeError(f"no list of {kind}")
 
+    def status_document(self, job: str) -> str:
+        """What became of an asynchronous run: its status with references to its results, files' paths, or the error."""
+        state = self.status(job)
+        rows = ""
+        if state == "failed":
+            rows = f"<error>{escape(str(self.jobs[job].exception()))}</error>"
+        elif state == "completed":
+            found = self.jobs[job].result()
+            rows = "".join(f"<output id={quoteattr(r)} href={quoteattr(x if isinstance(x, str) and not x.startswith('<') else self.reference(r))}/>" for r, x in found.items())
+        return f"<status job={quoteattr(job)} state={quoteattr(state)}>{rows}</status>"
+
+    def capabilities_document(self, kind: str = "") -> str:
+        """The list of that kind as XML."""
+        items = "".join(f"<item {' '.join(f'{k}={quoteattr(_plain(v))}' for k, v in row.items())}/>" for row in self.capabilities(kind))
+        return f"<capabilities kind={quoteattr(kind or 'kernels')}>{items}</capabilities>"
+
+    def describe_document(self, name: str) -> str:
+        """What an operation takes and does, as XML."""
+        found = self.describe(name)
+        options = "".join(f"<option>{escape(o)}</option>" for o in found["options"])
+        low, high = found["inputs"]
+        return f"<process name={quoteattr(found['name'])}><abstract>{escape(found['description'])}</abstract><inputs least=\"{low}\" most=\"{high}\"/>{options}</process>"
+
     def describe(self, name: str) -> dict:
         """What an operation takes and does."""
         found = udf.lookup(name)

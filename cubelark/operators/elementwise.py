@@ -70,12 +70,11 @@ def anomaly(cube: Cube, axes: str = "t", by: Column | None = None) -> Cube:
         return cube.with_values({v: F.col(v) - F.avg(v).over(window) for v in cube.values})
     names = [*keep, *(["_by"] if by is not None else [])]
     df = cube.df if by is None else cube.df.withColumn("_by", by)
-    means = df.groupBy(*names).agg(*(F.avg(v).alias(f"_mean_{v}") for v in cube.values))
+    means = df.groupBy(*(F.col(n).alias(f"_of_{n}") for n in names)).agg(*(F.avg(v).alias(f"_mean_{v}") for v in cube.values))
     if names:
         means = means.persist()
         means = F.broadcast(means) if means.limit(FEW + 1).count() <= FEW else means
-        same = [df[n].eqNullSafe(means[n]) for n in names]
-        both = df.join(means, reduce(and_, same)).select(*(df[c] for c in df.columns), *(f"_mean_{v}" for v in cube.values))
+        both = df.join(means, reduce(and_, (F.col(n).eqNullSafe(F.col(f"_of_{n}")) for n in names)))
     else:
         both = df.join(F.broadcast(means))  # one row
     return Cube(both, cube.axes, cube.values, cube.origin, cube.grid).with_values({v: F.col(v) - F.col(f"_mean_{v}") for v in cube.values})

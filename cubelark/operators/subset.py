@@ -150,10 +150,10 @@ def inside(y: Column, x: Column, polygon: list[tuple[float, float]]) -> Column:
 
 
 def masked(cube: Cube, mask: object, name: str) -> Cube:
-    """Values outside the mask become missing: a polygon, or a table of the cells (y, x) inside."""
+    """Values outside the mask become missing: a polygon, a table of the cells (y, x) inside, or a function that gives such a table for a cube."""
     if callable(mask):
-        df, ok = cube.df, mask(F.col("y"), F.col("x"))
-    elif isinstance(mask, DataFrame):
+        mask = mask(cube)
+    if isinstance(mask, DataFrame):
         df = cube.df.join(mask.select("y", "x").distinct().withColumn("_in", F.lit(True)), ["y", "x"], "left")
         ok = F.col("_in")
     else:

@@ -6,6 +6,7 @@ set, partial results of blocks are reduced by a second function. Built-ins never
 
 from __future__ import annotations
 
+import functools
 import importlib
 import pkgutil
 from collections.abc import Callable
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from cubelark.cube import Cube, CubeError
 
-#: Blocks into which the cells of a group are dealt before a custom reduction.
-BLOCKS = 64
+#: Partial results that a task of a custom reduction holds.
+HELD = 50_000
 
 
 @dataclass(frozen=True)
@@ -58,8 +59,8 @@ def lookup(name: str) -> Operation:
 def user_reduction(name: str, map_: Callable[[pd.DataFrame], pd.Series], reduce_: Callable[[pd.Series, pd.Series], pd.Series]) -> Operation:
     """A reduction given by a function of a block of cells (to one number for each value) and one of two results.
 
-    ``reduce_`` must be associative and commutative. Groups are dealt into ``BLOCKS`` blocks, so that
-    no task holds all cells of a group.
+    ``reduce_`` must be associative and commutative. Blocks are mapped and combined where the cells are, before any
+    shuffle; partial results are then combined as a tree, so that no task holds all of a group.
     """
 
     def run(cubes: list[Cube], options: dict) -> Cube:
@@ -67,26 +68,44 @@ def user_reduction(name: str, map_: Callable[[pd.DataFrame], pd.Series], reduce_
 
         (cube,) = cubes
         keep = [a for a in cube.axes if a not in reduced_axes(cube, options.get("axes", ""))]
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cube.df.select(*keep).schema)
-        schema = ", ".join(filter(None, [schema, *(f"{v} double" for v in cube.values)]))
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cube.df.select(*keep).schema)
+        schema = ", ".join(filter(None, [kinds, *(f"{v} double" for v in cube.values)]))
         values = list(cube.values)
 
-        def block(cells: pd.DataFrame) -> pd.DataFrame:
-            out = cells.iloc[:1][keep].reset_index(drop=True)
-            found = map_(cells[values])
-            return out.assign(**{v: [found[v]] for v in values}) if keep else pd.DataFrame({v: [found[v]] for v in values})
-
-        def join(parts: pd.DataFrame) -> pd.DataFrame:
-            total = parts.iloc[0][values]
-            for i in range(1, len(parts)):
-                total = reduce_(total, parts.iloc[i][values])
-            out = parts.iloc[:1][keep].reset_index(drop=True)
-            return out.assign(**{v: [total[v]] for v in values}) if keep else pd.DataFrame({v: [total[v]] for v in values})
-
-        rest = [F.xxhash64(*(F.col(a) for a in cube.axes))] if cube.axes else [F.lit(0)]
-        dealt = cube.df.withColumn("_block", F.pmod(rest[0], F.lit(BLOCKS)))
-        partial = dealt.groupBy(*keep, "_block").applyInPandas(block, schema)
-        return Cube(partial.groupBy(*keep).applyInPandas(join, schema), tuple(keep), cube.values)
+        def combined(held: list[pd.DataFrame]) -> pd.DataFrame:
+            """One row for each group of partial results."""
+            rows = pd.concat(held, ignore_index=True)
+            groups = rows.groupby(keep, dropna=False, sort=False).indices.values() if keep else [range(len(rows))]
+            partial = rows[values]
+            out = [(places[0], functools.reduce(reduce_, (partial.iloc[i] for i in places))) for places in groups]
+            first = rows.iloc[[i for i, _ in out]].reset_index(drop=True)
+            return first[keep].assign(**{v: [float(r[v]) for _, r in out] for v in values}) if keep else pd.DataFrame({v: [float(r[v]) for _, r in out] for v in values})
+
+        def blocks(frames):
+            """Results of blocks, combined as they come: a task gives a row for each of its groups."""
+            held, n = [], 0
+            for cells in frames:
+                if cells.empty:
+                    continue
+                groups = [(cells.iloc[i[:1]][keep], map_(cells.iloc[i][values])) for i in cells.groupby(keep, dropna=False, sort=False).indices.values()] if keep else [(None, map_(cells[values]))]
+                found = pd.DataFrame({v: [r[v] for _, r in groups] for v in values})
+                held.append(pd.concat([pd.concat([k for k, _ in groups], ignore_index=True), found], axis=1) if keep else found)
+                n += len(found)
+                if n > HELD:
+                    held = [combined(held)]
+                    n = len(held[0])
+                    if n > HELD // 2:  # mostly different groups: nothing is won by waiting
+                        yield held[0]
+                        held, n = [], 0
+            if held:
+                yield combined(held)
+
+        partial = cube.df.select(*keep, *values).mapInPandas(blocks, schema)
+        # a tree: groups with many partial results are first combined in parts
+        parts = max(1, int(cube.df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+        dealt = partial.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(max(1, int(parts**0.5)))))
+        once = dealt.groupBy(*keep, "_part").applyInPandas(lambda rows: combined([rows]), schema)
+        return Cube(once.groupBy(*keep).applyInPandas(lambda rows: combined([rows]), schema), tuple(keep), cube.values)
 
     return register(Operation(name, run, description="user reduction", options=("axes",)))
 

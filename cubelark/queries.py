@@ -7,7 +7,10 @@ by vector and position). Derived doubles are rounded in both, as sums depend on
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from xml.etree import ElementTree
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +21,8 @@ from cubelark.cube import Cube
 from cubelark.engine import Engine
 from cubelark.functions.calendar import season_year
 from cubelark.operators import elementwise, reduce, regrid, resample, subset, timebin, udf
-from cubelark.session import ship
+from cubelark.session import shared_folder, ship
+from cubelark.sources import shapes
 
 DIGITS = 5
 #: Added before rounding, so that exact ties, which sums in another order may fall to either side of, don't occur.
@@ -157,8 +161,15 @@ def _difference(e: Engine) -> Cube:
 # Regions ------------------------------------------------------------------------------------
 
 _JANUARY = '{"name":"d0","time":{"start":"2024-01-03","end":"2024-01-12T12:00:00","system":"values"}}'
-request("subset_time", ask('{"name":"cube.subset","input":"value","domain":"d0"}', var("ev", "value"), _JANUARY), "SELECT t, z, x, value FROM ev WHERE t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-12 12:00:00'")
-request("average_in_time", ask('{"name":"cube.average","input":"value","domain":"d0","axes":"tz"}', var("ev", "value"), _JANUARY), f"SELECT x, {r('avg(value)', 'value')} FROM ev WHERE t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-12 12:00:00' GROUP BY x")
+
+
+def _within(lo: str, hi: str, view: str = "ev") -> str:
+    """Steps from the one that contains ``lo`` up to ``hi``; none if the axis ends before ``lo``."""
+    return f"t >= coalesce((SELECT max(t) FROM {view} WHERE t <= TIMESTAMP '{lo}'), TIMESTAMP '{lo}') AND t <= TIMESTAMP '{hi}' AND (SELECT max(t) FROM {view}) >= TIMESTAMP '{lo}'"
+
+
+request("subset_time", ask('{"name":"cube.subset","input":"value","domain":"d0"}', var("ev", "value"), _JANUARY), "SELECT t, z, x, value FROM ev WHERE " + _within("2024-01-03", "2024-01-12 12:00:00"))
+request("average_in_time", ask('{"name":"cube.average","input":"value","domain":"d0","axes":"tz"}', var("ev", "value"), _JANUARY), f"SELECT x, {r('avg(value)', 'value')} FROM ev WHERE {_within('2024-01-03', '2024-01-12 12:00:00')} GROUP BY x")
 _COORDS = "(SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM (SELECT DISTINCT x FROM ev))"
 request("subset_indices", ask('{"name":"cube.subset","input":"value","domain":"d0"}', var("ev", "value"), '{"name":"d0","lon":{"start":3,"end":9,"system":"indices"}}'), f"SELECT t, z, ev.x, value FROM ev JOIN {_COORDS} c ON ev.x = c.x WHERE i BETWEEN 3 AND 9")
 _NEAR = "(SELECT first(y ORDER BY abs(y - {v}), y) FROM (SELECT DISTINCT y FROM li))"
@@ -166,7 +177,7 @@ request("subset_values", ask('{"name":"cube.sum","input":"quantity","domain":"d0
 request("subset_scalar_axis", ask('{"name":"cube.subset","input":"tax","domain":"d0"}', var("li", "tax"), '{"name":"d0","lat":"10"}'), f"SELECT t, round(y, {DIGITS}) AS y, x, tax FROM li WHERE y = {_NEAR.format(v=10)}")
 request("subset_empty", ask('{"name":"cube.subset","input":"tax","domain":"d0"}', var("li", "tax"), '{"name":"d0","lat":{"start":95,"end":99}}'), "SELECT t, y, x, tax FROM li WHERE false")
 _TWO = '{"name":"d0","time":{"start":"1996-01-01","end":"1999-12-31"}},{"name":"d1","time":{"start":"1998-01-01","end":"2000-12-31"}},{"name":"d2","lon":{"start":10,"end":60}}'
-request("domains_intersected", ask('{"name":"cube.max","input":"price","domain":"d0,d1","axes":"ty"}', var("li", "price", "d2"), _TWO), "SELECT x, max(price) AS price FROM li WHERE t BETWEEN TIMESTAMP '1998-01-01' AND TIMESTAMP '1999-12-31' AND x BETWEEN 10 AND 60 GROUP BY x")
+request("domains_intersected", ask('{"name":"cube.max","input":"price","domain":"d0,d1","axes":"ty"}', var("li", "price", "d2"), _TWO), "SELECT x, max(price) AS price FROM li WHERE " + _within("1998-01-01", "2000-12-31", "li") + " AND " + _within("1996-01-01", "1999-12-31", "li") + " AND x BETWEEN 10 AND 60 GROUP BY x")
 request("season_filter", ask('{"name":"cube.average","input":"price","axes":"tx","filter":"DJF"}', var("li", "price")), f"SELECT round(y, {DIGITS}) AS y, {r('avg(price)', 'price')} FROM li WHERE month(t) IN (12, 1, 2) GROUP BY y")
 request("partition", ask('{"name":"cube.partition","input":"price","filter":"JJA,SON"}', var("li", "price")), f"SELECT t, round(y, {DIGITS}) AS y, x, price FROM li WHERE month(t) BETWEEN 6 AND 11")
 request("variable_alias", ask('{"name":"cube.max","input":"p1","axes":"tx"}', var("li", "price:p1")), f"SELECT round(y, {DIGITS}) AS y, max(price) AS p1 FROM li GROUP BY y")
@@ -209,13 +220,218 @@ def _axis(e: Engine) -> DataFrame:
     return e.catalog.axis_table("ev", "x")
 
 
-@query("cached_region", f"SELECT z, {r('max(value)', 'value')} FROM ev WHERE t BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-08' GROUP BY z")
+@query("cached_region", f"SELECT z, {r('max(value)', 'value')} FROM ev WHERE {_within('2024-01-05', '2024-01-08')} GROUP BY z")
 def _cached(e: Engine) -> Cube:
     outer = subset.Domain("o", (subset.Range("t", "2024-01-02", "2024-01-20"),))
     e.catalog.cache("ev", ["value"], outer)
     return reduce.reduce_cube(e.catalog.cube("ev", ["value"], subset.Domain("i", (subset.Range("t", "2024-01-05", "2024-01-08"),))), "max", "tx")
 
 
+# What regions mean: the steps of the dataset's axis, whatever was cut from it before.
+_STEP = "t = (SELECT max(t) FROM ev WHERE t <= TIMESTAMP '2024-01-07 05:00:00')"
+request("subset_time_containing", ask('{"name":"cube.subset","input":"value","domain":"d0"}', var("ev", "value"), '{"name":"d0","time":{"start":"2024-01-07T05:00:00","end":"2024-01-07T05:00:00"}}'), f"SELECT t, z, x, value FROM ev WHERE {_STEP}")
+request("subset_time_words", ask('{"name":"cube.average","input":"value","axes":"tx","domain":"d0"}', var("ev", "value"), '{"name":"d0","time":{"start":"7 January 2024 05:00","end":"Jan 9, 2024"}}'), f"SELECT z, {r('avg(value)', 'value')} FROM ev WHERE {_within('2024-01-07 05:00:00', '2024-01-09')} GROUP BY z")
+_NESTED = '{"name":"d0","lon":{"start":2,"end":6,"system":"indices"}},{"name":"d1","lon":{"start":3,"end":4,"system":"indices"}}'
+request("domains_nested_indices", ask('{"name":"cube.subset","input":"value","domain":"d1"}', var("ev", "value", "d0"), _NESTED), f"SELECT t, z, ev.x, value FROM ev JOIN {_COORDS} c ON ev.x = c.x WHERE i BETWEEN 2 AND 6 AND i BETWEEN 3 AND 4")
+_GLOBE = "SELECT t, CAST(x % 36 * 10 AS DOUBLE) AS x, price FROM li"
+
+
+def _globe(e: Engine) -> None:
+    """A collection on longitudes 0 to 350."""
+    li = e.catalog.collection("li")
+    e.catalog.register("globe", li.frame, {"t": "l_shipdate", "x": (F.col("l_partkey") % 36 * 10).cast("double")}, {"price": "l_extendedprice"})
+
+
+def _on_globe(name: str, start: float, end: float, where: str) -> None:
+    @query(name, f"SELECT x, {r('sum(price)', 'price')} FROM ({_GLOBE}) WHERE {where} GROUP BY x")
+    def run(e: Engine) -> DataFrame:
+        _globe(e)
+        (df,) = e.execute(ask('{"name":"cube.sum","input":"price","axes":"t","domain":"d0"}', var("globe", "price"), f'{{"name":"d0","lon":{{"start":{start},"end":{end}}}}}')).values()
+        return df
+
+
+_on_globe("subset_seam", -40, 40, "x >= 320 OR x <= 40")
+_on_globe("subset_seam_eastward", 300, 20, "x >= 300 OR x <= 20")
+_on_globe("subset_turn", -180, 180, "true")
+
+
+@query("cached_indices", f"SELECT t, z, ev.x, value FROM ev JOIN {_COORDS} c ON ev.x = c.x WHERE i BETWEEN 3 AND 4")
+def _cached_indices(e: Engine) -> Cube:
+    index = lambda a, b: subset.Domain(f"{a}", (subset.Range("x", a, b, "indices"),))
+    e.catalog.cache("ev", ["value"], index(2, 6))
+    return e.catalog.cube("ev", ["value"], index(3, 4))
+
+
+@query("fragment_uri", f"SELECT z, {r('sum(value)', 'value')} FROM ev WHERE x BETWEEN 5 AND 40 GROUP BY z")
+def _fragment(e: Engine) -> DataFrame:
+    key = e.catalog.cache("ev", ["value"], subset.Domain("d", (subset.Range("x", 5, 40),)))
+    (df,) = e.execute(f'[variable=[{{"uri":"fragment:/{key}","name":"value"}}],operation=[{{"name":"cube.sum","input":"value","axes":"tx"}}]]').values()
+    return df
+
+
+def _lons(a: int, b: int) -> subset.Domain:
+    return subset.Domain(f"{a}", (subset.Range("x", a, b),))
+
+
+@query("fragments_combined", f"SELECT z, {r('sum(value)', 'value')}, count(*) AS n FROM ev WHERE x BETWEEN 5 AND 60 GROUP BY z")
+def _combined(e: Engine) -> DataFrame:
+    keys = [e.catalog.cache("ev", ["value"], _lons(*ends)) for ends in ((5, 40), (30, 60))]
+    cube = e.catalog.fragment(e.catalog.combine(*keys))
+    return cube.df.groupBy("z").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+
+
+@query("fragment_section", "SELECT t, z, x, value FROM ev WHERE x BETWEEN 10 AND 20")
+def _section(e: Engine) -> Cube:
+    return e.catalog.fragment(e.catalog.section(e.catalog.cache("ev", ["value"], _lons(5, 40)), _lons(10, 20)))
+
+
+@query("mask_shapefile", f"SELECT {r('sum(CASE WHEN y > -60 AND y < 60 AND (x < 1500 - (y + 60) * 12.5 AND NOT (y > -30 AND y < 0 AND x < 601.5 - (y + 30) * 301.25 / 30) OR x = 360 AND NOT (y > -30 AND y < 0)) THEN price END)', 'price')} FROM li")
+def _shapefile(e: Engine) -> Cube:
+    """The polygon of ``mask_polygon`` with a hole, from a shapefile; 360 is the meridian of 0."""
+    rings = [np.array([(0.0, -60.0), (1500.0, -60.0), (0.0, 60.0)]), np.array([(0.0, -30.0), (601.5, -30.0), (300.25, 0.0), (0.0, 0.0)])]
+    decoded = shapes.decode(shapes.encode(rings))
+    e.catalog.masks["shape"] = lambda cube: shapes.cells(cube, decoded)
+    cube = subset.cut(e.catalog.cube("li", ["price"]), subset.Domain("m", mask="#shape"), e.catalog.masks)
+    return reduce.reduce_cube(cube, "sum", "tyx")
+
+
+# Sources and responses ----------------------------------------------------------------------
+
+_TOTALS = f"SELECT z, {r('sum(value)', 'value')} FROM ev GROUP BY z"
+_SUMS = ask('{"name":"cube.sum","input":"value","axes":"tx","result":"totals"}', var("%s", "value"))
+_EVENT_AXES = {"t": "ts", "z": "event_type", "x": "user_id"}
+
+
+def from_source(name: str, make: Callable[[Engine, str], object]) -> None:
+    """Registers a query whose collection ``source`` is made of files of the tables' folder."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = engine(spark, sf_dir)
+        make(e, sf_dir)
+        (df,) = e.execute(_SUMS % "source").values()
+        return rounded(df)
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"{VIEWS} {_TOTALS}"
+
+
+def _listed(e: Engine, sf_dir: str) -> None:
+    path = f"{shared_folder(e.spark)}/list-{uuid.uuid4().hex}.csv"
+    e.spark.createDataFrame([(f"{sf_dir}/events.parquet",)], "value string").coalesce(1).write.text(path)
+    e.catalog.register("source", path, _EVENT_AXES, ["value"])
+
+
+from_source("source_file", lambda e, d: e.catalog.register("source", f"{d}/events.parquet", _EVENT_AXES, ["value"]))
+from_source("source_directory", lambda e, d: e.catalog.register("source", d, _EVENT_AXES, ["value"], file_filter="events*.parquet"))
+from_source("source_list", _listed)
+from_source("source_command", lambda e, d: e.utility("util.agg", name="source", source=f"{d}/events.parquet", axes=_EVENT_AXES, variables=["value"]))
+from_source("source_commands", lambda e, d: e.utility("util.magg", sources={"source": f"{d}/events.parquet"}, axes=_EVENT_AXES, variables=["value"]))
+
+
+def _netcdf(e: Engine, sf_dir: str) -> None:
+    """Two files of the cube's classic form, one after the other along time."""
+    from cubelark.sources import netcdf
+
+    read = e.spark.read.parquet(f"{sf_dir}/events.parquet")
+    rows = read.groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("t"), (F.col("user_id") % 5).cast("double").alias("x")).agg(F.sum("value").alias("value"))
+    folder = f"{tempfile.mkdtemp()}"
+    for i, part in enumerate(("month(t) % 2 = 0", "month(t) % 2 = 1")):
+        cube = Cube(rows.where(part), ("t", "x"), ("value",))
+        if rows.where(part).head(1):
+            netcdf.write(cube.df, cube, f"{folder}/part{i}.nc")
+    e.catalog.register("source", f"{folder}/*.nc", variables=["value"])
+
+
+def _source_netcdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = engine(spark, sf_dir)
+    _netcdf(e, sf_dir)
+    return rounded(reduce.reduce_cube(e.catalog.cube("source"), "sum", "t").df)
+
+
+QUERIES["source_netcdf"] = _source_netcdf
+ORACLE_SQL["source_netcdf"] = f"{VIEWS} SELECT CAST(x % 5 AS DOUBLE) AS x, {r('sum(value)', 'value')} FROM ev GROUP BY 1"
+
+
+def response(name: str, sql: str, make: Callable[[Engine, str], list | DataFrame]) -> None:
+    """Registers what a response of the totals by type has."""
+
+    @query(name, sql)
+    def run(e: Engine) -> DataFrame:
+        found = make(e, _SUMS % "ev")
+        return found if isinstance(found, DataFrame) else e.spark.createDataFrame(found, "z string, value double")
+
+
+def _in_xml(e: Engine, text: str) -> list:
+    xml = ElementTree.fromstring(e.execute(text, "xml")["totals"])
+    names = [x["z"] for x in e.execute(text, "dict")["totals"]["rows"]]
+    return list(zip(names, map(float, xml.find("data").text.split(",")), strict=True))
+
+
+def _kept(e: Engine, text: str) -> DataFrame:
+    e.execute(text)
+    return e.result(e.reference("totals"))
+
+
+def _in_files(e: Engine, text: str) -> DataFrame:
+    job = e.execute(text, "file", path=f"{shared_folder(e.spark)}/results-{uuid.uuid4().hex}", run_async=True)
+    e.wait(job)
+    href = ElementTree.fromstring(e.status_document(job)).find("output").get("href")
+    return e.spark.read.parquet(href)
+
+
+response("response_dict", _TOTALS, lambda e, text: [(x["z"], x["value"]) for x in e.execute(text, "dict")["totals"]["rows"]])
+response("response_xml", _TOTALS, _in_xml)
+response("response_object", _TOTALS, lambda e, text: [(x["z"], x["value"]) for x in e.execute(text, "object")["totals"].to_pylist()])
+response("response_files_async", _TOTALS, _in_files)
+response("result_reference", _TOTALS, _kept)
+
+
+@query("response_netcdf", f"SELECT CAST(x AS DOUBLE) AS x, {r('max(value)', 'value')} FROM ev WHERE x < 50 GROUP BY x")
+def _as_netcdf(e: Engine) -> DataFrame:
+    from cubelark.sources import netcdf
+
+    text = ask('{"name":"cube.max","input":"value","axes":"tz","result":"top","domain":"d0"}', var("ev", "value"), '{"name":"d0","lon":{"start":0,"end":49}}')
+    path = e.execute(text, "netcdf", path=tempfile.mkdtemp())["top"]
+    return netcdf.scan(e.spark, path, "value").df
+
+
+_LISTED = "('ev', 'value', 'tzx'), ('li', 'quantity', 'tyx'), ('li', 'price', 'tyx'), ('li', 'discount', 'tyx'), ('li', 'tax', 'tyx'), ('od', 'total', 'tyx'), ('em', 'element', 'zx')"
+
+
+@query("list_variables", f"SELECT * FROM (VALUES {_LISTED}) v(collection, name, axes)")
+def _variables_listed(e: Engine) -> DataFrame:
+    items = ElementTree.fromstring(e.capabilities_document("variables")).findall("item")
+    return e.spark.createDataFrame([(i.get("collection"), i.get("name"), i.get("axes")) for i in items], "collection string, name string, axes string")
+
+
+@query("describe_process", "SELECT 'cube.timeBin' AS name, 'axes,period,mod,unit,offset' AS options, 1 AS least, 99 AS most")
+def _described(e: Engine) -> DataFrame:
+    found = ElementTree.fromstring(e.describe_document("cube.timeBin"))
+    inputs = found.find("inputs")
+    return e.spark.createDataFrame([(found.get("name"), ",".join(o.text for o in found.findall("option")), int(inputs.get("least")), int(inputs.get("most")))], "name string, options string, least int, most int")
+
+
+@query("several_products", f"SELECT 'low' AS product, z, {r('min(value)', 'value')} FROM ev GROUP BY z UNION ALL SELECT 'high', z, {r('max(value)', 'value')} FROM ev GROUP BY z")
+def _products(e: Engine) -> DataFrame:
+    found = e.execute(ask('{"name":"cube.min","input":"value","axes":"tx","result":"low"},{"name":"cube.max","input":"value","axes":"tx","result":"high"}', var("ev", "value")))
+    low, high = (found[n].withColumn("product", F.lit(n)) for n in ("low", "high"))
+    return low.unionByName(high)
+
+
+@query("grid_extent", f"SELECT {r('min(y)', 'y_lo')}, {r('max(y)', 'y_hi')}, CAST(min(x) AS DOUBLE) AS x_lo, CAST(max(x) AS DOUBLE) AS x_hi FROM li")
+def _extent(e: Engine) -> DataFrame:
+    found = e.catalog.cube("li", ["price"]).extent()
+    return e.spark.createDataFrame([tuple(map(float, found["y"] + found["x"]))], "y_lo double, y_hi double, x_lo double, x_hi double")
+
+
+@query("matching_grid", f"SELECT t, round(y, {DIGITS}) AS y, CAST(x AS DOUBLE) AS x, price FROM (SELECT max(t) AS t, y, x, {r('max(price)', 'price')} FROM li GROUP BY y, x)")
+def _matching(e: Engine) -> DataFrame:
+    cube = e.catalog.cube("li", ["price"])
+    tops = Cube(cube.df.groupBy("y", "x").agg(F.max("t").alias("t"), F.max("price").alias("price")), ("t", "y", "x"), ("price",))
+    same = regrid.regrid(tops, tops.coordinates("y"), tops.coordinates("x"))
+    return same.df.withColumn("x", F.col("x").cast("double"))
+
+
 # Point-wise ---------------------------------------------------------------------------------
 
 for _kernel, _sql in {"min2": "least(discount, tax)", "max2": "greatest(discount, tax)", "sum2": "discount + tax", "diff2": "discount - tax", "mult2": "discount * tax", "div2": "discount / nullif(tax, 0)"}.items():
@@ -237,7 +453,7 @@ request(
     f"SELECT t, z, x, {r('value - avg(value) OVER (PARTITION BY z, x)', 'value')} FROM ev",
 )
 FLAGSHIP = ask('{"name":"cube.average","input":"value","axes":"tz","id":"m","domain":"d0"},{"name":"cube.diff2","input":"value,m","id":"a","domain":"d0"},{"name":"cube.rms","input":"a","axes":"tz","result":"deviation"}', var("ev", "value"), _JANUARY)
-request("workflow_deviation", FLAGSHIP, f"SELECT x, {r('stddev_samp(value)', 'value')} FROM ev WHERE t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-12 12:00:00' GROUP BY x")
+request("workflow_deviation", FLAGSHIP, f"SELECT x, {r('stddev_samp(value)', 'value')} FROM ev WHERE {_within('2024-01-03', '2024-01-12 12:00:00')} GROUP BY x")
 request("const_kernel", ask('{"name":"cube.const","input":"tax","value":2.5}', var("li", "tax")), f"SELECT t, round(y, {DIGITS}) AS y, x, 2.5::DOUBLE AS tax FROM li")
 request("anomaly_kernel", ask('{"name":"cube.anomaly","input":"element","axes":"z"}', var("em", "element")), f"SELECT z, CAST(x AS INTEGER) AS x, {r('element - avg(element) OVER (PARTITION BY x)', 'element')} FROM em")
 
@@ -275,6 +491,32 @@ def _union(e: Engine) -> DataFrame:
     return both.df.agg(F.count("*").alias("n"), F.sum("quantity").alias("quantity"))
 
 
+@query("difference_from_cycle", f"SELECT t, round(y, {DIGITS}) AS y, x, {r('price - avg(price) OVER (PARTITION BY month(t))', 'price')} FROM li")
+def _from_cycle(e: Engine) -> Cube:
+    cube = e.catalog.cube("li", ["price"])
+    cube = Cube(cube.df.select("t", "y", "x", "price"), cube.axes, ("price",))
+    bins = cube.df.groupBy((F.month("t") - 1).alias("bin")).agg(F.avg("price").alias("price"))
+    return elementwise.by_bin("sub", cube, bins, F.month("t") - 1)
+
+
+@query("overlay_maps", f"SELECT z, {r('max(value)', 'value')}, {r('min(value)', 'low')} FROM ev GROUP BY z")
+def _overlaid(e: Engine) -> Cube:
+    cube = e.catalog.cube("ev")
+    top, low, mean = (reduce.reduce_cube(cube, n, "tx") for n in ("max", "min", "average"))
+    first = Cube(mean.df.join(low.df.withColumnRenamed("value", "low"), "z"), ("z",), ("value", "low"))
+    return elementwise.overlay(first, top)  # of both averages and maxima the latter
+
+
+@query("anomaly_all_axes", f"SELECT t, z, x, {r('value - avg(value) OVER ()', 'value')} FROM ev")
+def _anomaly_all(e: Engine) -> Cube:
+    return elementwise.anomaly(e.catalog.cube("ev"), "tzx")
+
+
+@query("anomaly_by_type", f"SELECT t, z, x, {r('value - avg(value) OVER (PARTITION BY z)', 'value')} FROM ev")
+def _anomaly_type(e: Engine) -> Cube:
+    return elementwise.anomaly(e.catalog.cube("ev"), "tx")
+
+
 # Calendar -----------------------------------------------------------------------------------
 
 _CYCLES = {"hour": "hour(t)", "month": "month(t) - 1", "season": "CAST(floor((month(t) % 12) / 3) AS BIGINT)"}
@@ -377,6 +619,17 @@ def _user_reduction(e: Engine) -> Cube:
     return custom.run([e.catalog.cube("ev")], {"axes": "tx"})
 
 
+@query("resample_cells", f"""
+    , s AS (SELECT z, t, v, lead(t) OVER w AS n, lead(v) OVER w AS nv, lag(t) OVER w AS b FROM (SELECT z, date_trunc('day', t) AS t, avg(value) AS v FROM ev GROUP BY 1, 2) WINDOW w AS (PARTITION BY z ORDER BY t))
+    SELECT g.t, z, {r("CASE WHEN n IS NULL OR g.t <= s.t THEN v ELSE v + (nv - v) * (epoch_us(g.t) - epoch_us(s.t)) / (epoch_us(n) - epoch_us(s.t)) END", 'value')}
+    FROM (SELECT DISTINCT date_trunc('hour', t) AS t FROM ev WHERE x < 20) g JOIN s ON (g.t >= s.t OR b IS NULL) AND (g.t < n OR n IS NULL)""")
+def _resample_cells(e: Engine) -> Cube:
+    cube = e.catalog.cube("ev")
+    daily = Cube(cube.df.groupBy("z", F.date_trunc("day", "t").cast("timestamp_ntz").alias("t")).agg(F.avg("value").alias("value")), ("t", "z"), ("value",))
+    hours = Cube(cube.df.where("x < 20").select(F.date_trunc("hour", "t").cast("timestamp_ntz").alias("t")), ("t",), ())
+    return resample.resample(daily, hours)
+
+
 @query("user_map", f"SELECT t, z, x, {r('value * value + 1', 'value')} FROM ev")
 def _user_map(e: Engine) -> Cube:
     return udf.user_map("user.square", lambda s: s * s + 1).run([e.catalog.cube("ev")], {})
@@ -388,8 +641,6 @@ def _norms(e: Engine) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
-    import uuid
-
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # a table is one file or a folder of them
     stream = streaming.slabs(spark, f"{sf_dir}/events.parquet*", schema)

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cubelark.cube import Cube, CubeError, Grid, valid
-from cubelark.operators.subset import Domain, contains, cut
+from cubelark.operators.subset import Domain, Range, contains, cut, moment
 
 #: Suffixes that are array files.
-ARRAY_FILES = (".nc4", ".nc", ".hdf", ".ncml")
+ARRAY_FILES = (".nc", ".nc4", ".h5", ".hdf", ".ncml")
 
 
 @dataclass(frozen=True)
@@ -35,6 +35,18 @@ class Collection:
     file_filter: str = "*.parquet"
 
 
+def _value(r: Range, value: object):
+    return moment(value) if r.axis == "t" and not r.system.startswith("ind") else float(value)
+
+
+def _start(r: Range):
+    return _value(r, r.start)
+
+
+def _end(r: Range):
+    return _value(r, r.end)
+
+
 @dataclass
 class Fragment:
     cube: Cube
@@ -56,7 +68,7 @@ class Catalog:
     def register(self, name: str, source: str | DataFrame, axes: dict | None = None, variables=(), missing: float | None = None, title: str = "", file_filter: str = "*.parquet") -> Collection:
         """Adds or replaces a collection; ``variables`` is a list of columns, or maps names to columns.
 
-        Of classic NetCDF files (``.nc``) the axes and the missing value are known, and one variable is registered.
+        Of NetCDF files (``.nc``, ``.nc4``, ``.h5``) the axes and the missing value are known, and one variable is registered.
         """
         named = dict(variables) if isinstance(variables, dict) else {v: v for v in variables}
         if isinstance(source, DataFrame):
@@ -65,14 +77,14 @@ class Catalog:
             uri = source.removeprefix("file:") if source.startswith("file:/") else source
             if uri.startswith("http"):
                 raise CubeError(f"{uri}: OPeNDAP needs a network; register a file that was read from it")
-            if uri.endswith(".nc"):
+            if uri.endswith((".nc", ".nc4", ".h5")):
                 from cubelark.sources.netcdf import scan
 
                 (variable,) = named
                 cube = scan(self.spark, uri, variable)
                 return self.register(name, cube.df, {a: a for a in cube.axes}, named, missing, title)
             if uri.endswith(ARRAY_FILES):
-                raise CubeError(f"{uri}: only classic NetCDF (.nc) is read; convert others to long Parquet tables")
+                raise CubeError(f"{uri}: only NetCDF (.nc, .nc4, .h5) is read; convert others to long Parquet tables")
             kind = "csv" if uri.endswith((".csv", ".txt")) else "parquet" if uri.endswith(".parquet") else "directory"
             found = Collection(name, kind, uri, axes, named, missing, title, None, file_filter)
         self.collections[name.lower()] = found
@@ -88,6 +100,13 @@ class Catalog:
         for held in (self.collections, self._frames, self._grids):
             held.pop(name.lower(), None)
 
+    def register_mask(self, name: str, path: str) -> None:
+        """A mask from the polygons of a shapefile: their borders decide cell by cell, once for each place of a grid."""
+        from cubelark.sources import shapes
+
+        rings = shapes.read(self.spark, path)
+        self.masks[name] = lambda cube: shapes.cells(cube, rings)
+
     def collection(self, uri: str) -> Collection:
         """By ``collection:/name``, ``file:/path`` of a registered one, or a bare name."""
         scheme, mark, rest = uri.partition(":")
@@ -159,11 +178,7 @@ class Catalog:
     def cache(self, uri: str, variables: list[str] | None = None, domain: Domain | None = None) -> str:
         """Keeps a region of a collection and returns its key."""
         cube = self.cube(uri, variables, domain)
-        key = self.key(self.collection(uri).name, cube.values, domain or Domain(""))
-        if key not in self.fragments:
-            df = cube.df.select(*cube.axes, *cube.values).persist()
-            self.fragments[key] = Fragment(Cube(df, cube.axes, cube.values, ("fragment", key), cube.grid), domain or Domain(""), cube.values)
-        return key
+        return self._keep(self.collection(uri).name, cube, domain or Domain(""), cube.values)
 
     def fragment(self, uri: str) -> Cube:
         """A kept region by ``fragment:/key``."""
@@ -172,6 +187,48 @@ class Catalog:
             raise CubeError(f"no fragment {key}")
         return self.fragments[key].cube
 
+    def _keep(self, name: str, cube: Cube, domain: Domain, variables: tuple[str, ...]) -> str:
+        key = self.key(name, variables, domain)
+        if key not in self.fragments:
+            df = cube.df.select(*cube.axes, *variables).persist()
+            self.fragments[key] = Fragment(Cube(df, cube.axes, variables, ("fragment", key), cube.grid), domain, variables)
+        return key
+
+    def _kept(self, key: str) -> tuple[str, Fragment]:
+        key = key.removeprefix("fragment:").lstrip("/")
+        if key not in self.fragments:
+            raise CubeError(f"no fragment {key}")
+        return key.split("|")[1], self.fragments[key]
+
+    def section(self, key: str, domain: Domain) -> str:
+        """Keeps a part of a kept region, which must hold it, and returns its key."""
+        name, found = self._kept(key)
+        if not contains(found.domain, domain):
+            raise CubeError(f"fragment {key} doesn't hold that region")
+        return self._keep(name, cut(found.cube, domain, self.masks), domain, found.variables)
+
+    def combine(self, first: str, second: str) -> str:
+        """Keeps the union of two kept regions that differ in the range of one axis and overlap or touch there; returns its key."""
+        (name, a), (other, b) = self._kept(first), self._kept(second)
+        if name != other or a.variables != b.variables or a.domain.mask != b.domain.mask:
+            raise CubeError("only regions of one collection, its variables and mask can be combined")
+        mine, theirs = ({r.axis: r for r in f.domain.ranges} for f in (a, b))
+        differ = [x for x in mine if mine[x] != theirs.get(x)]
+        if set(mine) != set(theirs) or len(differ) > 1:
+            raise CubeError("only regions that differ in the range of one axis can be combined")
+        if not differ:
+            return first
+        low, high = sorted((mine[differ[0]], theirs[differ[0]]), key=_start)
+        touching = int(high.start) <= int(low.end) + 1 if low.system.startswith("ind") else _start(high) <= _end(low)
+        if low.system != high.system or not touching:
+            raise CubeError("regions that don't touch can't be combined")
+        whole = Range(low.axis, low.start, max((low, high), key=_end).end, low.system)
+        domain = Domain("", tuple(whole if r.axis == low.axis else r for r in a.domain.ranges), a.domain.mask)
+        # cells of both are of one collection: those of the second that the first has are left out
+        again = cut(b.cube, a.domain).df
+        rest = b.cube.df.join(again.select(*a.cube.axes).distinct(), list(a.cube.axes), "left_anti")
+        return self._keep(name, Cube(a.cube.df.unionByName(rest), a.cube.axes, a.variables, (), a.cube.grid), domain, a.variables)
+
     def drop(self, key: str | None = None) -> None:
         """Forgets one fragment, or all."""
         for k in [key] if key else list(self.fragments):

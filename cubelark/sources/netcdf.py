@@ -1,11 +1,13 @@
-"""Classic NetCDF files (versions 1 and 2) as long tables, and back.
+"""NetCDF files as long tables, classic ones (versions 1 and 2) also written.
 
 Files are read by Spark's binary source, so that any path that Spark reads will do, and unpacked by numpy
-in one task a file; a file must therefore fit a task (``MOST`` bytes). The header is all that the driver sees.
+in one task a file; a file must therefore fit a task (``MOST`` bytes; the source itself ends at twice that).
+NetCDF-4 files need ``h5py`` on the executors.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import struct
 from dataclasses import dataclass
@@ -19,7 +21,10 @@ from cubelark.cube import Cube, CubeError
 from cubelark.operators.subset import axis_letter
 
 MOST = 1 << 30
-HEADER = 1 << 20
+#: Cells that are put into the long form at once.
+SLAB = 1 << 20
+#: Fixed value: the first bytes of a NetCDF-4 file.
+SIGNATURE = b"\x89HDF"
 #: The format's numbers of types, and of lists in a header.
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8"}
 DIMENSIONS, VARIABLES, ATTRIBUTES = 10, 11, 12
@@ -131,40 +136,82 @@ def seconds(values: np.ndarray, units: str) -> np.ndarray:
     return np.round((values.astype(float) * UNITS[unit] + start) * 1e6).astype(np.int64)
 
 
+class Hdf:
+    """A NetCDF-4 file, through ``h5py``: what ``Header`` has of a classic one."""
+
+    def __init__(self, data: bytes):
+        try:
+            import h5py
+        except ImportError:
+            raise CubeError("NetCDF-4 files need the h5py library") from None
+        self.file = h5py.File(io.BytesIO(data), "r")
+        sizes: dict[str, int] = {}
+        self.variables = {}
+        for name, found in self.file.items():
+            if not hasattr(found, "shape"):
+                continue
+            own = [d[0].name.rsplit("/", 1)[-1] if len(d) else name for d in found.dims] if found.shape else []
+            sizes |= dict(zip(own, found.shape, strict=True))
+            notes = {k: v.decode() if isinstance(v, bytes) else v.item() if getattr(v, "size", 0) == 1 else v for k, v in found.attrs.items()}
+            self.variables[name] = Variable(name, own, notes, found.dtype.str, 0, 0)
+        names = list(sizes)
+        self.dims = list(sizes.items())
+        for v in self.variables.values():
+            v.dims = [names.index(d) for d in v.dims]
+
+    def shape(self, v: Variable) -> tuple[int, ...]:
+        return tuple(self.dims[d][1] for d in v.dims)
+
+    def read(self, data: bytes, name: str) -> np.ndarray:
+        return np.asarray(self.file[name][...])
+
+
+def opened(data: bytes) -> Header | Hdf:
+    """A file of either format, by its first bytes."""
+    return Hdf(data) if data[:4] == SIGNATURE else Header(data)
+
+
 def scan(spark: SparkSession, path: str, variable: str) -> Cube:
     """A variable of all files of a path (a file, a folder, or a pattern), joined along time."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.nc").load(path)
-    first = files.selectExpr(f"substring(content, 1, {HEADER}) AS head").first()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{nc,nc4,h5}").load(path)
+
+    def letters_of(batches):
+        """The axes of the variable, of the first file alone; the header may be of any size."""
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
+                own = opened(content)
+                found = "".join(axes_of(own, own.variables[variable])) if variable in own.variables else None
+                yield pa.RecordBatch.from_arrays([pa.array([found], pa.string())], ["axes"])
+
+    first = files.select("content").limit(1).mapInArrow(letters_of, "axes string").first()
     if first is None:
         raise CubeError(f"{path} has no NetCDF files")
-    header = Header(bytes(first["head"]))
-    if variable not in header.variables:
+    if first["axes"] is None:
         raise CubeError(f"{path} has no variable {variable}")
-    letters = [a for a in "tzyx" if a in axes_of(header, header.variables[variable])]
+    letters = [a for a in "tzyx" if a in first["axes"]]
     kinds = {a: "timestamp_ntz" if a == "t" else "double" for a in letters}
 
     def cells(batches):
         for batch in batches:
             for content, size in zip(batch.column("content").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 if size > MOST:
-                    raise CubeError(f"a NetCDF file of {size} bytes: split it, {MOST} are read at once")
-                own = Header(content)
+                    raise CubeError(f"a NetCDF file of {size} bytes: split it along time, {MOST} are read at once")
+                own = opened(content)
                 v = own.variables[variable]
                 names = axes_of(own, v)
                 values = own.read(content, variable).astype(float).reshape(-1)
                 scale, offset, gap = float(v.attributes.get("scale_factor", 1)), float(v.attributes.get("add_offset", 0)), missing_value(v)
                 hole = np.isnan(values) if gap is None else np.isnan(values) | (values == np.float64(np.dtype(v.kind).type(gap)))
-                grid = np.unravel_index(np.arange(len(values)), own.shape(v))
-                place = {a: grid[i] for i, a in enumerate(names)}
-                columns = []
-                for a in letters:
-                    c = own.read(content, names[a]) if names[a] in own.variables else np.arange(own.shape(v)[list(names).index(a)])
-                    if a == "t":
-                        columns.append(pa.array(seconds(c, str(own.variables[names[a]].attributes.get("units", "seconds since 1970-01-01")))[place[a]], pa.timestamp("us")))
-                    else:
-                        columns.append(pa.array(c.astype(float)[place[a]]))
-                columns.append(pa.array(values * scale + offset, mask=hole))
-                yield pa.RecordBatch.from_arrays(columns, [*letters, variable])
+                coordinates = {}
+                for i, a in enumerate(names):
+                    c = own.read(content, names[a]) if names[a] in own.variables else np.arange(own.shape(v)[i])
+                    coordinates[a] = seconds(c, str(own.variables[names[a]].attributes.get("units", "seconds since 1970-01-01"))) if a == "t" else c.astype(float)
+                for low in range(0, len(values), SLAB):  # the long form of a slab at a time
+                    high = min(low + SLAB, len(values))
+                    grid = dict(zip(names, np.unravel_index(np.arange(low, high), own.shape(v)), strict=True))
+                    columns = [pa.array(coordinates[a][grid[a]], pa.timestamp("us") if a == "t" else pa.float64()) for a in letters]
+                    columns.append(pa.array(values[low:high] * scale + offset, mask=hole[low:high]))
+                    yield pa.RecordBatch.from_arrays(columns, [*letters, variable])
 
     schema = ", ".join([*(f"{a} {kinds[a]}" for a in letters), f"`{variable}` double"])
     df = files.select("content", "length").mapInArrow(cells, schema)
@@ -195,12 +242,13 @@ def encode(axes: dict[str, np.ndarray], values: np.ndarray, name: str, missing:
     return head(begins) + b"".join(a[2].tobytes() for a in arrays)
 
 
-def write(df: DataFrame, cube: Cube, path: str, most: int = 50_000_000) -> str:
+def write(df: DataFrame, cube: Cube, path: str, most: int = 5_000_000) -> str:
     """Writes a small result, of one variable, as a NetCDF file; larger ones belong in Parquet."""
     (name,) = cube.values
-    rows = df.select(*cube.axes, name).limit(most + 1).toPandas()
-    if len(rows) > most:
+    found = df.select(*cube.axes, name).limit(most + 1)
+    if found.count() > most:  # before anything comes to the driver
         raise CubeError(f"over {most} cells: write Parquet instead")
+    rows = found.toPandas()
     axes = {a: np.sort(rows[a].unique()) for a in cube.axes}
     values = np.full([len(v) for v in axes.values()], np.nan)
     values[tuple(np.searchsorted(axes[a], rows[a].to_numpy()) for a in axes)] = rows[name].to_numpy()

@@ -118,7 +118,7 @@ def test_sources(engine, cube, tmp_path):
     assert {c["name"] for c in other.capabilities("collections")} == {"nested", "listed"}
     engine.utility("util.dcol", name="listed")
     assert Engine(engine.spark).catalog.register("f", f"{tmp_path}/deep", axes, ["v"], file_filter="none*").file_filter == "none*"
-    for wrong in ("http://host/x.nc", "/data/x.nc4"):
+    for wrong in ("http://host/x.nc", "/data/x.hdf"):
         with pytest.raises(CubeError):
             engine.catalog.register("w", wrong, axes, ["v"])
 
