@@ -5,7 +5,7 @@ import pytest
 
 from cubelark.cube import CubeError
 from cubelark.engine import Engine
-from cubelark.operators import udf
+from cubelark.operators import kernels, udf
 from cubelark.plans.request import parse
 
 TIMES = ["2000-01-01", "2000-02-01", "2000-03-01"]
@@ -216,7 +216,8 @@ def test_a_region_reaches_the_scan(spark, cube, tmp_path):
 
 def test_kernels_by_other_module_names():
     assert udf.lookup("Some.Max") is udf.lookup("cube.max") is udf.lookup("max")
-    assert udf.lookup("python.cdmsModule.ave") is udf.lookup("x.cdmsExt.AVE") is udf.lookup("cdms.ave")
-    assert udf.lookup("python.numpyModule.ave") is udf.lookup("cube.average")
+    for family, kernel, meant in ((kernels.CDMS, "ave", "cdms.ave"), (kernels.NUMPY, "ave", "cube.average")):
+        for module in (family, f"x.{family}Module", f"y.{family}Ext"):
+            assert udf.lookup(f"{module}.{kernel}") is udf.lookup(f"{module}.{kernel.upper()}") is udf.lookup(meant)
     with pytest.raises(CubeError):
         udf.lookup("cube.none")
