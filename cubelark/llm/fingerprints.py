@@ -12,7 +12,7 @@ about one half where half of a text was replaced, 0 where no span is shared. Eve
 has a sketch of single code points, so that any two texts can be compared.
 
 Defined results: keys are integers; a null text is an empty one; an empty text is like another empty text (1) and
-unlike all others (0); the next document of the last one is the first; rows of equal ids follow
+unlike all others (0); texts of over a slab are hashed slab by slab, with the same result; the next document of the last one is the first; rows of equal ids follow
 each other by their text; a null id comes before all others; an empty table gives an empty table.
 """
 
@@ -30,6 +30,8 @@ from cubelark.llm.common import parts
 
 PRIME = np.uint64((1 << 31) - 1)
 BASES = (911_382_323, 972_663_749)
+#: Code points of a slab: longer texts are worked on slab by slab.
+SLAB = 1 << 20
 SPANS = (24, 6, 2, 1)
 KEPT, FEWER = 64, 32
 
@@ -72,10 +74,10 @@ class PrefixHash:
         np.cumsum(_mod(self.codes * up[: self.n]), out=self.prefix[1:])
         self.prefix = _mod(self.prefix)
 
-    def whole(self) -> int:
-        """The hash of the whole text under both bases."""
-        up, _ = POWERS[1].to(self.n + 1)
-        return int(self.prefix[-1]) << 31 | int(_mod(self.codes * up[: self.n]).sum(dtype=np.uint64) % PRIME)
+    def first(self, n: int) -> tuple[int, int]:
+        """The hashes of the first code points under both bases."""
+        up, _ = POWERS[1].to(n + 1)
+        return int(self.prefix[n]), int(_mod(self.codes[:n] * up[:n]).sum(dtype=np.uint64) % PRIME)
 
     def spans(self, length: int) -> np.ndarray:
         """The hashes of all spans of this length."""
@@ -122,27 +124,49 @@ def _sorted(x: np.ndarray) -> np.ndarray:
     return x[new]
 
 
-def sketches(hashes: PrefixHash) -> list[np.ndarray]:
-    """The sketches of a text, those of the longest spans first."""
+def _part(hashes: PrefixHash, length: int, starts: int) -> np.ndarray:
+    """Different spans of this length that begin at one of the first places, as numbers."""
+    if length > 2:
+        return hashes.spans(length)[:starts]
+    codes = hashes.codes
+    return _sorted((codes[:-1] << np.uint64(21) | codes[1:])[:starts] if length == 2 else codes[:starts])
+
+
+def slabs(text: str):
+    """The text in slabs that overlap by less than a span: the place of each, its hashes, and how many spans begin in it."""
+    for at in range(0, max(1, len(text)), SLAB):
+        yield at, PrefixHash(text[at : at + SLAB + SPANS[0] - 1]), min(SLAB, len(text) - at)
+
+
+def sketches(n: int, hashes: PrefixHash, starts: int) -> list[np.ndarray]:
+    """The sketches that a slab gives to a text of n code points, those of the longest spans first."""
     out = []
     for length in SPANS:
-        if hashes.n < (4 * length if length > 1 else 1):
-            continue
-        kept = FEWER if out else KEPT
-        if length > 2:
-            spans = hashes.spans(length)
-        elif length == 2:
-            spans = _sorted((hashes.codes[:-1] << np.uint64(21)) | hashes.codes[1:])
-        else:
-            spans = _sorted(hashes.codes)
-        out.append(_least(spans, length, kept))
+        if n >= (4 * length if length > 1 else 1):
+            out.append(_least(_part(hashes, length, starts), length, FEWER if out else KEPT))
     return out
 
 
 def fingerprint(text: str, hashes: PrefixHash | None = None) -> str:
     """Length, whole hash and sketches in hexadecimal, joined by dashes and, between sketches, by dots."""
-    hashes = hashes or PrefixHash(text)
-    return f"{hashes.n:x}-{hashes.whole():016x}-{'.'.join(s.astype('>u4').tobytes().hex() for s in sketches(hashes))}"
+    n, whole, found = len(text), [0, 0], None
+    parts = [(0, hashes, n)] if hashes else slabs(text)
+    for at, own, starts in parts:
+        for i, h in enumerate(own.first(starts)):
+            whole[i] = (whole[i] + h * pow(BASES[i], at, int(PRIME))) % int(PRIME)
+        new = sketches(n, own, starts)
+        found = new if found is None else [_sorted(np.concatenate(x))[: KEPT if not i else FEWER] for i, x in enumerate(zip(found, new, strict=True))]
+    return f"{n:x}-{whole[0] << 31 | whole[1]:016x}-{'.'.join(s.astype('>u4').tobytes().hex() for s in found)}"
+
+
+def common_prefix(a: str, b: str) -> int:
+    """Length of the longest common prefix, slab by slab."""
+    for at in range(0, min(len(a), len(b)), SLAB):
+        x, y = PrefixHash(a[at : at + SLAB]), PrefixHash(b[at : at + SLAB])
+        found = x.extension(0, y, 0)
+        if found < SLAB:
+            return at + found
+    return min(len(a), len(b))
 
 
 def likeness(a: str, b: str) -> float:
@@ -214,13 +238,18 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         out: list[tuple] = []
         size, hashes = 0, None
         for key, text, following in pairs(batches):
-            own = hashes[1] if hashes and hashes[0] is text else PrefixHash(text)
-            nxt = PrefixHash(following)
             changed = edited(text, following)
-            other = PrefixHash(changed)
-            a, b, c = fingerprint(text, own), fingerprint(changed, other), fingerprint(following, nxt)
-            hashes = (following, nxt)
-            out.append((key, len(text), hashlib.sha256(changed.encode()).hexdigest(), a, b, likeness(a, b), likeness(a, c), own.extension(0, other, 0)))
+            if max(len(text), len(following)) > SLAB:
+                hashes = None
+                a, b, c = map(fingerprint, (text, changed, following))
+                common = common_prefix(text, changed)
+            else:
+                own, a = hashes[1:] if hashes and hashes[0] is text else (own := PrefixHash(text), fingerprint(text, own))
+                nxt, other = PrefixHash(following), PrefixHash(changed)
+                b, c = fingerprint(changed, other), fingerprint(following, nxt)
+                hashes = following, nxt, c
+                common = own.extension(0, other, 0)
+            out.append((key, len(text), hashlib.sha256(changed.encode()).hexdigest(), a, b, likeness(a, b), likeness(a, c), common))
             size += len(text)
             if size > 1 << 20:
                 yield packed(out)

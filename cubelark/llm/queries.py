@@ -113,19 +113,22 @@ _LINK = "(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']?(?:[a-z][a-z0-9+.-]*:)?//([^\"''\
 
 ORACLE_SQL: dict[str, str] = {
     "op3_suffix_dedup": """
-        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        b AS (SELECT doc_id, unnest(range(strlen(h) // 2)) AS i, h FROM d),
-        w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM b WHERE 2 * i + 200 <= strlen(h)),
-        f AS (SELECT s, min(doc_id * 4294967296 + i) AS first FROM w GROUP BY s),
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
+        b AS (SELECT doc_id, unnest(range(octet_length(h))) AS i, h FROM d),
+        w AS (SELECT doc_id, i, md5_number(h[i + 1:i + 100]) AS s FROM b WHERE i + 100 <= octet_length(h)),
+        f AS (SELECT s, min(doc_id * 4294967296 + i) AS first FROM w GROUP BY s HAVING count(*) > 1),
         r AS (SELECT doc_id, i FROM w JOIN f ON w.s = f.s WHERE doc_id * 4294967296 + i > first),
-        g AS (
-            SELECT b.doc_id, b.i, substr(h, 2 * b.i + 1, 2) AS x,
-                coalesce(bool_or(r.i IS NOT NULL) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), false) AS gone
-            FROM b LEFT JOIN r ON b.doc_id = r.doc_id AND b.i = r.i
-        ), e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM g),
-        a AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM e GROUP BY doc_id)
-        SELECT d.doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
-        FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+        e AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM r),
+        n AS (SELECT doc_id, i, sum(CASE WHEN before >= i - 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM e),
+        spans AS (SELECT doc_id, span, min(i) AS lo, max(i) + 100 AS hi FROM n GROUP BY doc_id, span),
+        gaps AS (
+            SELECT doc_id, lo AS hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS lo FROM spans
+            UNION ALL SELECT doc_id, octet_length(any_value(h)), coalesce(max(hi), 0) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+        ),
+        kept AS (SELECT doc_id, sha256(unhex(coalesce(string_agg(hex(h[lo + 1:gaps.hi]), '' ORDER BY lo), ''))) AS kept_sha256 FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+        a AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+        SELECT d.doc_id, CAST(octet_length(h) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN a ON d.doc_id = a.doc_id
     """,
     "op5_automaton_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -68,11 +68,22 @@ def test_likeness_across_lengths_of_spans():
             assert got > 0.6 and abs(got - plain_likeness(a, b)) < 0.2
 
 
+def test_long_texts_are_hashed_in_slabs(monkeypatch):
+    texts = ["".join(chr(97 + (i * i + i // 7) % 26) for i in range(n)) for n in (1000, 1001, 999, 500, 250, 257)]
+    texts.append(texts[0][:700] + "é" + texts[0][701:])
+    whole = [fingerprints.fingerprint(t) for t in texts]
+    monkeypatch.setattr(fingerprints, "SLAB", 250)
+    assert [fingerprints.fingerprint(t) for t in texts] == whole
+    for b in texts:
+        n = next((i for i, (x, y) in enumerate(zip(texts[0], b, strict=False)) if x != y), min(len(texts[0]), len(b)))
+        assert fingerprints.common_prefix(texts[0], b) == n
+
+
 def test_sketches_are_the_least_hashes():
     """Of every length of spans the least mixed hashes, from spans hashed one by one."""
     text = "".join(chr(97 + i * i % 23) + "é" * (i % 3) for i in range(200))
     hashes = fingerprints.PrefixHash(text)
-    for length, found in zip(fingerprints.SPANS, fingerprints.sketches(hashes), strict=True):
+    for length, found in zip(fingerprints.SPANS, fingerprints.sketches(len(text), hashes, len(text)), strict=True):
         if length > 2:
             plain = {sum((ord(c) + 1) * pow(fingerprints.BASES[0], i, 2**31 - 1) for i, c in enumerate(s)) % (2**31 - 1) for s in spans_of(text, length)}
         else:
