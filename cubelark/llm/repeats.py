@@ -45,7 +45,7 @@ SHARE = 512
 CHUNK = 1 << 19
 #: Names of a key in a chunk of records from which on the key is dealt by name.
 HOT = 256
-#: Symbols of a task that solves, and the most such tasks.
+#: Bytes, of about eight a word, of a task that solves, and the most such tasks.
 PARTITION = 1 << 22
 MOST_PARTITIONS = 100_000
 
@@ -486,7 +486,7 @@ def repeats(docs: DataFrame, repeated: bool, unit: Unit, solve: Solver) -> DataF
     copies = known.where("key is null").select("doc", "variant", start.alias("lo"), (start + windows - 1 + unit.length).alias("hi"))
     wanted = known.where("key is not null")
     symbols = wanted.agg(F.sum(windows + unit.length)).first()[0] or 0
-    partitions = int(max(1, min(symbols // PARTITION + 1, MOST_PARTITIONS)))
+    partitions = int(max(1, min(symbols * (8 if unit.words else 1) // PARTITION + 1, MOST_PARTITIONS)))
     solved = written(shares(contexts(docs, wanted, unit), unit, solve, partitions), "solved")
     split = solved.where("hi < 0")
     order = F.struct("doc", "variant", "lo") if unit.within else F.col("doc")
