@@ -91,7 +91,8 @@ def differing(levels: list[DataFrame]) -> DataFrame:
 def audit(ours: DataFrame, theirs: DataFrame, key: str, data: str) -> DataFrame:
     """All records of both replicas: ``archive, key, start, length, digest, replica_digest, verdict``."""
     leaf = leaves(ours, theirs, key, data)
-    looked = leaf.join(differing(trees(leaf)), ["archive", "part"], "left").withColumn("bad", F.coalesce(F.array_contains("places", F.col("place")), F.lit(False)))
+    bad = written(differing(trees(leaf)), "differing")
+    looked = leaf.join(bad, ["archive", "part"], "left").withColumn("bad", F.coalesce(F.array_contains("places", F.col("place")), F.lit(False)))
     both = F.least("ours", "theirs")
     at = lambda first, last, start: F.explode(F.transform(F.sequence(first, last), lambda i: start + i * F.col("length")))
     same = F.when(~F.col("bad") | (F.col("start") == F.col("their_start")), "ok").otherwise("moved")
