@@ -276,7 +276,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     def met(these: DataFrame, candidates: DataFrame) -> DataFrame:
         """Each pack of queries with each part of the candidates of its length: its own row first, then theirs by norm."""
         to = these.select("d", "qp", "qn", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), F.lit(0).alias("class"), F.lit(0).alias("pack"), "ids", "turns", "data", "large")
-        theirs = candidates.join(these.select("d", "qp", "qn"), "d").select("d", "qp", "qn", "part", F.lit(1).alias("kind"), "class", "pack", "ids", "turns", "data", "large")
+        theirs = candidates.join(to.select("d", "qp", "qn", "part"), ["d", "part"]).select("d", "qp", "qn", "part", F.lit(1).alias("kind"), "class", "pack", "ids", "turns", "data", "large")
         return to.unionByName(theirs).repartition("d", "qp", "qn", "part").sortWithinPartitions("d", "qp", "qn", "part", "kind", "class", "pack")
 
     found = met(queries, candidates).mapInArrow(_search(k), FOUND)
