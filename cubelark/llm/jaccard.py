@@ -13,12 +13,19 @@ has no list; most documents have enough of these to fill their prefix, and take
 Shingles that are common in a chunk are counted there first, so that no range receives a shingle more
 often than there are chunks.
 
-Lists are scanned in sorted streams. A list of m sets gives m - 1 edges, not all pairs; the components
-of these edges are blocks, inside of which all links lie. Blocks are cut into tiles of ``TILE`` sets
-or ``TILE_SHINGLES`` shingles, and each pair of tiles is verified exactly by a product of incidence matrices, in its own group. Links
-leave a group as stars of its components, too, and as the number of rows that each set links with there; ``links`` has
+Lists are combined within a task before they are shuffled: one of a task's sets enters a list there, the
+others are joined to it by edges, so that a list receives a set from each task, not all sets of a large group.
+Lists are then scanned in sorted streams. A list of m sets gives m - 1 edges, not all pairs; the components
+of these edges are blocks, inside of which all links lie. Blocks are cut by classes of sizes, of which only
+equal or neighbouring ones can link, and classes into tiles of ``TILE`` sets or ``TILE_SHINGLES`` shingles;
+each pair of tiles is verified exactly by a product of incidence matrices, in its own group. Links leave a
+group as stars of its components, too, and as the number of rows that each set links with there; ``links`` has
 the pairs themselves, between classes of equal sets.
 
+Sets are known by a 64-bit number. A second, independent one is kept with it: where sets differ in that but
+not in the first, which chance does once in about 2**64 pairs, all sets are numbered anew by other hashes.
+Shingles are told apart by 64-bit hashes.
+
 Defined results: a text without words (null, empty) has an empty set, which is linked with nothing;
 with fewer words than a shingle the whole sequence is the one shingle; equal sets are one node
 throughout; rows of equal ids (nulls are one id, the smallest) are linked like others, each by its own text,
