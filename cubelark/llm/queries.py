@@ -39,8 +39,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The join of op6 with class and number of links of each row, which op6's SQL doesn't have."""
-    return jaccard.counted(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100))
+    """The join of op6 with the number of links of each row; classes are numbered by hashes, which SQL doesn't have."""
+    return jaccard.counted(table(spark, sf_dir, "documents"), jaccard.Rule(words=3, num=90, den=100)).drop("class_id")
 
 
 #: Verdict, host and path of the contract's rules.
@@ -111,6 +111,17 @@ _HOST = f"coalesce(translate(regexp_extract({_TAIL}, '(?s)^([^/?#]*)', 1), '{_UP
 _PATH = f"coalesce(regexp_extract({_TAIL}, '(?s)^[^/?#]*([^?#]*)', 1), '')"
 _LINK = "(?i)<a\\b[^>]*?\\bhref\\s*=\\s*[\"'']?(?:[a-z][a-z0-9+.-]*:)?//([^\"''\\s>/?#]*)"
 
+_LINKS = rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)
+            UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 2
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
+        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reached AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT doc_id, b FROM reached JOIN both_ways ON other = a)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_suffix_dedup": """
         WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS h FROM documents),
@@ -143,19 +154,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN a ON d.doc_id = a.doc_id
     """,
-    "op6_jaccard_join": rf"""
-        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-        s AS (
-            SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS x FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) >= 3)
-            UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM d WHERE len(ws) BETWEEN 1 AND 2
-        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
-        links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 90 * (x.n + y.n - o)),
-        both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-        reached AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT doc_id, b FROM reached JOIN both_ways ON other = a)
+    "op6_jaccard_join": f"""
+        {_LINKS}
         SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
         FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c ON c.doc_id = d.doc_id
     """,
+    "jaccard_links": f"""
+        {_LINKS}
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+        FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c ON c.doc_id = d.doc_id
+        LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM both_ways GROUP BY a) l ON l.doc_id = d.doc_id
+    """,
     "op7_url_filter": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, {_HOST.format('url')} AS host, {_PATH.format('url')} AS path FROM pages),
         q AS (SELECT *, {_RULE} AS rule FROM p), v AS (SELECT *, {_VERDICT} AS ruled FROM q),
