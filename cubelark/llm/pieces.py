@@ -141,14 +141,18 @@ class Normalizer:
     def spaced(self, data: np.ndarray) -> Normal:
         """A text in which no prefix is known: its spaces escaped, in array operations."""
         space = np.frombuffer(SPACE.encode(), np.uint8)
-        wide = np.where(data == 32, len(space), 1)
-        source = np.repeat(np.arange(len(data)), wide)
-        out = data[source]
-        escaped = np.flatnonzero(out == 32).reshape(-1, len(space))
+        before = len(space) if self.prefix and len(data) else 0
+        wide = np.where(data == 32, len(space), 1).astype(np.uint8)
+        n = before + int(wide.sum(dtype=np.int64))
+        source = np.empty(n + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+        source[:before], source[n] = 0, len(data)
+        source[before:n] = np.repeat(np.arange(len(data), dtype=source.dtype), wide)
+        out = np.empty(n, np.uint8)
+        out[:before] = space[:before]
+        out[before:] = data[source[before:n]]
+        escaped = np.flatnonzero(out[before:] == 32).reshape(-1, len(space)) + before
         out[escaped] = space
-        if self.prefix and len(data):
-            out, source = np.r_[space, out], np.r_[np.zeros(len(space), np.int64), source]
-        return Normal(out.tobytes(), np.r_[source, len(data)])
+        return Normal(out.tobytes(), source)
 
 
 class Encoder:
@@ -253,6 +257,14 @@ def encode_spans(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids array<int>, starts array<bigint>, ends array<bigint>").withColumnRenamed("key", key)
 
 
+def listed(ids: list[int], most: int = 1 << 20) -> str:
+    """The digest of decimal ids joined by commas, from parts of bounded size."""
+    found = hashlib.sha256()
+    for at in range(0, len(ids), most):
+        found.update((b"," if at else b"") + str(ids[at : at + most])[1:-1].replace(" ", "").encode())
+    return found.hexdigest()
+
+
 def encode_digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row its key, number of ids, digests of the ids and of the text decoded from them, and of the pieces' spans.
 
@@ -265,11 +277,12 @@ def encode_digests(docs: DataFrame, model: str, key: str = "doc_id", text: str =
             rows = tool.spans_of([t or "" for t in batch.column("text").to_pylist()])
             lists = [ids.tolist() for ids, _, _ in rows]
             decoded = tool.model.decode(lists, num_threads=1) if lists else []
+            numbers = [listed(ids) for ids in lists]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
                     pa.array([len(ids) for ids in lists], pa.int64()),
-                    pa.array([hashlib.sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest() for ids in lists]),
+                    pa.array(numbers),
                     pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded]),
                     pa.array([hashlib.sha256(np.r_[starts, ends[-1:]].astype("<i8").tobytes()).hexdigest() for _, starts, ends in rows]),
                 ],

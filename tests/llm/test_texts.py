@@ -208,6 +208,12 @@ def test_spans_are_the_librarys(piece_model, text):
             open_ = i + 1
 
 
+def test_digests_of_ids_from_parts():
+    ids = list(range(95, 130))
+    assert {pieces.listed(ids, n) for n in (1, 7, 35, 100)} == {hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()}
+    assert pieces.listed([]) == hashlib.sha256(b"").hexdigest()
+
+
 def test_piece_digests(table, odd_rows):
     tool = pieces.encoder(MODEL).model
     found = sorted(pieces.encode_digests(table(odd_rows), MODEL).collect())
