@@ -83,7 +83,7 @@ class Engine:
 
             if not path:
                 raise CubeError("a NetCDF response needs a path")
-            return write(cube.df, cube, f"{path.removeprefix('file://').rstrip('/')}/{rid}.nc")
+            return write(cube.df, cube, f"{path.rstrip('/')}/{rid}.nc")
         if response == "object":
             found = cube.ordered().limit(INLINE_ROWS + 1).toArrow()
             if found.num_rows > INLINE_ROWS:

@@ -7,7 +7,6 @@ by vector and position). Derived doubles are rounded in both, as sums depend on
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from xml.etree import ElementTree
@@ -334,7 +333,7 @@ def _netcdf(e: Engine, sf_dir: str) -> None:
 
     read = e.spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = read.groupBy(F.date_trunc("month", "ts").cast("timestamp_ntz").alias("t"), (F.col("user_id") % 5).cast("double").alias("x")).agg(F.sum("value").alias("value"))
-    folder = f"{tempfile.mkdtemp()}"
+    folder = f"{shared_folder(e.spark)}/parts-{uuid.uuid4().hex}"
     for i, part in enumerate(("month(t) % 2 = 0", "month(t) % 2 = 1")):
         cube = Cube(rows.where(part), ("t", "x"), ("value",))
         if rows.where(part).head(1):
@@ -391,7 +390,7 @@ def _as_netcdf(e: Engine) -> DataFrame:
     from cubelark.sources import netcdf
 
     text = ask('{"name":"cube.max","input":"value","axes":"tz","result":"top","domain":"d0"}', var("ev", "value"), '{"name":"d0","lon":{"start":0,"end":49}}')
-    path = e.execute(text, "netcdf", path=tempfile.mkdtemp())["top"]
+    path = e.execute(text, "netcdf", path=f"{shared_folder(e.spark)}/results-{uuid.uuid4().hex}")["top"]
     return netcdf.scan(e.spark, path, "value").df
 
 

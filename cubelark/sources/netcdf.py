@@ -253,6 +253,11 @@ def write(df: DataFrame, cube: Cube, path: str, most: int = 5_000_000) -> str:
     values = np.full([len(v) for v in axes.values()], np.nan)
     values[tuple(np.searchsorted(axes[a], rows[a].to_numpy()) for a in axes)] = rows[name].to_numpy()
     as_seconds = {a: v.astype("datetime64[us]").astype(np.int64) / 1e6 if a == "t" else v.astype(float) for a, v in axes.items()}
-    with open(path, "wb") as out:
-        out.write(encode(as_seconds, values, name))
+    spark = df.sparkSession  # by Spark's file systems, so that executors can read it wherever it is
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(encode(as_seconds, values, name)))
+    finally:
+        out.close()
     return path
