@@ -236,6 +236,33 @@ def test_tokens_are_the_librarys(text):
         assert np.frombuffer(tool.ids(t), "<u4").tolist() == tool.exact.encode(t, add_special_tokens=False).ids
 
 
+@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(text=st.text(alphabet=st.sampled_from(list("ab \n\t\r's\x1c\x85\xa0中。，ん、ัก\u180e1.😀\u200b\u3000é")), max_size=60), span=st.integers(1, 8))
+def test_tokens_of_texts_cut_at_seams(monkeypatch, text, span):
+    monkeypatch.setattr(packing, "SPAN", span)
+    tool = packing.tokenizer(*queries.BYTE_BPE)
+    for t in (text, f"{text}中<|endoftext|> {text}"):
+        assert "".join(packing.spans(t)) == t
+        assert np.frombuffer(tool.ids(t), "<u4").tolist() == tool.exact.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("unit", ["word 中 ", "漢字かな、漢字。", "กัน 12\n"])
+def test_the_library_is_given_long_texts_in_parts(unit):
+    """Its memory is some 180 bytes a byte: a text of 10 MB with one character such as these took 2 GB."""
+    tool = packing.Tokenizer(*queries.BYTE_BPE)
+    text = unit * (4 * packing.SPAN // len(unit))
+    want, given, whole = tool.exact.encode(text, add_special_tokens=False).ids, [], tool.exact
+
+    class Recorder:
+        def encode(self, part, **how):
+            given.append(len(part))
+            return whole.encode(part, **how)
+
+    tool.exact = Recorder()
+    assert np.frombuffer(tool.ids(text), "<u4").tolist() == want
+    assert len(given) > 1 and max(given) <= packing.SPAN + len(unit)
+
+
 def test_packing(table, odd_rows, sample_rows):
     tool = packing.tokenizer(*queries.BYTE_BPE).exact
     rows = odd_rows + [(d + 1000, t) for d, t in sample_rows]
